@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.llm import looks, near_duplicates
+from lodeline.llm import looks, near_duplicates, similar_vectors
 from lodeline.runtime import spread, table
 
 
@@ -18,6 +18,14 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.advertisement_classes(table(spark, sf, "jobs").select("job_id", "title", "description"))
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_vectors.found_pairs(table(spark, sf, "vectors"), table(spark, sf, "embedding_shards"))
+
+
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_vectors.neighbours(table(spark, sf, "vectors"), table(spark, sf, "embedding_shards"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return looks.look_pairs(spread(table(spark, sf, "jobs").select("job_id", "title", "description")))
 
@@ -27,7 +35,7 @@ def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p3_forms": p3_forms}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_forms": p3_forms}
 
 
 def oracle_sql() -> dict[str, str]:
