@@ -38,3 +38,9 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Repartition a small-file input for CPU-heavy Python stages; keyed by ``cols`` if given."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *[F.col(c) for c in cols]) if cols else df.repartition(n)
+
+
+def enough_tasks(df: DataFrame) -> DataFrame:
+    """A scan of few files spread over the cores for a CPU-heavy stage; a scan with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
