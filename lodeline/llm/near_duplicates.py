@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.looks import comparable
-from lodeline.runtime import materialize, spread
+from lodeline.runtime import enough_tasks, materialize, spread
 
 RUN, BANDS, ROWS, T, BLOCK = 5, 64, 4, 3, 256
 _rng = np.random.RandomState(20240229)
@@ -79,7 +79,7 @@ def runs(text: str) -> set[str]:
 
 def class_table(jobs: DataFrame, least: int = 40) -> tuple[DataFrame, DataFrame]:
     """``members(job_id, rep)`` and ``classes(rep, text)``: equal texts form one class, named by its least job_id."""
-    docs = comparable(jobs, least).select("job_id", F.regexp_replace(F.concat(F.coalesce("title_form", F.lit("")), "description_form"), " ", "").alias("text"))
+    docs = comparable(enough_tasks(jobs), least).select("job_id", F.regexp_replace(F.concat(F.coalesce("title_form", F.lit("")), "description_form"), " ", "").alias("text"))
     docs = materialize(docs.withColumn("digest", F.sha2("text", 256)))
     classes = docs.groupBy("digest").agg(F.min(F.struct("job_id", "text")).alias("m")).select("digest", F.col("m.job_id").alias("rep"), F.col("m.text").alias("text"))
     members = docs.select("job_id", "digest").distinct().join(classes.select("digest", "rep"), "digest").select("job_id", "rep")

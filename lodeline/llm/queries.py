@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.llm import looks, near_duplicates, similar_vectors
-from lodeline.runtime import spread, table
+from lodeline.llm import looks, near_duplicates, packing, prefix_bpe, similar_vectors
+from lodeline.runtime import enough_tasks, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,15 +27,27 @@ def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return looks.look_pairs(spread(table(spark, sf, "jobs").select("job_id", "title", "description")))
+    return looks.look_pairs(enough_tasks(table(spark, sf, "jobs").select("job_id", "title", "description")))
 
 
 def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
-    return looks.with_forms(spread(table(spark, sf, "jobs").select("job_id", "title", "description")), {"title": "title_form", "description": "description_form"}).select("job_id", "title_form", "description_form")
+    return looks.with_forms(enough_tasks(table(spark, sf, "jobs").select("job_id", "title", "description")), {"title": "title_form", "description": "description_form"}).select("job_id", "title_form", "description_form")
+
+
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_bpe.encoded(enough_tasks(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed_documents(enough_tasks(table(spark, sf, "documents").select("doc_id", "text")))
+
+
+def p7_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.usage(p7_packing(spark, sf))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_forms": p3_forms}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_forms": p3_forms, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage}
 
 
 def oracle_sql() -> dict[str, str]:
