@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.llm import looks, near_duplicates, packing, prefix_bpe, similar_vectors
+from lodeline.llm import looks, near_duplicates, packing, prefix_bpe, similar_vectors, truncation
 from lodeline.runtime import enough_tasks, table
 
 
@@ -46,8 +46,20 @@ def p7_usage(spark: SparkSession, sf: str) -> DataFrame:
     return packing.usage(p7_packing(spark, sf))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.found(enough_tasks(table(spark, sf, "documents").select("doc_id", "source", "text")))
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.report(enough_tasks(table(spark, sf, "documents").select("doc_id", "source", "text")))
+
+
+def p8_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.cutting_lengths(truncation.endings(enough_tasks(table(spark, sf, "documents").select("doc_id", "source", "text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_forms": p3_forms, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_forms": p3_forms, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p8_found": p8_found, "p8_report": p8_report, "p8_lengths": p8_lengths}
 
 
 def oracle_sql() -> dict[str, str]:
