@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from lodeline.runtime import ensure_checkpoint_dir
 
-M, TREE_DIMS, P = 32, 8, 0.97
-CELL, SLICE, LEAF, BATCH, SAMPLE = 32_768, 4_096, 512, 256, 20_000
+M, TREE_DIMS, P = 96, 8, 0.97
+CELL, SLICE, LEAF, BATCH, SAMPLE = 32_768, 4_096, 512, 512, 20_000
 RANGES_LIMIT = 200_000
 
 
@@ -158,24 +158,24 @@ class Best:
 
 
 class CellIndex:
-    """One cell: its unit vectors and a kd-tree over their projections."""
+    """One cell: its unit vectors and a kd-tree over their projections, points in leaf order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.raw, self.x = ids, vectors, unit(vectors)
-        self.p = self.x @ directions(self.x.shape[1])
-        tree = kd_splits(self.p[:, :TREE_DIMS], max(1, len(ids) // LEAF))
-        leaf = assign(tree, self.p[:, :TREE_DIMS])
-        self.order = np.argsort(leaf, kind="stable")
-        self.starts = np.searchsorted(leaf[self.order], np.arange(len(tree) + 2))
-        self.tree = tree
-        n = len(tree) + 1
+        x = unit(vectors)
+        p = x @ directions(x.shape[1])
+        self.tree = kd_splits(p[:, :TREE_DIMS], max(1, len(ids) // LEAF))
+        leaf = assign(self.tree, p[:, :TREE_DIMS])
+        order = np.argsort(leaf, kind="stable")
+        n = len(self.tree) + 1
+        self.starts = np.searchsorted(leaf[order], np.arange(n + 1))
+        self.ids, self.raw, self.x, p = ids[order], vectors[order], x[order], p[order]
         self.lo, self.hi = np.full((n, TREE_DIMS), np.inf, np.float32), np.full((n, TREE_DIMS), -np.inf, np.float32)
         for c in range(n):  # tight boxes
-            own = self.order[self.starts[c] : self.starts[c + 1]]
+            own = p[self.starts[c] : self.starts[c + 1], :TREE_DIMS]
             if len(own):
-                self.lo[c], self.hi[c] = self.p[own, :TREE_DIMS].min(0), self.p[own, :TREE_DIMS].max(0)
-        self.sorted_p = self.p[self.order]
-        self.norms = np.einsum("ij,ij->i", self.sorted_p, self.sorted_p)
+                self.lo[c], self.hi[c] = own.min(0), own.max(0)
+        # one product gives squared projected distances: |q|^2 - 2 q.p + |p|^2
+        self.points = np.ascontiguousarray(np.concatenate([-2 * p, np.einsum("ij,ij->i", p, p)[:, None], np.ones((len(p), 1), np.float32)], 1).T)
 
     def search(self, ids: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(ids of neighbours, similarities, squared k-th distance)``; bound: what is known of the k-th distance."""
@@ -191,40 +191,64 @@ class CellIndex:
         back = np.argsort(at_leaf, kind="stable")
         return np.concatenate(out_i)[back], np.concatenate(out_s)[back], np.concatenate(out_d)[back]
 
+    def _verify(self, best: Best, x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
+        """Exact similarities of the pairs; as one product where they lie close together, pair by pair otherwise."""
+        own, at = np.unique(rows, return_inverse=True)
+        them, to = np.unique(columns, return_inverse=True)
+        if len(rows) > 0.03 * len(own) * len(them):
+            sims = (x[own] @ self.x[them].T)[at, to]
+            ok = sims > best.sim[rows, best.keep - 1]
+            if ok.any():
+                best.add(rows[ok], self.ids[columns[ok]], sims[ok])
+            return
+        for a in range(0, len(rows), 2048):
+            rr, cc = rows[a : a + 2048], columns[a : a + 2048]
+            sims = np.einsum("ij,ij->i", x[rr], self.x[cc])
+            ok = sims > best.sim[rr, best.keep - 1]
+            if ok.any():
+                best.add(rr[ok], self.ids[cc[ok]], sims[ok])
+
     def _batch(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> Best:
+        """Rings of rising projected distance; each ring's points are verified before the stopping test is asked again."""
         best = Best(len(q), k)
         stop = np.float32(chi2_quantile(P, M))
         near = box_distance(q[:, :TREE_DIMS], self.lo, self.hi)
-        qn = np.einsum("ij,ij->i", q, q)
-        done = np.zeros(len(q), np.float32)  # squared projected radius that is verified
-        have = np.zeros(len(self.lo), bool)
-        parts: list[tuple[np.ndarray, np.ndarray]] = []  # positions of the points in reach, their projected distances
-        ring = 8.0
+        ends = np.concatenate([q, np.ones((len(q), 1), np.float32), np.einsum("ij,ij->i", q, q)[:, None]], 1)
+        done = np.full(len(q), -1, np.float32)  # squared projected radius that is verified
+        reach_radius = np.float32(0.75) * stop  # pairs are drawn from the distances up to here at once, further out later
         while True:
             limit = np.minimum(bound, best.kth()) * stop
-            open_ = np.flatnonzero(done < limit)
-            if not len(open_):
+            rows = np.flatnonzero(done < limit)
+            if not len(rows):
                 return best
-            upto = np.minimum(np.float32(ring), limit)
-            reach = (near[open_] <= upto[open_, None]).any(0) & ~have
-            for c in np.flatnonzero(reach):
-                have[c] = True
-            if reach.any():
-                pos = np.concatenate([np.arange(self.starts[c], self.starts[c + 1]) for c in np.flatnonzero(reach)])
-                parts.append((pos, np.maximum(qn[:, None] + self.norms[pos][None, :] - 2 * (q @ self.sorted_p[pos].T), 0)))
-            for pos, dist in parts:
-                d = dist if len(open_) == len(q) else dist[open_]
-                mask = (d <= upto[open_, None]) & ((d > done[open_, None]) | (done[open_, None] == 0))
-                r, c = np.nonzero(mask)
-                r = open_[r]
-                for a in range(0, len(r), 8192):
-                    rr, cc = r[a : a + 8192], self.order[pos[c[a : a + 8192]]]
-                    ok = self.ids[cc] != ids[rr]
-                    rr, cc = rr[ok], cc[ok]
-                    if len(rr):
-                        best.add(rr, self.ids[cc], np.einsum("ij,ij->i", x[rr], self.x[cc]))
-            done[open_] = upto[open_]
-            ring *= 1.45
+            upto = np.minimum(limit[rows], reach_radius)
+            leaves = np.flatnonzero((near[rows] <= upto[:, None]).any(0) & (self.starts[1:] > self.starts[:-1]))
+            if len(leaves) == len(self.lo):
+                columns, points = None, self.points
+            else:
+                columns = np.concatenate([np.arange(self.starts[c], self.starts[c + 1]) for c in leaves]) if len(leaves) else np.zeros(0, np.int64)
+                points = self.points[:, columns]
+            dist = ends[rows] @ points
+            flat = np.flatnonzero(dist <= upto[:, None])
+            r, c = np.divmod(flat, max(1, dist.shape[1]))
+            d = dist.ravel()[flat]
+            c = c if columns is None else columns[c]
+            new = (d > done[rows][r]) & (self.ids[c] != ids[rows][r])
+            r, c, d = r[new], c[new], d[new]
+            ring = np.float32(0.02) * stop
+            inner = done[rows]
+            while True:
+                live = np.minimum(np.minimum(bound[rows], best.kth()[rows]) * stop, reach_radius)
+                outer = np.minimum(live, ring)
+                pick = np.flatnonzero((d > inner[r]) & (d <= outer[r]))
+                if len(pick):
+                    self._verify(best, x, rows[r[pick]], c[pick])
+                inner = np.maximum(inner, outer)
+                if ring >= reach_radius:
+                    break
+                ring *= np.float32(1.5)
+            done[rows] = np.maximum(inner, reach_radius if len(leaves) == len(self.lo) else inner)
+            reach_radius *= 2
 
 
 def packed(vectors: DataFrame, shards: DataFrame, dim: int) -> tuple[DataFrame, list[str]]:
@@ -260,10 +284,17 @@ def packed(vectors: DataFrame, shards: DataFrame, dim: int) -> tuple[DataFrame,
     return ok.mapInArrow(run, "job_index bigint, v binary")
 
 
-def unpack(values: list[bytes], dim: int) -> np.ndarray:
-    if all(len(v) == 2 * dim for v in values):
-        return np.frombuffer(b"".join(values), np.float16).reshape(len(values), dim)
-    return np.stack([np.frombuffer(v, np.float16 if len(v) == 2 * dim else np.float32).astype(np.float32) for v in values])
+def unpack(values: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors of a binary column; without copying where all are half floats."""
+    array = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    if isinstance(array, pa.ChunkedArray):
+        array = pa.concat_arrays(array.chunks)
+    if not len(array):
+        return np.zeros((0, dim), np.float16)
+    offsets = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1]
+    if (np.diff(offsets) == 2 * dim).all():
+        return np.frombuffer(array.buffers()[2], np.float16, len(array) * dim, int(offsets[0])).reshape(len(array), dim)
+    return np.stack([np.frombuffer(v, np.float16 if len(v) == 2 * dim else np.float32).astype(np.float32) for v in array.to_pylist()])
 
 
 def read_cell(folder: str, block: int, start: int | None = None, stop: int | None = None, dim: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +306,18 @@ def read_cell(folder: str, block: int, start: int | None = None, stop: int | Non
     _, first = np.unique(ids, return_index=True)
     if start is not None:
         first = first[start:stop]
-    return ids[first], unpack(t.column("v").take(pa.array(first)).to_pylist(), dim)
+    return ids[first], unpack(t.column("v").take(pa.array(first)), dim)
+
+
+_index: dict[tuple, CellIndex] = {}
+
+
+def cell_index(folder: str, block: int, dim: int) -> CellIndex:
+    """The index of a cell; a worker process keeps the last one."""
+    if (folder, block) not in _index:
+        _index.clear()
+        _index[folder, block] = CellIndex(*read_cell(folder, block, dim=dim))
+    return _index[folder, block]
 
 
 def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 1024, cell: int = CELL) -> DataFrame:
@@ -284,12 +326,19 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
     ready = packed(vectors, shards, dim)
     n = vectors.select("job_index").count()
     every = max(1, n // SAMPLE)
-    picked = packed(vectors.filter(F.pmod(F.xxhash64("job_index"), F.lit(every)) == 0), shards, dim).limit(2 * SAMPLE).toPandas() if n > cell else None
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = (unit(unpack(b.column("v"), dim)) @ directions(dim))[:, :TREE_DIMS]
+            yield pa.RecordBatch.from_arrays([pa.array(p.tolist(), pa.list_(pa.float32()))], names=["p"])
+
     splits, sizes = [], np.array([n])
-    if picked is not None and len(picked):
-        p = unit(unpack(picked.v.tolist(), dim)) @ directions(dim)
-        splits = kd_splits(p[:, :TREE_DIMS], -(-n // cell))
-        sizes = np.bincount(assign(splits, p[:, :TREE_DIMS]), minlength=len(splits) + 1) * (n / len(picked))
+    if n > cell:
+        picked = packed(vectors.filter(F.pmod(F.xxhash64("job_index"), F.lit(every)) == 0), shards, dim).mapInArrow(project, "p array<float>").limit(2 * SAMPLE).toPandas()
+        if len(picked):
+            p = np.stack(picked.p).astype(np.float32)
+            splits = kd_splits(p, -(-n // cell))
+            sizes = np.bincount(assign(splits, p), minlength=len(splits) + 1) * (n / len(picked))
     pieces = np.maximum(1, np.ceil(sizes / (1.5 * cell))).astype(np.int64)
     base = np.r_[0, np.cumsum(pieces)]
     cell_of = np.repeat(np.arange(len(pieces)), pieces)
@@ -298,7 +347,7 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
         for b in batches:
             if b.num_rows:
                 ids = b.column("job_index").to_numpy()
-                c = assign(splits, (unit(unpack(b.column("v").to_pylist(), dim)) @ directions(dim))[:, :TREE_DIMS]) if splits else np.zeros(len(ids), np.int32)
+                c = assign(splits, (unit(unpack(b.column("v"), dim)) @ directions(dim))[:, :TREE_DIMS]) if splits else np.zeros(len(ids), np.int32)
                 h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("job_index"), b.column("v"), pa.array(base[c] + h % pieces[c])], names=["job_index", "v", "block"])
 
@@ -330,7 +379,7 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, start, end in zip(*[b.column(c).to_pylist() for c in ("block", "start", "stop")], strict=True):
-                index = CellIndex(*read_cell(folder, block, dim=dim))
+                index = cell_index(folder, block, dim)
                 rows = np.argsort(index.ids, kind="stable")[start:end]
                 ids, x = index.ids[rows], index.x[rows]
                 idx, _, d = index.search(ids, x, np.full(len(ids), 4, np.float32), k)
@@ -352,14 +401,14 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
         chosen = np.searchsorted(ids, rows.job_index.to_numpy())
         ids, v = ids[chosen], v[chosen]
         x = unit(v)
-        index = CellIndex(*read_cell(folder, cell_, dim=dim))
+        index = cell_index(folder, cell_, dim)
         idx, _, _ = index.search(ids, x, rows.bound.to_numpy(np.float32), k)
         others, sims = rescored(v, index, idx)
         return pd.DataFrame({"job_index": ids, "other": others, "similarity": sims})
 
     results = first.select("job_index", "other", "similarity")
     if blocks > 1:
-        results = results.unionByName(visits.groupBy("cell", "home", "start", "stop").applyInPandas(visit, "job_index bigint, other array<bigint>, similarity array<double>"))
+        results = results.unionByName(visits.repartition(len(tasks), "cell", "home", "start", "stop").groupBy("cell", "home", "start", "stop").applyInPandas(visit, "job_index bigint, other array<bigint>, similarity array<double>"))
     pairs = results.select("job_index", F.explode(F.arrays_zip("other", "similarity")).alias("z")).select("job_index", (-F.col("z.similarity")).alias("s"), F.col("z.other").alias("other"))
     top = pairs.groupBy("job_index").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "other"))), 1, k).alias("best"))
     return top.select("job_index", F.posexplode("best").alias("place", "b")).select("job_index", F.col("b.other").alias("other"), (-F.col("b.s")).alias("similarity"), (F.col("place") + 1).alias("place"))
