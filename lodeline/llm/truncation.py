@@ -36,7 +36,7 @@ BITS = 1 << 24
 _MARK = re.compile(r"(?:…|\.{3})+$")
 _TRAIL = re.compile(r"(?:\s|&nbsp;|&#160;|</?[A-Za-z][^<>]*>)+$")
 _BROKEN = re.compile(r"(?:<[/!]?[A-Za-z]*[^<>]{0,200}|<|&#?[A-Za-z0-9]{0,8})$")
-_END = re.compile(r"(?:[。！？!?；\n]|\.(?=[\s　-鿿（"]|$)|(?<=[a-z0-9])\.(?=[A-Z])|…|\.{3})[\s\-*●•。！？!?；…]*")
+_END = re.compile(r"(?:[。！？!?；\n]|\.(?=[\s　-鿿（【]|$)|(?<=[a-z0-9])\.(?=[A-Z])|…|\.{3})[\s\-*●•。！？!?；…]*")
 _DIGITS = {i: "9" for i in range(0x30, 0x3A)} | {i: "9" for i in range(0xFF10, 0xFF1A)}
 CLOSING = set("。！？!?.）)」』”\"’】〕]》>")
 CONNECTING = set("，,、：:（(「『“【〔[《<&/+=\\")
