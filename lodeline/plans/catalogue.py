@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeline.plans import general
+
+MODULES = [general]
+
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    raise NotImplementedError
+    return general.p4_found(spark, sf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
