@@ -33,7 +33,7 @@ STATES = [(p, c, s) for p in PERIODS for c in CURRENCIES for s in SCALES]
 
 _PERIOD = [
     ("hour", re.compile(r"時薪|每小時|每時|鐘點費|/\s*(?:小時|時|hr|hour|h\b)|per\s*hour|hourly|an hour", re.I)),
-    ("day", re.compile(r"日薪|每日|每天|日領|/\s*(?:日|天|day)|per\s*day|daily", re.I)),
+    ("day", re.compile(r"日薪|每日|每天|日領|/\s*(?:日(?![圓元幣])|天|day)|per\s*day|daily", re.I)),
     ("year", re.compile(r"年薪|每年|年收|/\s*(?:年|yr|year)|per\s*(?:year|annum)|p\.?a\.?(?![a-z])|annual", re.I)),
     ("month", re.compile(r"月薪|每月|底薪|/\s*(?:月|month|mo\b)|per\s*month|monthly", re.I)),
 ]
