@@ -19,6 +19,7 @@ than k others all others come out; empty input gives no rows.
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from lodeline.runtime import ensure_checkpoint_dir
 
 M, TREE_DIMS, P = 96, 8, 0.97
-CELL, SLICE, LEAF, BATCH, SAMPLE = 32_768, 4_096, 512, 512, 20_000
+CELL, SLICE, LEAF, BATCH, SAMPLE = 16_384, 4_096, 512, 512, 20_000
 RANGES_LIMIT = 200_000
 
 
@@ -161,14 +162,17 @@ class CellIndex:
     """One cell: its unit vectors and a kd-tree over their projections, points in leaf order."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        x = unit(vectors)
-        p = x @ directions(x.shape[1])
+        r = directions(vectors.shape[1])
+        p = np.concatenate([unit(vectors[i : i + 2048]) @ r for i in range(0, len(vectors), 2048)])
         self.tree = kd_splits(p[:, :TREE_DIMS], max(1, len(ids) // LEAF))
         leaf = assign(self.tree, p[:, :TREE_DIMS])
         order = np.argsort(leaf, kind="stable")
         n = len(self.tree) + 1
         self.starts = np.searchsorted(leaf[order], np.arange(n + 1))
-        self.ids, self.raw, self.x, p = ids[order], vectors[order], x[order], p[order]
+        self.ids, self.raw, p = ids[order], vectors[order], p[order]
+        self.x = np.empty(vectors.shape, np.float32)
+        for i in range(0, len(ids), 2048):
+            self.x[i : i + 2048] = unit(self.raw[i : i + 2048])
         self.lo, self.hi = np.full((n, TREE_DIMS), np.inf, np.float32), np.full((n, TREE_DIMS), -np.inf, np.float32)
         for c in range(n):  # tight boxes
             own = p[self.starts[c] : self.starts[c + 1], :TREE_DIMS]
@@ -297,6 +301,12 @@ def unpack(values: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return np.stack([np.frombuffer(v, np.float16 if len(v) == 2 * dim else np.float32).astype(np.float32) for v in array.to_pylist()])
 
 
+def free() -> None:
+    """Give buffers that are no longer used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def read_cell(folder: str, block: int, start: int | None = None, stop: int | None = None, dim: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of a block's files in a fixed order, each id once."""
     fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}" if not folder.startswith("file:") else folder)
@@ -316,7 +326,9 @@ def cell_index(folder: str, block: int, dim: int) -> CellIndex:
     """The index of a cell; a worker process keeps the last one."""
     if (folder, block) not in _index:
         _index.clear()
+        free()
         _index[folder, block] = CellIndex(*read_cell(folder, block, dim=dim))
+        free()
     return _index[folder, block]
 
 
@@ -393,10 +405,12 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
         return spark.createDataFrame([], "job_index bigint, other bigint, similarity double, place int")
     plan = spark.createDataFrame(tasks, "block bigint, start bigint, stop bigint").repartition(len(tasks), "block", "start")
     first = plan.mapInArrow(home, out).checkpoint()
-    visits = first.select(F.explode("cells").alias("cell"), "home", "start", "stop", "job_index", "bound")
+    # visits to one cell stay together in a few lanes, so that a worker builds its index once
+    lanes = max(1, 2 * spark.sparkContext.defaultParallelism // blocks)
+    visits = first.select(F.explode("cells").alias("cell"), "home", "start", "stop", "job_index", "bound").withColumn("lane", F.pmod(F.xxhash64("home", "start"), F.lit(lanes)))
 
     def visit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cell_, block, start, end = (int(v) for v in key)
+        cell_, _, block, start, end = (int(v) for v in key)
         ids, v = read_cell(folder, block, start, end, dim)
         chosen = np.searchsorted(ids, rows.job_index.to_numpy())
         ids, v = ids[chosen], v[chosen]
@@ -408,7 +422,7 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
 
     results = first.select("job_index", "other", "similarity")
     if blocks > 1:
-        results = results.unionByName(visits.repartition(len(tasks), "cell", "home", "start", "stop").groupBy("cell", "home", "start", "stop").applyInPandas(visit, "job_index bigint, other array<bigint>, similarity array<double>"))
+        results = results.unionByName(visits.repartition(2 * blocks * lanes, "cell", "lane").groupBy("cell", "lane", "home", "start", "stop").applyInPandas(visit, "job_index bigint, other array<bigint>, similarity array<double>"))
     pairs = results.select("job_index", F.explode(F.arrays_zip("other", "similarity")).alias("z")).select("job_index", (-F.col("z.similarity")).alias("s"), F.col("z.other").alias("other"))
     top = pairs.groupBy("job_index").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "other"))), 1, k).alias("best"))
     return top.select("job_index", F.posexplode("best").alias("place", "b")).select("job_index", F.col("b.other").alias("other"), (-F.col("b.s")).alias("similarity"), (F.col("place") + 1).alias("place"))
