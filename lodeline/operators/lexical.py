@@ -45,12 +45,6 @@ def explode_tokens(docs: DataFrame, fields: dict[str, Column], doc: str = "doc")
     return docs.select(F.col(doc).alias("doc"), F.explode(arrays).alias("f")).select("doc", F.col("f.field").alias("field"), F.explode("f.tokens").alias("term"))
 
 
-def index_words(token_array: Column) -> Column:
-    """What an index with a word tokenizer keeps of given tokens: runs of letters and digits of at most 40 bytes, repeated ones included."""
-    words = F.flatten(F.transform(token_array, lambda t: F.regexp_extract_all(t, F.lit(r"([\p{L}\p{N}]+)"), 1)))
-    return F.filter(words, lambda w: F.octet_length(w) <= 40)
-
-
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 

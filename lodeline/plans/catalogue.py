@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.plans import general
+from lodeline.plans import general, retrieval
 
-MODULES = [general]
+MODULES = [retrieval, general]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return general.p4_found(spark, sf)
+    return retrieval.graph_conditioned_search(spark, sf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
