@@ -37,6 +37,7 @@ from lodeline.runtime import ensure_checkpoint_dir
 M, TREE_DIMS, P = 96, 8, 0.97
 CELL, SLICE, LEAF, BATCH, SAMPLE = 16_384, 4_096, 512, 512, 20_000
 RANGES_LIMIT = 200_000
+BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def directions(dim: int) -> np.ndarray:
@@ -271,19 +272,20 @@ def packed(vectors: DataFrame, shards: DataFrame, dim: int) -> tuple[DataFrame,
         ok = ok.join(ranges.filter("row_end > row_start").select(F.explode(F.expr("sequence(row_start, row_end - 1)")).alias("job_index")).distinct(), "job_index", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("job_index").to_numpy(zero_copy_only=False).astype(np.int64)
-            e = b.column("embedding")
-            v = e.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(ids), dim)
-            with np.errstate(all="ignore"):
-                keep = np.isfinite(v).all(1) & (v != 0).any(1)
-                half = v.astype(np.float16)
-                exact = (half.astype(np.float32) == v).all(1)
-            if intervals is not None:
-                i = np.searchsorted(intervals[0], ids, side="right") - 1
-                keep &= (i >= 0) & (ids < intervals[1][np.maximum(i, 0)] if len(intervals[0]) else False)
-            rows = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([half[r].tobytes() if exact[r] else v[r].tobytes() for r in rows], pa.binary())], names=["job_index", "v"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):  # keeps the arrays small
+                b = whole.slice(at, 1_000)
+                ids = b.column("job_index").to_numpy(zero_copy_only=False).astype(np.int64)
+                v = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(ids), dim)
+                with np.errstate(all="ignore"):
+                    keep = np.isfinite(v).all(1) & (v != 0).any(1)
+                    half = v.astype(np.float16)
+                    exact = (half == v).all(1)
+                if intervals is not None:
+                    i = np.searchsorted(intervals[0], ids, side="right") - 1
+                    keep &= (i >= 0) & (ids < intervals[1][np.maximum(i, 0)] if len(intervals[0]) else False)
+                rows = np.flatnonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([half[r].tobytes() if exact[r] else v[r].tobytes() for r in rows], pa.binary())], names=["job_index", "v"])
 
     return ok.mapInArrow(run, "job_index bigint, v binary")
 
@@ -335,6 +337,7 @@ def cell_index(folder: str, block: int, dim: int) -> CellIndex:
 def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 1024, cell: int = CELL) -> DataFrame:
     """``job_index, other, similarity, place``: the k most similar other vectors of every usable vector."""
     spark = vectors.sparkSession
+    batches = spark.conf.get(BATCHES)
     ready = packed(vectors, shards, dim)
     n = vectors.select("job_index").count()
     every = max(1, n // SAMPLE)
@@ -363,9 +366,11 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
                 h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column("job_index"), b.column("v"), pa.array(base[c] + h % pieces[c])], names=["job_index", "v", "block"])
 
+    spark.conf.set(BATCHES, 1_000)  # a row is 4 KB; restored below
     folder = f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
     blocks = int(base[-1])
     ready.mapInArrow(place, "job_index bigint, v binary, block bigint").repartition(max(1, blocks), "block").write.option("compression", "none").partitionBy("block").parquet(folder)
+    spark.conf.set(BATCHES, batches)
     lo, hi = boxes(splits, TREE_DIMS)
     stop = chi2_quantile(P, M)
     counts = [(r["block"], r["n"]) for r in spark.read.schema("job_index bigint, block bigint").parquet(folder).groupBy("block").agg(F.countDistinct("job_index").alias("n")).collect()]  # one row for each 30,000 vectors
