@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.plans import general, retrieval
+from lodeline.plans import general, pipelines, retrieval
 
-MODULES = [retrieval, general]
+MODULES = [retrieval, pipelines, general]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeline.functions import text as X
 from lodeline.functions import times, vectors
 from lodeline.operators import dense, engine, evaluate, graph, lexical, taxonomy
-from lodeline.runtime import table
+from lodeline.runtime import materialize, table
 
 QUERIES = [("q1", "weekly stock reports"), ("q2", "shift rosters using python"), ("q3", "customer refund cases"), ("q4", "manual steps excel sql")]
 JOB_TERMS = [("j1", "python engineer"), ("j2", "excel word outlook"), ("j3", "sql docker kubernetes")]
@@ -85,8 +85,7 @@ def bm25_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
 def bm25_filtered_before_topk(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     docs = d.select(F.col("doc_id").alias("doc"), F.coalesce("source", F.lit("")).alias("location"), F.coalesce("lang", F.lit("")).alias("duty"), F.when(F.col("text").isNull(), "0").otherwise("1").alias("visible"), F.unix_millis(F.col("posted_at").cast("timestamp")).alias("updated_ms"))
-    bound = docs.agg(F.max("updated_ms").alias("m"))
-    r = spark.createDataFrame([("q1", ["portal_feed", "web_form"], ["en"]), ("q2", [], ["en", "zh"]), ("q3", ["crawler"], []), ("q4", None, ["en"])], "qid string, locations array<string>, duties array<string>").crossJoin(bound).withColumn("minimum_ms", F.col("m") - 180 * 86_400_000)
+    r = spark.createDataFrame([("q1", ["portal_feed", "web_form"], ["en"]), ("q2", [], ["en", "zh"]), ("q3", ["crawler"], []), ("q4", None, ["en"])], "qid string, locations array<string>, duties array<string>").withColumn("minimum_ms", F.lit(1_767_225_600_000))
     s = lexical.score(_terms(spark, QUERIES), _doc_index(spark, sf), eligible=lexical.eligible_rows(docs, r))
     return lexical.top_k(s, 20).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
@@ -267,7 +266,7 @@ def skill_trace(spark: SparkSession, sf: str) -> DataFrame:
 
 def graph_integrity(spark: SparkSession, sf: str) -> DataFrame:
     m = _mentions(spark, sf)
-    few = graph.skill_support(m, 400).select("skill")
+    few = graph.skill_support(m, 2_250).select("skill")
     r = graph.skill_relations(_relations(spark, sf), m, MIN_SUPPORT)
     v = graph.graph_violations(m.select("record", "skill"), few, r, _relations(spark, sf))
     return v.groupBy("rule").agg(F.count("*").alias("n"))
@@ -309,9 +308,10 @@ def bridge_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
     index, eligible = _brand_index(spark, sf), _eligible_orders(spark, sf)
-    base = _baseline(spark, sf, index, eligible)
+    index = lexical.Index(materialize(index.postings), index.fields, materialize(index.terms))
+    base = materialize(_baseline(spark, sf, index, eligible))  # the tables below are read several times; none exceeds 1,000 rows a query or the skill graph
     m = _mentions(spark, sf)
-    relations = graph.skill_relations(_relations(spark, sf), m, MIN_SUPPORT)
+    relations = materialize(graph.skill_relations(_relations(spark, sf), m, MIN_SUPPORT))
 
     def search(b: DataFrame) -> DataFrame:
         """All bridges of all queries at once: the pair is the query id of a BM25 batch."""
@@ -321,7 +321,7 @@ def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
         top = lexical.top_k(lexical.score(terms, index, eligible=allowed), graph.JOBS_PER_BRIDGE)
         return top.select(F.split("qid", "\x01")[0].alias("qid"), F.split("qid", "\x01")[1].alias("bridge"), "doc", "rank")
 
-    return base, _anchors(spark, sf, base), relations, search
+    return base, materialize(_anchors(spark, sf, base)), relations, search
 
 
 def graph_conditioned_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -522,7 +522,7 @@ def oracle_sql() -> dict[str, str]:
     fresh = "CASE WHEN {t} > {a} THEN 0.0 ELSE greatest(0.0, 1 - (epoch_us({a}) - epoch_us({t})) / 86400000000.0 / 180) END"
     as_of = "TIMESTAMP '2024-01-20 00:00:00'"
     elig_docs = f"""SELECT qid, doc_id AS doc FROM documents, (VALUES ('q1', ['portal_feed', 'web_form'], ['en']), ('q2', []::VARCHAR[], ['en', 'zh']), ('q3', ['crawler'], []::VARCHAR[])) AS r(qid, l, d)
-      WHERE text IS NOT NULL AND epoch_ms(posted_at) >= (SELECT max(epoch_ms(posted_at)) FROM documents) - 180 * 86400000::BIGINT AND (len(l) = 0 OR list_contains(l, coalesce(source, ''))) AND (len(d) = 0 OR list_contains(d, coalesce(lang, '')))"""
+      WHERE text IS NOT NULL AND epoch_ms(posted_at) >= 1767225600000 AND (len(l) = 0 OR list_contains(l, coalesce(source, ''))) AND (len(d) = 0 OR list_contains(d, coalesce(lang, '')))"""
     job_occ = " UNION ALL ".join(f"SELECT '{f}' AS field, job_id AS doc, unnest({WORDS_SQL.format(c)}) AS term FROM jobs" for f, c in (("title", "title"), ("skills", "computer_skills"), ("body", "description")))
     usable = "SELECT {id}, {v}::DOUBLE[] AS v, ({v} IS NOT NULL AND len({v}) > 0 AND len(list_filter({v}, lambda x: NOT isfinite(x) OR x IS NULL)) = 0) AS fin FROM {t}"
     audit = "SELECT count(*) AS n_rows, count(*) FILTER (NOT u) AS n_unusable, count(*) FILTER (u AND abs(norm - 1) > 2e-3) AS n_off_norm, round(max(abs(norm - 1)) FILTER (u), 6) AS max_deviation FROM (SELECT fin AND norm > 0 AS u, norm FROM (SELECT fin, CASE WHEN fin THEN sqrt(list_sum(list_transform(v, lambda x: x * x))) ELSE 0 END AS norm FROM w))"
@@ -558,7 +558,7 @@ def oracle_sql() -> dict[str, str]:
         "undirected_relation_join": f"WITH {GRAPH} SELECT 'brand#3' AS skill, CASE WHEN source = 'brand#3' THEN target ELSE source END AS related, type, round(weight, 6) AS weight FROM sr WHERE source = 'brand#3' OR target = 'brand#3'",
         "skill_trace": f"""WITH {GRAPH}, a AS (SELECT DISTINCT skill, 'job' AS kind, record::VARCHAR AS item, 1.0::DOUBLE AS weight FROM mentions UNION ALL SELECT skill, 'duty', duty, weight FROM ds UNION ALL SELECT source, 'related', target, weight FROM sr UNION ALL SELECT target, 'related', source, weight FROM sr)
           SELECT DISTINCT skill, kind, item, round(weight, 6) AS weight FROM (SELECT * FROM a WHERE skill IN ('brand#3', 'brand#7') QUALIFY row_number() OVER (PARTITION BY skill, kind ORDER BY weight DESC, item) <= 10)""",
-        "graph_integrity": f"""WITH {GRAPH}, few AS (SELECT skill FROM mentions GROUP BY skill HAVING count(DISTINCT record) >= 400), v AS (
+        "graph_integrity": f"""WITH {GRAPH}, few AS (SELECT skill FROM mentions GROUP BY skill HAVING count(DISTINCT record) >= 2250), v AS (
           SELECT 'unknown skill' AS rule, skill AS k FROM (SELECT DISTINCT skill FROM mentions) WHERE skill NOT IN (SELECT skill FROM few)
           UNION ALL SELECT 'unknown end', s FROM (SELECT DISTINCT unnest([source, target]) AS s FROM sr) WHERE s NOT IN (SELECT skill FROM few)
           UNION ALL SELECT 'end not on record', s FROM (SELECT DISTINCT record, unnest([source, target]) AS s FROM rel) e WHERE NOT EXISTS (SELECT 1 FROM mentions m WHERE m.record = e.record AND m.skill = e.s)) SELECT rule, count(*) AS n FROM v GROUP BY rule""",
