@@ -22,7 +22,7 @@ from __future__ import annotations
 import gc
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -256,8 +256,9 @@ class CellIndex:
             reach_radius *= 2
 
 
-def packed(vectors: DataFrame, shards: DataFrame, dim: int) -> tuple[DataFrame, list[str]]:
-    """``job_index, v``: usable vectors that the shards stand for, as half floats where these hold them exactly."""
+def packed(vectors: DataFrame, shards: DataFrame, dim: int, finish: Callable[[np.ndarray, np.ndarray, list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
+    """Usable vectors that the shards stand for. ``finish`` gets ids, vectors and their bytes (half floats where these hold them
+    exactly) and makes the output within the same Python task."""
     ok = vectors.select("job_index", "embedding").filter(F.col("job_index").isNotNull() & (F.size("embedding") == dim))
     h = ok.select("job_index", F.xxhash64("embedding").alias("h"))
     many = h.groupBy("job_index").agg(F.min("h").alias("h"), F.max("h").alias("g")).filter("h <> g").select("job_index", "h")
@@ -285,9 +286,10 @@ def packed(vectors: DataFrame, shards: DataFrame, dim: int) -> tuple[DataFrame,
                     i = np.searchsorted(intervals[0], ids, side="right") - 1
                     keep &= (i >= 0) & (ids < intervals[1][np.maximum(i, 0)] if len(intervals[0]) else False)
                 rows = np.flatnonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([half[r].tobytes() if exact[r] else v[r].tobytes() for r in rows], pa.binary())], names=["job_index", "v"])
+                if len(rows):
+                    yield finish(ids[rows], v[rows], [half[r].tobytes() if exact[r] else v[r].tobytes() for r in rows])
 
-    return ok.mapInArrow(run, "job_index bigint, v binary")
+    return ok.mapInArrow(run, schema)
 
 
 def unpack(values: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -338,18 +340,15 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
     """``job_index, other, similarity, place``: the k most similar other vectors of every usable vector."""
     spark = vectors.sparkSession
     batches = spark.conf.get(BATCHES)
-    ready = packed(vectors, shards, dim)
     n = vectors.select("job_index").count()
     every = max(1, n // SAMPLE)
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = (unit(unpack(b.column("v"), dim)) @ directions(dim))[:, :TREE_DIMS]
-            yield pa.RecordBatch.from_arrays([pa.array(p.tolist(), pa.list_(pa.float32()))], names=["p"])
+    def project(_: np.ndarray, v: np.ndarray, __: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array((unit(v) @ directions(dim))[:, :TREE_DIMS].tolist(), pa.list_(pa.float32()))], names=["p"])
 
     splits, sizes = [], np.array([n])
     if n > cell:
-        picked = packed(vectors.filter(F.pmod(F.xxhash64("job_index"), F.lit(every)) == 0), shards, dim).mapInArrow(project, "p array<float>").limit(2 * SAMPLE).toPandas()
+        picked = packed(vectors.filter(F.pmod(F.xxhash64("job_index"), F.lit(every)) == 0), shards, dim, project, "p array<float>").limit(2 * SAMPLE).toPandas()
         if len(picked):
             p = np.stack(picked.p).astype(np.float32)
             splits = kd_splits(p, -(-n // cell))
@@ -358,18 +357,15 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
     base = np.r_[0, np.cumsum(pieces)]
     cell_of = np.repeat(np.arange(len(pieces)), pieces)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                ids = b.column("job_index").to_numpy()
-                c = assign(splits, (unit(unpack(b.column("v"), dim)) @ directions(dim))[:, :TREE_DIMS]) if splits else np.zeros(len(ids), np.int32)
-                h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("job_index"), b.column("v"), pa.array(base[c] + h % pieces[c])], names=["job_index", "v", "block"])
+    def place(ids: np.ndarray, v: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        c = assign(splits, (unit(v) @ directions(dim))[:, :TREE_DIMS]) if splits else np.zeros(len(ids), np.int32)
+        h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(data, pa.binary()), pa.array(base[c] + h % pieces[c])], names=["job_index", "v", "block"])
 
     spark.conf.set(BATCHES, 1_000)  # a row is 4 KB; restored below
     folder = f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
     blocks = int(base[-1])
-    ready.mapInArrow(place, "job_index bigint, v binary, block bigint").repartition(max(1, blocks), "block").write.option("compression", "none").partitionBy("block").parquet(folder)
+    packed(vectors, shards, dim, place, "job_index bigint, v binary, block bigint").repartition(max(1, blocks), "block").write.option("compression", "none").partitionBy("block").parquet(folder)
     spark.conf.set(BATCHES, batches)
     lo, hi = boxes(splits, TREE_DIMS)
     stop = chi2_quantile(P, M)
