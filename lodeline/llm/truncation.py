@@ -6,10 +6,10 @@
   rate of each source and unit at ``FDR``. What stays are the lengths at which a source cuts.
 * *Endings*: a text that ends without a closing sign is compared with the whole corpus. For the last 10, 5, 3 and 2 signs of its
   last sentence (digits alike, cut at the sentence's start) the corpus gives how often that run goes on and how often a
-  sentence or text ends with it; the longest run with evidence counts. Runs are counted for the endings that occur,
+  sentence ends with it, with and without a closing sign; the longest run with evidence counts. Runs are counted for the endings that occur,
   selected by a bit map of fixed size, pre-aggregated in each task.
 * A text is cut if its markup or its last character is broken, if it ends in an opening or connecting sign, or if its ending goes on
-  elsewhere: mostly (``SURE``) anywhere, or noticeably (``LIKELY``) at a significant length.
+  elsewhere: mostly (``SURE``) or, with missing closing signs, nearly always (``ALWAYS``); at a significant length ``LIKELY`` is enough.
 
 Defined results: null, empty and blank texts are never cut; complete texts without a closing sign (list entries, contact
 lines, tags) aren't either; a null source is a source of its own; repeated rows are judged alike; texts of any length are read whole.
@@ -31,12 +31,13 @@ from pyspark.sql.types import DoubleType
 from lodeline.runtime import materialize
 
 RUNS = (10, 5, 3, 2)
-FDR, NEAR, GAP, SURE, LIKELY, EVIDENCE = 0.001, 25, 3, 0.6, 0.25, 3
+FDR, NEAR, GAP, SURE, ALWAYS, LIKELY, EVIDENCE = 0.001, 25, 3, 0.6, 0.95, 0.25, 3
 BITS = 1 << 24
 _MARK = re.compile(r"(?:…|\.{3})+$")
 _TRAIL = re.compile(r"(?:\s|&nbsp;|&#160;|</?[A-Za-z][^<>]*>)+$")
 _BROKEN = re.compile(r"(?:<[/!]?[A-Za-z]*[^<>]{0,200}|<|&#?[A-Za-z0-9]{0,8})$")
-_END = re.compile(r"(?:[。！？!?；\n]|\.(?=[\s　-鿿（【]|$)|(?<=[a-z0-9])\.(?=[A-Z])|…|\.{3})[\s\-*●•。！？!?；…]*")
+_END = re.compile(r"(?:[。！？!?；\n]|\.(?=[　-鿿（【]|\s+[^\s\d]|\s*$)|(?<=[a-z0-9])\.(?=[A-Z])|…|\.{3})[\s\-*●•。！？!?；…]*")
+_SIGNED = re.compile(r"[。！？!?；]|^\.(?!\.\.)")
 _DIGITS = {i: "9" for i in range(0x30, 0x3A)} | {i: "9" for i in range(0xFF10, 0xFF1A)}
 CLOSING = set("。！？!?.）)」』”\"’】〕]》>")
 CONNECTING = set("，,、：:（(「『“【〔[《<&/+=\\")
@@ -49,12 +50,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def skeleton(text: str) -> str:
-    """Sentence ends become one sign (1), digits alike; starts with a sentence end."""
-    return "\x01" + _END.sub("\x01", text.translate(_DIGITS))
+    """Sentence ends become one sign, 3 if they have a closing sign and 1 if not (line ends); digits alike; starts with an end."""
+    return "\x01" + _END.sub(lambda m: "\x03" if _SIGNED.search(m.group()) else "\x01", text.translate(_DIGITS))
 
 
 def run_keys(signs: np.ndarray, k: int) -> np.ndarray:
     """For every position the key of the run of k signs that ends there, cut at the sentence's start."""
+    signs = np.where(signs == 3, np.uint64(1), signs)
     h = np.full(len(signs), k, np.uint64)
     alive = np.ones(len(signs), bool)
     for i in range(k):
@@ -69,7 +71,7 @@ def codes(text: str) -> np.ndarray:
 
 
 def ending(text: str | None) -> tuple[str, str]:
-    """``(state, tail)``: whole, cut, or ask with the last sentence's skeleton."""
+    """``(state, tail)``: whole, cut, or ask with the last sentence's skeleton (mark, if signs for missing text follow it)."""
     if text is None or not text.strip():
         return "whole", ""
     t = _TRAIL.sub("", text)
@@ -85,12 +87,12 @@ def ending(text: str | None) -> tuple[str, str]:
             return "cut", ""
     elif not marked or marked[-1] in "。！？!?":
         return "whole", ""
-    s = skeleton(marked)
-    return "ask", s[s.rindex("\x01") if not s.endswith("\x01") else s.rstrip("\x01").rfind("\x01") :].rstrip("\x01")
+    s = skeleton(marked).replace("\x03", "\x01").rstrip("\x01")
+    return "ask" if len(marked) == len(t) else "mark", s[s.rfind("\x01") :] if s else ""
 
 
 def endings(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, n_chars, n_bytes, state, keys``."""
+    """``doc_id, source, digest, n_chars, n_bytes, state, keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,9 +105,9 @@ def endings(docs: DataFrame) -> DataFrame:
                 size.append(len(own.encode("utf-8", "surrogatepass")))
                 states.append(state)
                 keys.append([int(run_keys(codes(tail[-(k + 1) :]), k)[-1]) for k in RUNS] if tail else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(chars, pa.int64()), pa.array(size, pa.int64()), pa.array(states), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "source", "n_chars", "n_bytes", "state", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("digest"), pa.array(chars, pa.int64()), pa.array(size, pa.int64()), pa.array(states), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "source", "digest", "n_chars", "n_bytes", "state", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "source", "text").mapInArrow(run, "doc_id bigint, source string, n_chars bigint, n_bytes bigint, state string, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "source", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "doc_id bigint, source string, digest bigint, n_chars bigint, n_bytes bigint, state string, keys array<bigint>")
 
 
 def bit_map(keys: DataFrame) -> np.ndarray:
@@ -119,7 +121,7 @@ def bit_map(keys: DataFrame) -> np.ndarray:
 
 
 def continuations(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``key, goes_on, ends``: how often each run of the asked endings goes on or ends a sentence in the corpus."""
+    """``key, goes_on, signed, ends``: how often each run of the asked endings goes on in the corpus, or ends a sentence with or without a closing sign."""
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_map(asked)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +133,14 @@ def continuations(docs: DataFrame, asked: DataFrame) -> DataFrame:
                 following = np.concatenate([joined[1:], np.array([2], np.uint64)])
                 for k in RUNS:
                     key = run_keys(np.where(joined == 2, np.uint64(1), joined), k)
-                    pick = (joined > 2) & (following != 2) & bits[key % BITS]
+                    pick = (joined > 3) & (following != 2) & bits[key % BITS]
                     u, inverse = np.unique(key[pick], return_inverse=True)
-                    end = np.bincount(inverse, weights=following[pick] == 1, minlength=len(u)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(inverse, minlength=len(u)).astype(np.int64) - end), pa.array(end)], names=["key", "goes_on", "ends"])
+                    signed, end = (np.bincount(inverse, weights=following[pick] == sign, minlength=len(u)).astype(np.int64) for sign in (3, 1))
+                    all_ = np.bincount(inverse, minlength=len(u)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(all_ - signed - end), pa.array(signed), pa.array(end)], names=["key", "goes_on", "signed", "ends"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, goes_on bigint, ends bigint").groupBy("key").agg(F.sum("goes_on").alias("goes_on"), F.sum("ends").alias("ends"))
+    counts = docs.select("text").mapInArrow(run, "key bigint, goes_on bigint, signed bigint, ends bigint")
+    return counts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("goes_on", "signed", "ends")])
 
 
 @F.pandas_udf(DoubleType())
@@ -161,8 +165,11 @@ def poisson_tail(n: pd.Series, mean: pd.Series) -> pd.Series:
 
 
 def cutting_lengths(ends: DataFrame) -> DataFrame:
-    """``source, unit, length, n, expected, p``: lengths whose hazard stands out, by the Benjamini-Hochberg rule."""
-    lengths = ends.filter("n_chars > 0").select("source", F.explode(F.create_map(F.lit("chars"), "n_chars", F.lit("bytes"), "n_bytes")).alias("unit", "length"))
+    """``source, unit, length, n, expected, p``: lengths whose hazard stands out, by the Benjamini-Hochberg rule.
+
+    A text that a source sends again counts once.
+    """
+    lengths = ends.filter("n_chars > 0").select("source", "digest", "n_chars", "n_bytes").distinct().select("source", F.explode(F.create_map(F.lit("chars"), "n_chars", F.lit("bytes"), "n_bytes")).alias("unit", "length"))
     counts = lengths.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     own = Window.partitionBy("source", "unit").orderBy("length")
     risk = counts.withColumn("risk", F.sum("n").over(own.rowsBetween(0, Window.unboundedFollowing)))
@@ -185,14 +192,18 @@ def judged(docs: DataFrame) -> DataFrame:
     limits = cutting_lengths(ends).select(F.col("source").alias("s"), "unit", "length")
     by = ends.select("row", "source", F.explode(F.create_map(F.lit("chars"), "n_chars", F.lit("bytes"), "n_bytes")).alias("unit", "length"))
     at = by.join(limits.withColumnRenamed("unit", "u").withColumnRenamed("length", "l"), F.col("source").eqNullSafe(F.col("s")) & (F.col("unit") == F.col("u")) & (F.col("length") == F.col("l"))).select("row").distinct().withColumn("at_limit", F.lit(True))
-    asked = ends.filter("state = 'ask' and size(keys) > 0").select("row", F.posexplode("keys").alias("level", "key"))
+    asked = ends.filter("state in ('ask', 'mark') and size(keys) > 0").select("row", F.posexplode("keys").alias("level", "key"))
     tails = asked.groupBy("key").agg(F.count("*").alias("tails"))
-    known = tails.join(continuations(docs, tails.select("key")), "key", "left").select("key", "tails", F.coalesce("goes_on", F.lit(0)).alias("goes_on"), F.coalesce("ends", F.lit(0)).alias("ends"))
-    known = known.withColumn("total", F.col("goes_on") + F.col("ends") + F.col("tails")).filter(F.col("total") > EVIDENCE)
-    open_ = asked.join(known, "key").groupBy("row").agg(F.min_by(F.col("goes_on") / F.col("total"), "level").alias("open"))
+    known = tails.join(continuations(docs, tails.select("key")), "key", "left").select("key", "tails", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("goes_on", "signed", "ends")])
+    known = known.withColumn("total", F.col("goes_on") + F.col("signed") + F.col("ends") + F.col("tails")).filter(F.col("total") > EVIDENCE)
+    open_ = asked.join(known, "key").groupBy("row").agg(F.min_by(F.struct((F.col("goes_on") / F.col("total")).alias("open"), ((F.col("goes_on") + F.col("signed")) / F.col("total")).alias("unsigned")), "level").alias("e")).select("row", "e.open", "e.unsigned")
     out = ends.join(open_, "row", "left").join(at, "row", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
-    asks = (F.col("state") == "ask") & ((F.coalesce("open", F.lit(0.0)) >= SURE) | (F.col("at_limit") & (F.coalesce("open", F.lit(1.0)) >= LIKELY)))
-    return out.select("doc_id", "source", ((F.col("state") == "cut") | asks).alias("cut"), "at_limit", F.round("open", 4).alias("open"), "state")
+    open_share, unsigned = F.coalesce("open", F.lit(0.0)), F.coalesce("unsigned", F.lit(0.0))
+    unknown = F.col("at_limit") & F.col("open").isNull()  # an ending that occurs nowhere else
+    asked_ = (open_share >= SURE) | (unsigned >= ALWAYS) | (F.col("at_limit") & (unsigned >= LIKELY)) | unknown
+    marked = (open_share >= SURE) | (F.col("at_limit") & (open_share >= LIKELY)) | unknown
+    asks = ((F.col("state") == "ask") & asked_) | ((F.col("state") == "mark") & marked)
+    return out.select("doc_id", "source", ((F.col("state") == "cut") | asks).alias("cut"), "at_limit", F.round("open", 4).alias("open"), F.round("unsigned", 4).alias("unsigned"), "state")
 
 
 def found(docs: DataFrame) -> DataFrame:
