@@ -9,7 +9,8 @@
   sentence ends with it, with and without a closing sign; the longest run with evidence counts. Runs are counted for the endings that occur,
   selected by a bit map of fixed size, pre-aggregated in each task.
 * A text is cut if its markup or its last character is broken, if it ends in an opening or connecting sign, or if its ending goes on
-  elsewhere: mostly (``SURE``) or, with missing closing signs, nearly always (``ALWAYS``); at a significant length ``LIKELY`` is enough.
+  elsewhere: mostly (``SURE``) or, with missing closing signs, nearly always (``ALWAYS``); at a significant length,
+  or before signs that stand for missing text, ``LIKELY`` is enough.
 
 Defined results: null, empty and blank texts are never cut; complete texts without a closing sign (list entries, contact
 lines, tags) aren't either; a null source is a source of its own; repeated rows are judged alike; texts of any length are read whole.
@@ -35,6 +36,7 @@ FDR, NEAR, GAP, SURE, ALWAYS, LIKELY, EVIDENCE = 0.001, 25, 3, 0.6, 0.95, 0.25,
 BITS = 1 << 24
 _MARK = re.compile(r"(?:…|\.{3})+$")
 _TRAIL = re.compile(r"(?:\s|&nbsp;|&#160;|</?[A-Za-z][^<>]*>)+$")
+_CONTROL = re.compile(r"<\|[^|<>]{1,30}\|>|</?s>")
 _BROKEN = re.compile(r"(?:<[/!]?[A-Za-z]*[^<>]{0,200}|<|&#?[A-Za-z0-9]{0,8})$")
 _END = re.compile(r"(?:[。！？!?；\n]|\.(?=[　-鿿（【]|\s+[^\s\d]|\s*$)|(?<=[a-z0-9])\.(?=[A-Z])|…|\.{3})[\s\-*●•。！？!?；…]*")
 _SIGNED = re.compile(r"[。！？!?；]|^\.(?!\.\.)")
@@ -51,7 +53,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def skeleton(text: str) -> str:
     """Sentence ends become one sign, 3 if they have a closing sign and 1 if not (line ends); digits alike; starts with an end."""
-    return "\x01" + _END.sub(lambda m: "\x03" if _SIGNED.search(m.group()) else "\x01", text.translate(_DIGITS))
+    return "\x01" + _END.sub(lambda m: "\x03" if _SIGNED.search(m.group()) else "\x01", _CONTROL.sub("", text).translate(_DIGITS))
 
 
 def run_keys(signs: np.ndarray, k: int) -> np.ndarray:
@@ -74,7 +76,7 @@ def ending(text: str | None) -> tuple[str, str]:
     """``(state, tail)``: whole, cut, or ask with the last sentence's skeleton (mark, if signs for missing text follow it)."""
     if text is None or not text.strip():
         return "whole", ""
-    t = _TRAIL.sub("", text)
+    t = _TRAIL.sub("", _CONTROL.sub("", text) if "<" in text else text)
     if not t:
         return "whole", ""
     if t[-1] == "�" or _BROKEN.search(t[-260:]):
@@ -201,7 +203,7 @@ def judged(docs: DataFrame) -> DataFrame:
     open_share, unsigned = F.coalesce("open", F.lit(0.0)), F.coalesce("unsigned", F.lit(0.0))
     unknown = F.col("at_limit") & F.col("open").isNull()  # an ending that occurs nowhere else
     asked_ = (open_share >= SURE) | (unsigned >= ALWAYS) | (F.col("at_limit") & (unsigned >= LIKELY)) | unknown
-    marked = (open_share >= SURE) | (F.col("at_limit") & (open_share >= LIKELY)) | unknown
+    marked = (open_share >= LIKELY) | unknown
     asks = ((F.col("state") == "ask") & asked_) | ((F.col("state") == "mark") & marked)
     return out.select("doc_id", "source", ((F.col("state") == "cut") | asks).alias("cut"), "at_limit", F.round("open", 4).alias("open"), F.round("unsigned", 4).alias("unsigned"), "state")
 
