@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.runtime import bounded
+
 
 def staging_audit(rows: DataFrame, key: str, number: str, required: list[str]) -> DataFrame:
     """Rows, distinct keys, least and greatest number, rows with a required column missing; one pass."""
@@ -36,13 +38,13 @@ def order_digest(rows: DataFrame, value: Column, by: Column, blocks: int = 1) ->
 
 def inventory_rules(objects: DataFrame, rules: DataFrame) -> DataFrame:
     """``path, n_rules``: objects that don't match exactly one prefix. Rules are a small table."""
-    met = objects.join(F.broadcast(rules.limit(10_000)), F.startswith(F.col("path"), F.col("prefix")), "left")
+    met = objects.join(bounded(rules, 10_000, "rules"), F.startswith(F.col("path"), F.col("prefix")), "left")
     return met.groupBy("path").agg(F.count("prefix").alias("n_rules")).filter("n_rules <> 1")
 
 
 def unused_rules(objects: DataFrame, rules: DataFrame) -> DataFrame:
     """Prefixes that no object has."""
-    used = objects.join(F.broadcast(rules.limit(10_000)), F.startswith(F.col("path"), F.col("prefix"))).select("prefix").distinct()
+    used = objects.join(bounded(rules, 10_000, "rules"), F.startswith(F.col("path"), F.col("prefix"))).select("prefix").distinct()
     return rules.select("prefix").join(used, "prefix", "left_anti")
 
 

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions import vectors as V
-from lodeline.operators.lexical import small
+from lodeline.runtime import bounded
 
 
 def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, eligible: DataFrame | None = None) -> DataFrame:
     """``qid, doc, score, rank`` for ``qid, qvec`` and ``doc, vec``: the query set against all rows, in built-in expressions."""
     rows = vectors if eligible is None or "qid" in eligible.columns else vectors.join(eligible, "doc", "left_semi")
-    met = rows.join(small(queries, 1_000), F.size("vec") == F.size("qvec"))
+    met = rows.join(bounded(queries, 1_000, "queries"), F.size("vec") == F.size("qvec"))
     if eligible is not None and "qid" in eligible.columns:
         met = met.join(eligible, ["qid", "doc"], "left_semi")
     scored = met.select("qid", "doc", V.dot(F.col("vec"), F.col("qvec")).alias("score"))
@@ -54,7 +54,7 @@ def batched_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 
 def max_sim(queries: DataFrame, views: DataFrame) -> DataFrame:
     """``qid, doc, score``: the best similarity over the views ``doc, vec`` of a document."""
-    met = views.join(small(queries, 1_000), F.size("vec") == F.size("qvec"))
+    met = views.join(bounded(queries, 1_000, "queries"), F.size("vec") == F.size("qvec"))
     return met.groupBy("qid", "doc").agg(F.max(V.dot(F.col("vec"), F.col("qvec"))).alias("score"))
 
 

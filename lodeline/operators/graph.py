@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.runtime import bounded
+
 # Relation types and the limits of the expansion.
 RELATION_TYPES = ["RELATED_TO", "SPECIALIZATION_OF", "USED_WITH"]
 SEED_JOBS = 10
@@ -47,16 +49,17 @@ def category_conflicts(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("skill").agg(F.countDistinct("category").alias("categories"), F.count("*").alias("mentions")).filter("categories > 1")
 
 
-def duty_skills(mentions: DataFrame, minimum: int = 1) -> DataFrame:
-    """``duty, skill, support, weight``: weight is the share of the duty's records that hold the skill."""
+def duty_skills(mentions: DataFrame, minimum: int = 1, support: DataFrame | None = None) -> DataFrame:
+    """``duty, skill, support, weight``: weight is the share of the duty's records that hold the skill. support: a stored ``skill_support``."""
+    promoted = skill_support(mentions, minimum) if support is None else support
     sizes = mentions.select("record", "duty").distinct().groupBy("duty").agg(F.count("*").alias("size"))
-    pairs = mentions.select("record", "duty", "skill").distinct().join(skill_support(mentions, minimum).select("skill"), "skill", "left_semi")
+    pairs = mentions.select("record", "duty", "skill").distinct().join(promoted.select("skill"), "skill", "left_semi")
     return pairs.groupBy("duty", "skill").agg(F.count("*").alias("support")).join(sizes, "duty").select("duty", "skill", "support", (F.col("support") / F.col("size")).alias("weight"))
 
 
-def skill_relations(relations: DataFrame, mentions: DataFrame, minimum: int = 1) -> DataFrame:
+def skill_relations(relations: DataFrame, mentions: DataFrame, minimum: int = 1, support: DataFrame | None = None) -> DataFrame:
     """``source, type, target, support, weight``: weight = support / sqrt(support of source * support of target); both ends promoted."""
-    sup = skill_support(mentions, minimum)
+    sup = skill_support(mentions, minimum) if support is None else support
     clean = relations.filter(F.col("type").isin(RELATION_TYPES) & (F.col("source") != F.col("target")))
     n = clean.select("record", "source", "type", "target").distinct().groupBy("source", "type", "target").agg(F.count("*").alias("support")).filter(F.col("support") >= minimum)
     s = sup.select(F.col("skill").alias("source"), F.col("support").alias("s"))
@@ -96,7 +99,7 @@ def alias_anchors(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     ok = (F.size(F.array_except("words", "tokens")) == 0) & ((F.size("words") == 1) | F.contains(F.col("text"), F.col("alias")))
     named = met.filter(ok).select("qid", "skill")
     other = a.filter(~F.col("alias").rlike(r"^[\x00-\x7F]*$"))
-    named = named.unionByName(other.join(F.broadcast(queries.select("qid", "text").limit(100_000)), F.contains(F.col("text"), F.col("alias"))).select("qid", "skill"))
+    named = named.unionByName(other.join(bounded(queries.select("qid", "text"), 100_000, "queries"), F.contains(F.col("text"), F.col("alias"))).select("qid", "skill"))
     return named.distinct().select("qid", "skill", F.lit(0).alias("priority"), F.lit(1.0).alias("strength"))
 
 

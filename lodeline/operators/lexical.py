@@ -1,7 +1,6 @@
 """Fielded inverted index and BM25 retrieval for batches of queries.
 
-The index is four tables: ``postings(field, term, doc, tf)``, ``lengths(field, doc, dl)``, ``terms(field, term, df)`` and
-``fields(field, avgdl, n)``. Statistics cover all documents, whatever the filters of a query. A query is a row; a single query is a batch of one.
+The index is three tables: ``postings(field, term, doc, tf, dl)``, ``terms(field, term, df)`` and ``fields(field, avgdl, n)``. Statistics cover all documents, whatever the filters of a query. A query is a row; a single query is a batch of one.
 Postings carry the length of their document field, so scoring needs one join on the term and one partial aggregation.
 """
 
@@ -12,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.runtime import bounded, is_literal
+
 K1, B = 1.2, 0.75
-SMALL_ROWS = 100_000
+MOST_REQUESTS = 10_000
 
 
 @dataclass
@@ -23,26 +24,29 @@ class Index:
     terms: DataFrame
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast only what was counted to be small; otherwise the joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """Broadcast what is literal; the size of anything else is left to adaptive execution, which measures it."""
+    return F.broadcast(df) if is_literal(df) else df
+
 
+def token_fields(docs: DataFrame, fields: dict[str, Column], doc: str = "doc") -> DataFrame:
+    """``doc, field, dl, tokens``: one row for each document and field, in one narrow pass."""
+    entries = F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(c, F.array().cast("array<string>")).alias("tokens")) for n, c in fields.items()])
+    return docs.select(F.col(doc).alias("doc"), F.explode(entries).alias("f")).select("doc", "f.field", F.size("f.tokens").alias("dl"), "f.tokens")
 
-def build(occurrences: DataFrame, documents: DataFrame) -> Index:
-    """From ``field, doc, term`` (one row for each occurrence) and all ``doc`` ids."""
-    tf = occurrences.groupBy("field", "doc", "term").agg(F.count("*").alias("tf"))
-    dl = tf.groupBy("field", "doc").agg(F.sum("tf").alias("dl"))
-    postings = tf.join(dl, ["field", "doc"])
-    n = documents.agg(F.count("*").alias("n"))
-    fields = dl.groupBy("field").agg(F.sum("dl").alias("total")).crossJoin(F.broadcast(n)).select("field", (F.col("total") / F.col("n")).alias("avgdl"), "n")  # one row
-    terms = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
-    return Index(postings, fields, terms)
 
+def build(tokens: DataFrame, terms: DataFrame | None = None) -> Index:
+    """From ``doc, field, dl, tokens``, a row for every document and field.
 
-def explode_tokens(docs: DataFrame, fields: dict[str, Column], doc: str = "doc") -> DataFrame:
-    """``field, doc, term`` from token arrays by field; one pass."""
-    arrays = F.array(*[F.struct(F.lit(n).alias("field"), c.alias("tokens")) for n, c in fields.items()])
-    return docs.select(F.col(doc).alias("doc"), F.explode(arrays).alias("f")).select("doc", F.col("f.field").alias("field"), F.explode("f.tokens").alias("term"))
+    Lengths are the sizes of the token arrays, so postings need one aggregation and field statistics none of the exploded rows. With ``terms``
+    only the postings of these terms are made (for a batch over a table without a stored index); all statistics of these terms stay global.
+    """
+    fields = tokens.groupBy("field").agg((F.sum("dl") / F.count("*")).alias("avgdl"), F.count("*").alias("n"))
+    occurrences = tokens.select("field", "doc", "dl", F.explode("tokens").alias("term"))
+    if terms is not None:
+        occurrences = occurrences.join(small(terms.select("term").distinct()), "term", "left_semi")
+    postings = occurrences.groupBy("field", "doc", "dl", "term").agg(F.count("*").alias("tf"))
+    return Index(postings, fields, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -82,7 +86,7 @@ def eligible_rows(docs: DataFrame, requests: DataFrame) -> DataFrame:
     locations or duties: no match at all; empty: no restriction). The time bound is inclusive, there is no upper one.
     """
     visible = docs.filter(F.col("visible") == "1").select("doc", "location", "duty", "updated_ms")
-    r = small(requests.filter(F.col("locations").isNotNull() & F.col("duties").isNotNull()))
+    r = bounded(requests.filter(F.col("locations").isNotNull() & F.col("duties").isNotNull()), MOST_REQUESTS, "requests")
     ok = (
         (F.col("updated_ms") >= F.col("minimum_ms"))
         & ((F.size("locations") == 0) | F.array_contains("locations", F.col("location")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeline.functions import text as X
 from lodeline.functions import times
 from lodeline.operators import audit, engine, evaluate, sampling, taxonomy
-from lodeline.runtime import enough_tasks, table
+from lodeline.runtime import enough_tasks, literal, table
 from lodeline.streaming import deliveries
 
 FIXES = {"enginer": "engineer", "acountant": "accountant", "資深": "senior", "night": "夜班"}
@@ -124,11 +124,11 @@ def _objects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def inventory_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.inventory_rules(_objects(spark, sf), spark.createDataFrame([(r,) for r in RULES], "prefix string"))
+    return audit.inventory_rules(_objects(spark, sf), literal(spark, [(r,) for r in RULES], "prefix string"))
 
 
 def inventory_unused(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.unused_rules(_objects(spark, sf), spark.createDataFrame([(r,) for r in RULES], "prefix string"))
+    return audit.unused_rules(_objects(spark, sf), literal(spark, [(r,) for r in RULES], "prefix string"))
 
 
 def release_totals(spark: SparkSession, sf: str) -> DataFrame:

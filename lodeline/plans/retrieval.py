@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeline.functions import text as X
 from lodeline.functions import times, vectors
 from lodeline.operators import dense, engine, evaluate, graph, lexical, taxonomy
-from lodeline.runtime import materialize, table
+from lodeline.runtime import enough_tasks, literal, materialize, table
 
 QUERIES = [("q1", "weekly stock reports"), ("q2", "shift rosters using python"), ("q3", "customer refund cases"), ("q4", "manual steps excel sql")]
 JOB_TERMS = [("j1", "python engineer"), ("j2", "excel word outlook"), ("j3", "sql docker kubernetes")]
@@ -57,53 +57,57 @@ def job_documents(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("job_id", X.serialise_job([n for _, n in X.JOB_FIELDS]).alias("document"))
 
 
-def _doc_index(spark: SparkSession, sf: str) -> lexical.Index:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
-    return lexical.build(lexical.explode_tokens(d, {"body": X.latin_words(F.col("text"))}), d.select("doc"))
+def _doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    d = enough_tasks(table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"))
+    return lexical.token_fields(d, {"body": X.latin_words(F.col("text"))})
 
 
 def postings_stats(spark: SparkSession, sf: str) -> DataFrame:
-    i = _doc_index(spark, sf)
+    i = lexical.build(_doc_tokens(spark, sf))
     return i.terms.join(F.broadcast(i.fields), "field").select("field", "term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def _terms(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    q = spark.createDataFrame(rows, "qid string, text string")
+    q = literal(spark, rows, "qid string, text string")
     return q.select("qid", F.explode(X.query_terms(X.native_tokens(F.col("text")))).alias("term"))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    s = lexical.score(_terms(spark, QUERIES[:1]), _doc_index(spark, sf))
+    q = _terms(spark, QUERIES[:1])
+    s = lexical.score(q, lexical.build(_doc_tokens(spark, sf), q))
     return lexical.top_k(s, 10).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
-    s = lexical.score(_terms(spark, QUERIES), _doc_index(spark, sf))
+    q = _terms(spark, QUERIES)
+    s = lexical.score(q, lexical.build(_doc_tokens(spark, sf), q))
     return lexical.top_k(s, 100).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_filtered_before_topk(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     docs = d.select(F.col("doc_id").alias("doc"), F.coalesce("source", F.lit("")).alias("location"), F.coalesce("lang", F.lit("")).alias("duty"), F.when(F.col("text").isNull(), "0").otherwise("1").alias("visible"), F.unix_millis(F.col("posted_at").cast("timestamp")).alias("updated_ms"))
-    r = spark.createDataFrame([("q1", ["portal_feed", "web_form"], ["en"]), ("q2", [], ["en", "zh"]), ("q3", ["crawler"], []), ("q4", None, ["en"])], "qid string, locations array<string>, duties array<string>").withColumn("minimum_ms", F.lit(1_767_225_600_000))
-    s = lexical.score(_terms(spark, QUERIES), _doc_index(spark, sf), eligible=lexical.eligible_rows(docs, r))
+    r = literal(spark, [("q1", ["portal_feed", "web_form"], ["en"]), ("q2", [], ["en", "zh"]), ("q3", ["crawler"], []), ("q4", None, ["en"])], "qid string, locations array<string>, duties array<string>").withColumn("minimum_ms", F.lit(1_767_225_600_000))
+    q = _terms(spark, QUERIES)
+    s = lexical.score(q, lexical.build(_doc_tokens(spark, sf), q), eligible=lexical.eligible_rows(docs, r))
     return lexical.top_k(s, 20).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_fielded_boosts(spark: SparkSession, sf: str) -> DataFrame:
-    j = table(spark, sf, "jobs").select(F.col("job_id").alias("doc"), "title", "computer_skills", "description")
-    i = lexical.build(lexical.explode_tokens(j, {"title": X.latin_words(F.col("title")), "skills": X.latin_words(F.col("computer_skills")), "body": X.latin_words(F.col("description"))}), j.select("doc"))
-    return lexical.top_k(lexical.score(_terms(spark, JOB_TERMS), i, X.FIELD_BOOSTS), 50).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
+    j = enough_tasks(table(spark, sf, "jobs").select(F.col("job_id").alias("doc"), "title", "computer_skills", "description"))
+    q = _terms(spark, JOB_TERMS)
+    i = lexical.build(lexical.token_fields(j, {"title": X.latin_words(F.col("title")), "skills": X.latin_words(F.col("computer_skills")), "body": X.latin_words(F.col("description"))}), q)
+    return lexical.top_k(lexical.score(q, i, X.FIELD_BOOSTS), 50).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_jobs_full(spark: SparkSession, sf: str) -> DataFrame:
     """All five field groups of the postings with labels, full tokens, weights; visible and recent rows only."""
     j = table(spark, sf, "jobs")
     d = j.select(F.col("job_id").alias("doc"), F.col("source_modified_at").alias("t"), *[n for _, n in X.JOB_FIELDS])
-    words = d.select("doc", *[X.job_field_words(names).alias(g) for g, names in X.FIELD_GROUPS.items()])
-    i = lexical.build(lexical.explode_tokens(words, {g: F.col(g) for g in X.FIELD_GROUPS}), d.select("doc"))
-    q = spark.createDataFrame([("c1", "資料工程師 Python"), ("c2", "門市人員 排班"), ("c3", "會計 Excel")], "qid string, text string")
+    words = materialize(enough_tasks(d).select("doc", *[X.job_field_words(names).alias(g) for g, names in X.FIELD_GROUPS.items()]))  # tokenised once
+    q = literal(spark, [("c1", "資料工程師 Python"), ("c2", "門市人員 排班"), ("c3", "會計 Excel")], "qid string, text string")
     terms = q.select("qid", F.explode(X.query_terms(X.lexical_tokens("text"))).alias("term"))
+    i = lexical.build(lexical.token_fields(words, {g: F.col(g) for g in X.FIELD_GROUPS}), terms)
     visible = table(spark, sf, "jobs_raw").filter(F.col("是否公開") == "1").select(F.col("職缺編號").alias("doc")).distinct()
     newest = d.agg(F.max(F.when(F.col("t") < F.lit("2027-01-01").cast("timestamp_ntz"), F.col("t"))).alias("m"))
     recent = d.crossJoin(F.broadcast(newest)).filter(F.col("t") >= F.col("m") - F.expr("interval 180 days")).select("doc")  # one row
@@ -137,7 +141,7 @@ RANKED = "SELECT qid, doc, round(score, 6) AS score, rank::INT AS rank FROM rank
 
 def eligible_universe(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(F.col("event_id").alias("doc"), F.col("event_type").alias("location"), (F.col("user_id") % 5).cast("string").alias("duty"), F.when(F.col("value") > 1, "1").otherwise("0").alias("visible"), F.unix_millis(F.col("ts").cast("timestamp")).alias("updated_ms"))
-    r = spark.createDataFrame([("e1", ["click", "view"], [], 1705312800000), ("e2", [], ["1", "3"], 1704067200000), ("e3", ["purchase"], ["2"], 1706000000000)], "qid string, locations array<string>, duties array<string>, minimum_ms long")
+    r = literal(spark, [("e1", ["click", "view"], [], 1705312800000), ("e2", [], ["1", "3"], 1704067200000), ("e3", ["purchase"], ["2"], 1706000000000)], "qid string, locations array<string>, duties array<string>, minimum_ms long")
     return lexical.eligible_rows(e, r)
 
 
@@ -179,7 +183,7 @@ RESOLVE = [("r1", ["100100"]), ("r2", ["100101", "100102"]), ("r3", ["100101", "
 
 
 def taxonomy_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    r = spark.createDataFrame(RESOLVE, "qid string, codes array<string>")
+    r = literal(spark, RESOLVE, "qid string, codes array<string>")
     return taxonomy.resolve(r, taxonomy.expand(table(spark, sf, "location_taxonomy"))).select("qid", F.array_join("terms", ",").alias("terms"))
 
 
@@ -259,7 +263,7 @@ def undirected_relation_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def skill_trace(spark: SparkSession, sf: str) -> DataFrame:
     m = _mentions(spark, sf)
-    s = spark.createDataFrame([("brand#3",), ("brand#7",)], "skill string")
+    s = literal(spark, [("brand#3",), ("brand#7",)], "skill string")
     t = graph.trace_skill(s, m, graph.duty_skills(m, MIN_SUPPORT), graph.skill_relations(_relations(spark, sf), m, MIN_SUPPORT))
     return t.withColumn("weight", F.round("weight", 6)).distinct()
 
@@ -273,12 +277,13 @@ def graph_integrity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _brand_index(spark: SparkSession, sf: str) -> lexical.Index:
-    occ = _lines(spark, sf).select(F.lit("body").alias("field"), F.col("record").alias("doc"), F.col("brand").alias("term")).distinct()
-    return lexical.build(occ, _orders(spark, sf).select("doc"))
+    brands = _lines(spark, sf).groupBy(F.col("record").alias("doc")).agg(F.collect_set("brand").alias("tokens"))
+    docs = _orders(spark, sf).select("doc").join(brands, "doc", "left")
+    return lexical.build(lexical.token_fields(docs, {"body": F.col("tokens")}))
 
 
 def _graph_queries(spark: SparkSession) -> DataFrame:
-    q = spark.createDataFrame(GRAPH_QUERIES, "qid string, text string, duty string")
+    q = literal(spark, GRAPH_QUERIES, "qid string, text string, duty string")
     return q.withColumn("tokens", X.latin_words(F.col("text")))
 
 
@@ -292,26 +297,33 @@ def _baseline(spark: SparkSession, sf: str, index: lexical.Index, eligible: Data
     return lexical.top_k(lexical.score(q, index, eligible=eligible), k)
 
 
-def _anchors(spark: SparkSession, sf: str, baseline: DataFrame) -> DataFrame:
-    q, m = _graph_queries(spark), _mentions(spark, sf)
-    promoted = graph.skill_support(m, MIN_SUPPORT)
-    aliases = promoted.select(F.col("skill").alias("alias"), "skill")
-    jobs = m.select(F.col("record").alias("doc"), "skill").distinct().join(promoted.select("skill"), "skill", "left_semi")
-    return graph.select_anchors(graph.alias_anchors(q, aliases), graph.duty_anchors(q.select("qid", "duty"), graph.duty_skills(m, MIN_SUPPORT)), graph.seed_anchors(baseline, jobs))
+def _graph_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Promoted skills, duty edges and relations, stored as a build would store them; their size is that of the skill vocabulary."""
+    m = _mentions(spark, sf)
+    support = materialize(graph.skill_support(m, MIN_SUPPORT))
+    return support, materialize(graph.duty_skills(m, MIN_SUPPORT, support)), materialize(graph.skill_relations(_relations(spark, sf), m, MIN_SUPPORT, support))
+
+
+def _anchors(spark: SparkSession, sf: str, baseline: DataFrame, support: DataFrame, duties: DataFrame) -> DataFrame:
+    q = _graph_queries(spark)
+    aliases = support.select(F.col("skill").alias("alias"), "skill")
+    jobs = _lines(spark, sf).select(F.col("record").alias("doc"), F.col("brand").alias("skill")).join(support.select("skill"), "skill", "left_semi")
+    return graph.select_anchors(graph.alias_anchors(q, aliases), graph.duty_anchors(q.select("qid", "duty"), duties), graph.seed_anchors(baseline, jobs))
 
 
 def bridge_terms(spark: SparkSession, sf: str) -> DataFrame:
-    b = _baseline(spark, sf, _brand_index(spark, sf), _eligible_orders(spark, sf))
-    r = graph.skill_relations(_relations(spark, sf), _mentions(spark, sf), MIN_SUPPORT)
-    return graph.bridges(_anchors(spark, sf, b), r).select("qid", "bridge", F.round("strength", 6).alias("strength"))
+    b = materialize(_baseline(spark, sf, _brand_index(spark, sf), _eligible_orders(spark, sf)))
+    support, duties, relations = _graph_tables(spark, sf)
+    return graph.bridges(_anchors(spark, sf, b, support, duties), relations).select("qid", "bridge", F.round("strength", 6).alias("strength"))
 
 
 def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
     index, eligible = _brand_index(spark, sf), _eligible_orders(spark, sf)
-    index = lexical.Index(materialize(index.postings), index.fields, materialize(index.terms))
+    postings = materialize(index.postings)
+    index = lexical.Index(postings, materialize(index.fields), postings.groupBy("field", "term").agg(F.count("*").alias("df")))
+    eligible = materialize(eligible)
     base = materialize(_baseline(spark, sf, index, eligible))  # the tables below are read several times; none exceeds 1,000 rows a query or the skill graph
-    m = _mentions(spark, sf)
-    relations = materialize(graph.skill_relations(_relations(spark, sf), m, MIN_SUPPORT))
+    support, duties, relations = _graph_tables(spark, sf)
 
     def search(b: DataFrame) -> DataFrame:
         """All bridges of all queries at once: the pair is the query id of a BM25 batch."""
@@ -321,7 +333,7 @@ def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
         top = lexical.top_k(lexical.score(terms, index, eligible=allowed), graph.JOBS_PER_BRIDGE)
         return top.select(F.split("qid", "\x01")[0].alias("qid"), F.split("qid", "\x01")[1].alias("bridge"), "doc", "rank")
 
-    return base, materialize(_anchors(spark, sf, base)), relations, search
+    return base, materialize(_anchors(spark, sf, base, support, duties)), relations, search
 
 
 def graph_conditioned_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -431,7 +443,7 @@ def lane_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
 def hard_filter_revalidate(spark: SparkSession, sf: str) -> DataFrame:
     o = _orders(spark, sf)
     meta = o.select("doc", F.array("location").alias("location_codes"), F.array("duty").alias("duty_codes"), "updated_ms")
-    r = spark.createDataFrame([("h1", ["NATION_1", "NATION_2", "NATION_3"], [], 852076800000), ("h2", [], ["BUILDING"], 820454400000)], "qid string, locations array<string>, duties array<string>, minimum_ms long")
+    r = literal(spark, [("h1", ["NATION_1", "NATION_2", "NATION_3"], [], 852076800000), ("h2", [], ["BUILDING"], 820454400000)], "qid string, locations array<string>, duties array<string>, minimum_ms long")
     c = o.select(F.when(F.col("doc") % 2 == 0, "h1").otherwise("h2").alias("qid"), F.lit("dense").alias("lane"), F.lit(False).alias("required"), "doc", F.lit(1.0).alias("score"), F.lit(1).alias("rank"))
     return engine.revalidate(c, meta, r).groupBy("qid", F.coalesce("violation", F.lit("none")).alias("violation")).agg(F.count("*").alias("n"))
 

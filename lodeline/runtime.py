@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -44,3 +48,25 @@ def enough_tasks(df: DataFrame) -> DataFrame:
     """A scan of few files spread over the cores for a CPU-heavy stage; a scan with enough splits stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def literal(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A few rows as a local relation of the plan: no Python partition, and the optimiser knows their size."""
+    kind: StructType = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(arrow)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema=kind)
+
+
+def is_literal(df: DataFrame, most_bytes: int = 8 << 20) -> bool:
+    """Whether the plan stands on local relations only, whose size is exact."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    return all(leaves.apply(i).getClass().getSimpleName() in ("LocalRelation", "OneRowRelation") for i in range(leaves.size())) and int(str(plan.stats().sizeInBytes())) <= most_bytes
+
+
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """Broadcast a side after its rows were counted; more than ``most`` is an error, to be run in several calls."""
+    if not is_literal(df) and df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}: run them in several calls")
+    return F.broadcast(df)

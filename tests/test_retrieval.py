@@ -20,18 +20,19 @@ def _docs(spark):
 @pytest.mark.parametrize(("locations", "duties", "expected"), [(["100100"], ["140200"], ["1", "3"]), (["100200"], [], ["5"]), (["100100"], ["140300"], []), (None, [], [])])
 def test_filters_come_before_the_cut(spark, locations, duties, expected):
     docs = _docs(spark)
-    occ = docs.select(F.lit("body").alias("field"), "doc", F.lit("kubernetes").alias("term"))
+    tokens = lexical.token_fields(docs, {"body": F.array(F.lit("kubernetes"))})
     r = spark.createDataFrame([("q", locations, duties, -180 * 86_400_000)], "qid string, locations array<string>, duties array<string>, minimum_ms long")
     q = spark.createDataFrame([("q", "kubernetes")], "qid string, term string")
-    got = lexical.top_k(lexical.score(q, lexical.build(occ, docs.select("doc")), eligible=lexical.eligible_rows(docs, r)), 2).orderBy("rank").collect()
+    got = lexical.top_k(lexical.score(q, lexical.build(tokens), eligible=lexical.eligible_rows(docs, r)), 2).orderBy("rank").collect()
     assert [x["doc"] for x in got] == expected
 
 
 def test_bm25_by_hand(spark):
-    occ = spark.createDataFrame([("body", 1, "a"), ("body", 1, "a"), ("body", 1, "b"), ("body", 2, "b")], "field string, doc int, term string")
-    docs = spark.createDataFrame([(1,), (2,), (3,)], "doc int")
+    docs = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["b"]), (3, None)], "doc int, t array<string>")
+    tokens = lexical.token_fields(docs, {"body": F.col("t")})
     q = spark.createDataFrame([("q", "a")], "qid string, term string")
-    s = lexical.score(q, lexical.build(occ, docs)).collect()
+    s = lexical.score(q, lexical.build(tokens)).collect()
+    assert lexical.score(q, lexical.build(tokens, q)).collect() == s
     idf, avg = math.log(1 + 2.5 / 1.5), 4 / 3
     assert len(s) == 1 and s[0]["score"] == pytest.approx(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / avg)))
 

@@ -40,8 +40,8 @@ def test_canonical_queries(spark, tmp_path):
 
 
 def test_index_round_trip(spark, tmp_path):
-    occ = spark.createDataFrame([("body", 1, "a"), ("title", 2, "b")], "field string, doc int, term string")
-    files.write_index(lexical.build(occ, occ.select("doc").distinct()), str(tmp_path / "i"))
+    docs = spark.createDataFrame([(1, ["a"], []), (2, [], ["b"])], "doc int, body array<string>, title array<string>")
+    files.write_index(lexical.build(lexical.token_fields(docs, {f: F.col(f) for f in ("body", "title")})), str(tmp_path / "i"))
     i = files.read_index(spark, str(tmp_path / "i"))
     assert sorted((r["term"], r["df"]) for r in i.terms.collect()) == [("a", 1), ("b", 1)]
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
