@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import text as X
 from lodeline.functions import times
-from lodeline.operators import audit, engine, evaluate, sampling, taxonomy
+from lodeline.operators import audit, engine, evaluate, extraction, sampling, taxonomy
 from lodeline.runtime import enough_tasks, literal, table
 from lodeline.streaming import deliveries
 
@@ -135,6 +135,29 @@ def release_totals(spark: SparkSession, sf: str) -> DataFrame:
     return audit.release_totals(_objects(spark, sf))
 
 
+def required_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.required_artifacts(_objects(spark, sf), literal(spark, [(RULES[0],), (RULES[2],)], "prefix string")).select("path", "size_bytes")
+
+
+def forbidden_paths(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "part").select(F.concat_ws("/", "p_brand", "p_name").alias("path"))
+    return extraction.forbidden_paths(o, ["red", "7"]).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def extracted_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule-based stand-in for the model: the Latin words of a description, with the sentence as evidence; then validation."""
+    import re
+
+    def client(text: str) -> dict:
+        spans = [(w, s) for s in re.split(r"[。\n]", text) for w in re.findall(r"[A-Z][A-Za-z+#.]{2,}", s)]
+        skills = [{"canonical_name": w.lower(), "surface": w, "category": "word", "evidence_span": s} for w, s in spans]
+        return {"skills": skills, "relations": [{"source": a[0].lower(), "type": "RELATED_TO", "target": b[0].lower(), "evidence_span": a[1]} for a, b in zip(spans, spans[1:], strict=False)]}
+
+    j = enough_tasks(table(spark, sf, "jobs").select(F.col("job_id").alias("record_id"), F.coalesce("description", F.lit("")).alias("source_text")))
+    v = extraction.validated(extraction.extract(j, client))
+    return v.select("record_id", F.size("skills").alias("n_skills"), F.size("relations").alias("n_relations"), "skill_rejection_count", "relation_rejection_count")
+
+
 def shard_gaps(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "embedding_shards").filter("row_start % 120 <> 40").select("row_start", "row_end")
     return audit.gaps(s, "row_start", "row_end").select("row_start", "row_end")
@@ -182,7 +205,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             query_corrections, correction_apply, stratified_hash_sample, extraction_requests, trec_rows, trec_validate, eval_metrics, ablation_delta, zero_result_queries, staging_audit, null_normalise,
-            salary_casts, jobs_latest_delivery, snapshot_differences, row_order_digest, blocked_order_digest, inventory_rules, inventory_unused, release_totals, shard_gaps, repeated_ids, row_numbers,
+            salary_casts, jobs_latest_delivery, snapshot_differences, row_order_digest, blocked_order_digest, inventory_rules, inventory_unused, release_totals, required_artifacts, forbidden_paths, extracted_evidence, shard_gaps, repeated_ids, row_numbers,
             chunk_paragraphs, view_records, taxonomy_from_rows, taxonomy_children, window_counts,
         )
     }
@@ -228,6 +251,8 @@ def oracle_sql() -> dict[str, str]:
         "inventory_rules": f"SELECT vectors_path AS path, count(p) AS n_rules FROM embedding_shards LEFT JOIN (VALUES {rules}) AS r(p) ON starts_with(vectors_path, p) GROUP BY ALL HAVING count(p) <> 1",
         "inventory_unused": f"SELECT p AS prefix FROM (VALUES {rules}) AS r(p) WHERE NOT EXISTS (SELECT 1 FROM embedding_shards WHERE starts_with(vectors_path, p))",
         "release_totals": "SELECT count(*) AS objects, sum(row_end - row_start)::BIGINT AS bytes, sha256(string_agg(vectors_path || ' ' || sha256(vectors_path) || ' ' || (row_end - row_start), chr(10) ORDER BY vectors_path)) AS inventory_hash FROM embedding_shards",
+        "required_artifacts": f"SELECT vectors_path AS path, row_end - row_start AS size_bytes FROM embedding_shards WHERE starts_with(vectors_path, '{RULES[0]}') OR starts_with(vectors_path, '{RULES[2]}')",
+        "forbidden_paths": "SELECT p_brand || '/' || p_name AS path, count(*) AS n FROM part WHERE list_has_any(string_split(regexp_replace(lower(p_brand || '/' || p_name), '[^a-z0-9]+', '_', 'g'), '_'), ['red', '7']) GROUP BY ALL",
         "shard_gaps": "WITH s AS (SELECT row_start, row_end FROM embedding_shards WHERE row_start % 120 <> 40) SELECT row_start, row_end FROM s WHERE row_start NOT IN (SELECT row_end FROM s) AND row_start <> (SELECT min(row_start) FROM s)",
         "repeated_ids": "SELECT job_index, count(*) AS n FROM vectors GROUP BY ALL HAVING count(*) > 1",
         "row_numbers": "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS row_number FROM customer",

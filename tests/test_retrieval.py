@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.operators import audit, dense, engine, evaluate, graph, lexical, sampling, taxonomy
+from lodeline.operators import audit, dense, engine, evaluate, extraction, graph, lexical, sampling, taxonomy
 
 
 def rows(df, *cols):
@@ -188,3 +188,38 @@ def test_path_traces_keep_the_best(spark):
 def test_evidence_rules(spark):
     e = spark.createDataFrame([(1, "uses python daily", "python", "uses python"), (2, "uses sql", "java", "uses sql"), (3, "x", "x", "y")], "record int, source_text string, surface string, span string")
     assert rows(graph.evidence_violations(e), "record", "rule") == [(2, "surface outside span"), (3, "span outside text"), (3, "surface outside span")]
+
+
+def test_extraction_is_held_against_the_text(spark):
+    def client(text):
+        return {
+            "skills": [{"canonical_name": n, "surface": f, "category": "c", "evidence_span": e} for n, f, e in [("python", "Python", "uses Python"), ("python", "Python", "uses Python"), ("java", "Java", "uses Python"), ("sql", "SQL", "SQL daily"), ("x", "y", "not there")]],
+            "relations": [{"source": a, "type": t, "target": b, "evidence_span": "uses Python"} for a, t, b in [("python", "USED_WITH", "sql"), ("python", "LIKES", "sql"), ("python", "USED_WITH", "python"), ("python", "USED_WITH", "java")]],
+        }
+
+    req = spark.createDataFrame([("r1", "uses Python and SQL daily"), ("r2", "done")], "record_id string, source_text string")
+    todo = extraction.pending(req, spark.createDataFrame([("r2",)], "record_id string"))
+    r = extraction.validated(extraction.extract(todo, client)).collect()
+    assert len(r) == 1 and [s["canonical_name"] for s in r[0]["skills"]] == ["python", "sql"] and len(r[0]["relations"]) == 1
+    assert (r[0]["skill_rejection_count"], r[0]["relation_rejection_count"]) == (3, 3)
+
+
+def test_gate_and_retries():
+    assert extraction.approved(0.01, 0.005, True, True) and not extraction.approved(0.01, 0.005, True, False) and not extraction.approved(0.0, 0.0, True, True)
+    calls, waits = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("Timeout")
+        return "ok"
+
+    assert extraction.retried(flaky, wait=waits.append)() == "ok" and waits == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        extraction.retried(lambda: (_ for _ in ()).throw(ValueError("bad input")), wait=waits.append)()
+
+
+def test_path_rules(spark):
+    o = spark.createDataFrame([("a/secret-key.json",), ("b/secretary.txt",)], "path string")
+    assert rows(extraction.forbidden_paths(o, ["secret"]), "path") == [("a/secret-key.json",)]
+    assert rows(extraction.required_artifacts(o, spark.createDataFrame([("b/",)], "prefix string")), "path") == [("b/secretary.txt",)]
