@@ -4,11 +4,11 @@ Records are sets of distinct runs of five characters. Each set is described by `
 is a hash of ``ROWS`` min-wise values), and every key has an inverted list of the records that carry it. A record
 looks for all others that occur in at least ``T`` of its lists:
 
-* *divide*: a record's lists are ordered by length; the ``T - 1`` longest are set aside, so every answer occurs
-  in at least one of the short ones (lists with one member are never read);
-* *merge*: the short lists, held in blocks of bounded length, are heap-merged and occurrences counted;
-* *probe*: the keys set aside are looked up in the candidate's sorted keys by binary search, and candidates
-  below ``T`` occurrences are dropped;
+* *divide*: a record's lists are ordered by length and the ``LONG`` longest are set aside. Two records order their
+  lists alike, so of the ones they share at most ``LONG`` are lost, and every answer occurs in at least ``T - LONG`` of
+  the short ones (lists with one member are never read);
+* *merge*: the short lists, held in blocks of bounded length, are heap-merged, and records with ``T - LONG`` occurrences stay;
+* *probe*: the keys are looked up in the candidate's sorted keys by binary search, and candidates below ``T`` occurrences are dropped;
 * the exact share of common runs then decides.
 
 Lists of raw five-character runs would grow with the corpus (phrases recur in a tenth of all records), which
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lodeline.llm.looks import comparable
 from lodeline.runtime import enough_tasks, materialize, spread
 
-RUN, BANDS, ROWS, T, BLOCK = 5, 64, 4, 3, 256
+RUN, BANDS, ROWS, T, LONG, BLOCK = 5, 64, 4, 3, 1, 256
 _rng = np.random.RandomState(20240229)
 _MUL = (_rng.randint(0, 2**62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.randint(0, 2**62, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
@@ -122,8 +122,8 @@ def similar_pairs(classes: DataFrame, threshold: float = 0.65) -> DataFrame:
     lengths = postings.groupBy("key").agg(F.count("*").alias("len")).filter("len > 1")
     ordered = postings.join(lengths, "key").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("len", "key"))).alias("own"))
     ordered = ordered.filter(F.size("own") >= T)
-    # divide: all but the T - 1 longest lists
-    divided = materialize(ordered.select("rep", F.expr(f"transform(slice(own, 1, size(own) - {T - 1}), x -> x.key)").alias("short")).join(sig.select("rep", "n"), "rep"))
+    # divide: all but the longest lists
+    divided = materialize(ordered.select("rep", F.expr(f"transform(slice(own, 1, size(own) - {LONG}), x -> x.key)").alias("short")).join(sig.select("rep", "n"), "rep"))
     short = divided.select("rep", "n", F.explode("short").alias("key"))
     longest = short.groupBy("key").agg(F.count("*").alias("len")).agg(F.max("len")).first()[0] or 0
     parts = max(1, -(-longest // BLOCK))
@@ -138,9 +138,11 @@ def similar_pairs(classes: DataFrame, threshold: float = 0.65) -> DataFrame:
         for b in batches:
             xs, ys = [], []
             for x, lists in zip(b.column("x").to_pylist(), b.column("lists").to_pylist(), strict=True):
-                for y, _, _ in heap_merge([[(e["rep"], e["n"]) for e in one] for one in lists]):
-                    xs.append(x)
-                    ys.append(y)
+                if len(lists) >= T - LONG:
+                    for y, _, found in heap_merge([[(e["rep"], e["n"]) for e in one] for one in lists]):
+                        if found >= T - LONG:
+                            xs.append(x)
+                            ys.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.string()), pa.array(ys, pa.string())], names=["x", "y"])
 
     found = grouped.mapInArrow(merge, "x string, y string")
