@@ -70,3 +70,9 @@ def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
     if not is_literal(df) and df.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} {what}: run them in several calls")
     return F.broadcast(df)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a work table of the shared folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
