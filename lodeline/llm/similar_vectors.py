@@ -32,7 +32,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.runtime import ensure_checkpoint_dir
+from lodeline.runtime import drop_folder, ensure_checkpoint_dir, literal, materialize
 
 M, TREE_DIMS, P = 96, 8, 0.97
 CELL, SLICE, LEAF, BATCH, SAMPLE = 16_384, 4_096, 512, 512, 20_000
@@ -403,9 +403,9 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64())), *[pa.array(np.full(len(ids), c, np.int64)) for c in (block, start, end)], pa.array([np.flatnonzero(r).tolist() for r in reach], pa.list_(pa.int64())), pa.array(d.astype(np.float64))], names=["job_index", "other", "similarity", "home", "start", "stop", "cells", "bound"])
 
     if not tasks:
-        return spark.createDataFrame([], "job_index bigint, other bigint, similarity double, place int")
-    plan = spark.createDataFrame(tasks, "block bigint, start bigint, stop bigint").repartition(len(tasks), "block", "start")
-    first = plan.mapInArrow(home, out).checkpoint()
+        return literal(spark, [], "job_index bigint, other bigint, similarity double, place int")
+    plan = literal(spark, tasks, "block bigint, start bigint, stop bigint").repartition(len(tasks), "block", "start")
+    first = materialize(plan.mapInArrow(home, out))
     # visits to one cell stay together in a few lanes, so that a worker builds its index once
     lanes = max(1, 2 * spark.sparkContext.defaultParallelism // blocks)
     visits = first.select(F.explode("cells").alias("cell"), "home", "start", "stop", "job_index", "bound").withColumn("lane", F.pmod(F.xxhash64("home", "start"), F.lit(lanes)))
@@ -426,7 +426,10 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
         results = results.unionByName(visits.repartition(2 * blocks * lanes, "cell", "lane").groupBy("cell", "lane", "home", "start", "stop").applyInPandas(visit, "job_index bigint, other array<bigint>, similarity array<double>"))
     pairs = results.select("job_index", F.explode(F.arrays_zip("other", "similarity")).alias("z")).select("job_index", (-F.col("z.similarity")).alias("s"), F.col("z.other").alias("other"))
     top = pairs.groupBy("job_index").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "other"))), 1, k).alias("best"))
-    return top.select("job_index", F.posexplode("best").alias("place", "b")).select("job_index", F.col("b.other").alias("other"), (-F.col("b.s")).alias("similarity"), (F.col("place") + 1).alias("place"))
+    placed = top.select("job_index", F.posexplode("best").alias("place", "b")).select("job_index", F.col("b.other").alias("other"), (-F.col("b.s")).alias("similarity"), (F.col("place") + 1).alias("place"))
+    result = materialize(placed)
+    drop_folder(spark, folder)
+    return result
 
 
 def found_pairs(vectors: DataFrame, shards: DataFrame, k: int = 5) -> DataFrame:
