@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.runtime import materialize
+
 #: Letters of other scripts and the Latin letters they are drawn like.
 CYRILLIC = "АВСЕНІЈКМОРЅТХУаеорсхуіјѕԁһԛԝҮ"
 CYRILLIC_LATIN = "ABCEHIJKMOPSTXYaeopcxyijsdhqwY"
@@ -181,8 +183,8 @@ def with_forms(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def comparable(jobs: DataFrame, least: int = 40) -> DataFrame:
     """``job_id, title, description`` with ``title_form, description_form`` of the postings that take part:
-    the form of the description has ``least`` characters or more besides blanks."""
-    d = with_forms(jobs.select("job_id", "title", "description"), {"title": "title_form", "description": "description_form"})
+    they have an id, and the form of the description has ``least`` characters or more besides blanks."""
+    d = with_forms(jobs.select("job_id", "title", "description").filter(F.col("job_id").isNotNull()), {"title": "title_form", "description": "description_form"})
     return d.filter(F.length(F.regexp_replace(F.col("description_form"), " ", "")) >= least)
 
 
@@ -192,11 +194,11 @@ def look_pairs(jobs: DataFrame, least: int = 40) -> DataFrame:
     Rows meet on a digest of the two forms; equal spellings are grouped first, so a group of exact copies
     costs one row until the pairs of *different* spellings are written out.
     """
-    d = comparable(jobs, least).select(
+    d = materialize(comparable(jobs, least).select(  # read twice; digests only
         "job_id",
         F.sha2(F.concat_ws("\x01", F.coalesce("title_form", F.lit("")), "description_form"), 256).alias("look"),
         F.sha2(F.concat_ws("\x01", F.coalesce("title", F.lit("")), "description"), 256).alias("spelling"),
-    )
+    ))
     spellings = d.select("look", "spelling").distinct()
     mixed = spellings.groupBy("look").agg(F.count("*").alias("n")).filter("n > 1").select("look")
     m = d.join(mixed, "look", "left_semi")
