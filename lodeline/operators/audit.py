@@ -79,3 +79,16 @@ def latest(deliveries: DataFrame, key: str, order: list[Column]) -> DataFrame:
     rest = [c for c in deliveries.columns]
     picked = deliveries.groupBy(key).agg(F.max(F.struct(*[o.alias(f"_{i}") for i, o in enumerate(order)], F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"))).alias("m"))
     return picked.select("m.row.*")
+
+
+def not_contiguous(rows: DataFrame, by: list[str], number: str, first: int = 1) -> DataFrame:
+    """Groups whose numbers aren't ``first, first + 1, ...`` without gaps or repeats; one aggregate a group, no sort."""
+    g = rows.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct(number).alias("d"), F.min(number).alias("lo"), F.max(number).alias("hi"))
+    return g.filter((F.col("lo") != first) | (F.col("d") != F.col("n")) | (F.col("hi") - F.col("lo") + 1 != F.col("n"))).select(*by, "n")
+
+
+def rebuilt_equals_stored(stored: dict[str, DataFrame], rebuilt: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows that differ, by table, between what is stored and what is derived anew; all zero for a valid build."""
+    if set(stored) != set(rebuilt):
+        raise ValueError(f"other tables: {sorted(set(stored) ^ set(rebuilt))}")
+    return {name: difference(stored[name], rebuilt[name]).count() for name in stored}

@@ -100,3 +100,12 @@ def mine_corrections(pairs: DataFrame, minimum: int = 2) -> DataFrame:
     counts = pairs.filter(F.col("surface") != F.col("target")).groupBy("surface", "target").agg(F.count("*").alias("support"))
     single = counts.groupBy("surface").agg(F.count("*").alias("targets"), F.first("target").alias("target"), F.first("support").alias("support"))
     return single.filter((F.col("targets") == 1) & (F.col("support") >= minimum)).select(F.col("surface").alias("source"), "target", "support")
+
+
+def with_details(ranked: DataFrame, details: DataFrame) -> DataFrame:
+    """Ranked rows with their details and, for each query, how many have none; a query without any detail is an error when the plan runs."""
+    d = ranked.join(details.withColumn("_found", F.lit(True)), "doc", "left")
+    q = Window.partitionBy("qid")
+    d = d.withColumn("missing", F.count_if(F.col("_found").isNull()).over(q)).withColumn("_n", F.count("*").over(q))
+    guard = F.when(F.col("missing") == F.col("_n"), F.raise_error(F.lit("no details at all")).cast("bigint")).otherwise(F.col("missing"))
+    return d.withColumn("missing", guard).drop("_found", "_n")

@@ -163,6 +163,16 @@ def shard_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return audit.gaps(s, "row_start", "row_end").select("row_start", "row_end")
 
 
+def line_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.not_contiguous(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
+
+
+def detail_fanout(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("qid"), F.col("o_custkey").alias("doc"), "o_orderkey")
+    c = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("doc"), "c_name")
+    return engine.with_details(r, c).select("qid", "o_orderkey", F.coalesce("c_name", F.lit("")).alias("detail"), "missing")
+
+
 def repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
     return audit.repeated(table(spark, sf, "vectors").select("job_index"), "job_index")
 
@@ -205,7 +215,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             query_corrections, correction_apply, stratified_hash_sample, extraction_requests, trec_rows, trec_validate, eval_metrics, ablation_delta, zero_result_queries, staging_audit, null_normalise,
-            salary_casts, jobs_latest_delivery, snapshot_differences, row_order_digest, blocked_order_digest, inventory_rules, inventory_unused, release_totals, required_artifacts, forbidden_paths, extracted_evidence, shard_gaps, repeated_ids, row_numbers,
+            salary_casts, jobs_latest_delivery, snapshot_differences, row_order_digest, blocked_order_digest, inventory_rules, inventory_unused, release_totals, required_artifacts, forbidden_paths, extracted_evidence, shard_gaps, line_gaps, detail_fanout, repeated_ids, row_numbers,
             chunk_paragraphs, view_records, taxonomy_from_rows, taxonomy_children, window_counts,
         )
     }
@@ -254,6 +264,8 @@ def oracle_sql() -> dict[str, str]:
         "required_artifacts": f"SELECT vectors_path AS path, row_end - row_start AS size_bytes FROM embedding_shards WHERE starts_with(vectors_path, '{RULES[0]}') OR starts_with(vectors_path, '{RULES[2]}')",
         "forbidden_paths": "SELECT p_brand || '/' || p_name AS path, count(*) AS n FROM part WHERE list_has_any(string_split(regexp_replace(lower(p_brand || '/' || p_name), '[^a-z0-9]+', '_', 'g'), '_'), ['red', '7']) GROUP BY ALL",
         "shard_gaps": "WITH s AS (SELECT row_start, row_end FROM embedding_shards WHERE row_start % 120 <> 40) SELECT row_start, row_end FROM s WHERE row_start NOT IN (SELECT row_end FROM s) AND row_start <> (SELECT min(row_start) FROM s)",
+        "line_gaps": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING min(l_linenumber) <> 1 OR count(DISTINCT l_linenumber) <> count(*) OR max(l_linenumber) - min(l_linenumber) + 1 <> count(*)",
+        "detail_fanout": "SELECT o_orderpriority AS qid, o_orderkey, coalesce(c_name, '') AS detail, count(*) FILTER (c_custkey IS NULL) OVER (PARTITION BY o_orderpriority) AS missing FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey",
         "repeated_ids": "SELECT job_index, count(*) AS n FROM vectors GROUP BY ALL HAVING count(*) > 1",
         "row_numbers": "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS row_number FROM customer",
         "taxonomy_from_rows": 'SELECT DISTINCT trim("工作城市編號") AS code, trim("工作城市") AS term FROM jobs_raw WHERE trim("工作城市編號") <> \'\' AND trim("工作城市") <> \'\'',

@@ -223,3 +223,18 @@ def test_path_rules(spark):
     o = spark.createDataFrame([("a/secret-key.json",), ("b/secretary.txt",)], "path string")
     assert rows(extraction.forbidden_paths(o, ["secret"]), "path") == [("a/secret-key.json",)]
     assert rows(extraction.required_artifacts(o, spark.createDataFrame([("b/",)], "prefix string")), "path") == [("b/secretary.txt",)]
+
+
+def test_contiguity_and_rebuild(spark):
+    d = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("c", 1), ("c", 1)], "k string, n int")
+    assert rows(audit.not_contiguous(d, ["k"], "n"), "k") == [("b",), ("c",)]
+    assert audit.rebuilt_equals_stored({"t": d}, {"t": d.repartition(2)}) == {"t": 0}
+    assert audit.rebuilt_equals_stored({"t": d}, {"t": d.distinct()}) == {"t": 1}
+
+
+def test_details(spark):
+    r = spark.createDataFrame([("q", 1), ("q", 2)], "qid string, doc int")
+    det = spark.createDataFrame([(1, "x")], "doc int, text string")
+    assert rows(engine.with_details(r, det), "doc", "missing") == [(1, 1), (2, 1)]
+    with pytest.raises(Exception, match="no details at all"):
+        engine.with_details(r, det.filter("doc = 9")).collect()
