@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.runtime import bounded, is_literal
+from lodeline.runtime import bounded, is_literal, materialize
 
 K1, B = 1.2, 0.75
 MOST_REQUESTS = 10_000
@@ -46,6 +46,8 @@ def build(tokens: DataFrame, terms: DataFrame | None = None) -> Index:
     if terms is not None:
         occurrences = occurrences.join(small(terms.select("term").distinct()), "term", "left_semi")
     postings = occurrences.groupBy("field", "doc", "dl", "term").agg(F.count("*").alias("tf"))
+    if terms is not None:
+        postings = materialize(postings)  # read for scores and for document frequencies
     return Index(postings, fields, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
 
 
