@@ -6,8 +6,8 @@
   rate of each source and unit at ``FDR``. What stays are the lengths at which a source cuts.
 * *Endings*: a text that ends without a closing sign is compared with the whole corpus. For the last 10, 5, 3 and 2 signs of its
   last sentence (digits alike, cut at the sentence's start) the corpus gives how often that run goes on and how often a
-  sentence ends with it, with and without a closing sign; the longest run with evidence counts. Runs are counted for the endings that occur,
-  selected by a bit map of fixed size, pre-aggregated in each task.
+  sentence ends with it, with and without a closing sign; the longest run with evidence counts. A text that is sent again counts once, and
+  its own end is no evidence against itself. Runs are counted for the endings that occur, selected by a bit map of fixed size, pre-aggregated in each task.
 * A text is cut if its markup or its last character is broken, if it ends in an opening or connecting sign, or if its ending goes on
   elsewhere: mostly (``SURE``) or, with missing closing signs, nearly always (``ALWAYS``); at a significant length,
   or before signs that stand for missing text, ``LIKELY`` is enough.
@@ -112,18 +112,31 @@ def endings(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "source", F.xxhash64("text").alias("digest"), "text").mapInArrow(run, "doc_id bigint, source string, digest bigint, n_chars bigint, n_bytes bigint, state string, keys array<bigint>")
 
 
+def words(keys: DataFrame) -> DataFrame:
+    """``w, b``: the keys as a map of ``BITS`` bits, at most BITS / 32 rows."""
+    spot = F.pmod(F.col("key"), F.lit(BITS))
+    return keys.select((spot / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {BITS}) % 32 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
+
+
 def bit_map(keys: DataFrame) -> np.ndarray:
     """The keys as a map of ``BITS`` bits, whatever their number."""
-    spot = F.pmod(F.col("key"), F.lit(BITS))
-    words = keys.select((spot / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {BITS}) % 32 as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b"))
     out = np.zeros(BITS // 32, np.uint32)
-    got = words.toPandas()  # at most BITS / 32 rows
+    got = words(keys).toPandas()
     out[got.w.to_numpy(np.int64)] = got.b.to_numpy(np.int64).astype(np.uint32)
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
+def distinct_texts(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``text``, each once. Only texts whose digest may occur again, by a bit map, are shuffled; the others stay in their scan."""
+    again = F.broadcast(words(ends.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("key"))))
+    texts = docs.select("text", F.xxhash64("text").alias("digest")).withColumn("spot", F.pmod(F.col("digest"), F.lit(BITS)))
+    marked = ((F.col("spot") / 32).cast("int") == F.col("w")) & F.expr("shiftright(b, cast(spot % 32 as int)) & 1L = 1L")
+    repeated = texts.join(again, marked, "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    return texts.join(again, marked, "left_anti").select("text").unionByName(repeated.select("text"))
+
+
 def continuations(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """``key, goes_on, signed, ends``: how often each run of the asked endings goes on in the corpus, or ends a sentence with or without a closing sign."""
+    """``key, goes_on, signed, ends``: how often each run of the asked endings goes on in the texts, or ends a sentence with or without a closing sign."""
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bit_map(asked)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +207,13 @@ def judged(docs: DataFrame) -> DataFrame:
     limits = cutting_lengths(ends).select(F.col("source").alias("s"), "unit", "length")
     by = ends.select("row", "source", F.explode(F.create_map(F.lit("chars"), "n_chars", F.lit("bytes"), "n_bytes")).alias("unit", "length"))
     at = by.join(limits.withColumnRenamed("unit", "u").withColumnRenamed("length", "l"), F.col("source").eqNullSafe(F.col("s")) & (F.col("unit") == F.col("u")) & (F.col("length") == F.col("l"))).select("row").distinct().withColumn("at_limit", F.lit(True))
-    asked = ends.filter("state in ('ask', 'mark') and size(keys) > 0").select("row", F.posexplode("keys").alias("level", "key"))
+    own = ends.filter("state in ('ask', 'mark') and size(keys) > 0").groupBy("digest").agg(F.first("keys").alias("keys"))
+    asked = own.select("digest", F.posexplode("keys").alias("level", "key"))
     tails = asked.groupBy("key").agg(F.count("*").alias("tails"))
-    known = tails.join(continuations(docs, tails.select("key")), "key", "left").select("key", "tails", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("goes_on", "signed", "ends")])
-    known = known.withColumn("total", F.col("goes_on") + F.col("signed") + F.col("ends") + F.col("tails")).filter(F.col("total") > EVIDENCE)
-    open_ = asked.join(known, "key").groupBy("row").agg(F.min_by(F.struct((F.col("goes_on") / F.col("total")).alias("open"), ((F.col("goes_on") + F.col("signed")) / F.col("total")).alias("unsigned")), "level").alias("e")).select("row", "e.open", "e.unsigned")
-    out = ends.join(open_, "row", "left").join(at, "row", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
+    known = tails.join(continuations(distinct_texts(docs, ends), tails.select("key")), "key", "left").select("key", "tails", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("goes_on", "signed", "ends")])
+    known = known.withColumn("total", F.col("goes_on") + F.col("signed") + F.col("ends") + F.col("tails") - 1).filter(F.col("total") >= EVIDENCE)
+    open_ = asked.join(known, "key").groupBy("digest").agg(F.min_by(F.struct((F.col("goes_on") / F.col("total")).alias("open"), ((F.col("goes_on") + F.col("signed")) / F.col("total")).alias("unsigned")), "level").alias("e")).select("digest", "e.open", "e.unsigned")
+    out = ends.join(open_, "digest", "left").join(at, "row", "left").withColumn("at_limit", F.coalesce("at_limit", F.lit(False)))
     open_share, unsigned = F.coalesce("open", F.lit(0.0)), F.coalesce("unsigned", F.lit(0.0))
     unknown = F.col("at_limit") & F.col("open").isNull()  # an ending that occurs nowhere else
     asked_ = (open_share >= SURE) | (unsigned >= ALWAYS) | (F.col("at_limit") & (unsigned >= LIKELY)) | unknown

@@ -60,3 +60,13 @@ def test_empty_table_and_repeated_rows(spark):
     d = spark.createDataFrame([(1, "s", "提出，", 1), (1, "s", "提出，", 1), (2, "s", None, 1)], "doc_id long, source string, text string, cut int")
     assert [r["doc_id"] for r in tr.found(d).collect()] == [1] and tr.found(d.limit(0)).count() == 0
     assert tr.report(d).first()["cut_documents"] == 2
+
+
+@pytest.mark.parametrize("copies", [1, 4, 800])
+def test_a_cut_text_that_is_sent_again_is_judged_as_if_sent_once(spark, copies):
+    rows, _ = _corpus()
+    text = "".join(SENTENCES[:3]) + "夜班協助整理訂單交"  # the last run of ten occurs nowhere else, the shorter ones go on
+    again = [(10_000 + i, "plain", text) for i in range(copies)]
+    d = spark.createDataFrame(rows + again, "doc_id long, source string, text string").repartition(5)
+    assert {r["doc_id"] for r in tr.found(d).filter("doc_id >= 10000").collect()} == {i for i, *_ in again}
+    assert sorted(r["text"] for r in tr.distinct_texts(d, tr.endings(d)).collect()) == sorted({t for *_, t in rows + again})
