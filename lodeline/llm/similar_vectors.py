@@ -6,8 +6,10 @@ projected space in rising distance (rings around it, found through a kd-tree) an
 It stops at projected radius r when ``chi2_cdf(r^2 / d_k^2) >= P`` for the current k-th distance d_k: a missed
 neighbour is then less likely than 1 - P.
 
+Equal vectors are searched for once, under the smallest job_index of their group; the result is carried over to all members.
+
 Layout for a cluster: a kd-tree fitted on a bounded sample (``SAMPLE`` rows) cuts the projected space into
-cells of about ``CELL`` rows; a cell that would be larger (many equal vectors) is cut further by hash.
+cells of about ``CELL`` rows; a cell that would be larger (many close vectors) is cut further by hash.
 The packed vectors of *all* rows are written once, by cell, to the shared folder (spark.checkpoint.dir). A task holds
 one slice of queries against one cell. Round 1 is each slice in its own cell; round 2 takes the queries
 whose ball reaches another cell there. Tasks only read files and can be repeated anywhere.
@@ -29,14 +31,15 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.runtime import drop_folder, ensure_checkpoint_dir, literal, materialize
 
 M, TREE_DIMS, P = 96, 8, 0.97
 CELL, SLICE, LEAF, BATCH, SAMPLE = 16_384, 4_096, 512, 512, 20_000
-RANGES_LIMIT = 200_000
+RANGES_LIMIT = TWINS_LIMIT = 200_000
+ROUNDING = np.float32(1e-3)  # squared projected distances are about 100 and exact to 1e-4
 BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -156,7 +159,7 @@ class Best:
         self.sim[touched], self.idx[touched] = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
 
     def kth(self) -> np.ndarray:
-        return 2 - 2 * np.maximum(self.sim[:, self.k - 1], -1)  # squared distance; 4 as long as there are fewer than k
+        return 2 - 2 * np.clip(self.sim[:, self.k - 1], -1, 1)  # squared distance; 4 as long as there are fewer than k
 
 
 class CellIndex:
@@ -222,7 +225,7 @@ class CellIndex:
         done = np.full(len(q), -1, np.float32)  # squared projected radius that is verified
         reach_radius = np.float32(0.75) * stop  # pairs are drawn from the distances up to here at once, further out later
         while True:
-            limit = np.minimum(bound, best.kth()) * stop
+            limit = np.minimum(bound, best.kth()) * stop + ROUNDING
             rows = np.flatnonzero(done < limit)
             if not len(rows):
                 return best
@@ -243,7 +246,7 @@ class CellIndex:
             ring = np.float32(0.02) * stop
             inner = done[rows]
             while True:
-                live = np.minimum(np.minimum(bound[rows], best.kth()[rows]) * stop, reach_radius)
+                live = np.minimum(np.minimum(bound[rows], best.kth()[rows]) * stop + ROUNDING, reach_radius)
                 outer = np.minimum(live, ring)
                 pick = np.flatnonzero((d > inner[r]) & (d <= outer[r]))
                 if len(pick):
@@ -256,21 +259,63 @@ class CellIndex:
             reach_radius *= 2
 
 
+def one_each(vectors: DataFrame, dim: int) -> DataFrame:
+    """``job_index, embedding, h, g``: vectors of the given length with two hashes, a job_index with one vector only."""
+    ok = vectors.select("job_index", "embedding").filter(F.col("job_index").isNotNull() & (F.size("embedding") == dim)).withColumn("h", F.xxhash64("embedding")).withColumn("g", F.hash("embedding"))
+    many = ok.groupBy("job_index").agg(F.min("h").alias("keep"), F.max("h").alias("last")).filter("keep <> last").select("job_index", "keep")
+    if many.isEmpty():
+        return ok
+    return ok.join(many, "job_index", "left").filter("keep is null or keep = h").drop("keep")
+
+
+def merged(shards: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
+    """The ranges of the shards; as sorted arrays too, unless there are too many for a closure."""
+    ranges = shards.select(F.col("row_start").cast("bigint"), F.col("row_end").cast("bigint")).dropna().distinct()
+    if ranges.count() > RANGES_LIMIT:
+        return ranges, None
+    got = ranges.toPandas().sort_values(["row_start", "row_end"])
+    return ranges, (got.row_start.to_numpy(), np.maximum.accumulate(got.row_end.to_numpy()) if len(got) else np.zeros(0, np.int64))
+
+
+def inside(intervals: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
+    i = np.searchsorted(intervals[0], ids, side="right") - 1
+    return (i >= 0) & (ids < intervals[1][np.maximum(i, 0)]) if len(intervals[0]) else np.zeros(len(ids), bool)
+
+
+def stood_for(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """``job_index, h, g`` that lie in the shards."""
+    ranges, intervals = merged(shards)
+    kept = rows.select(F.col("job_index").cast("bigint"), "h", "g")
+    if intervals is None:
+        return kept.join(ranges.filter("row_end > row_start").select(F.explode(F.expr("sequence(row_start, row_end - 1)")).alias("job_index")).distinct(), "job_index", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(inside(intervals, b.column("job_index").to_numpy(zero_copy_only=False))))
+
+    return kept.mapInArrow(run, "job_index bigint, h bigint, g int")
+
+
+def carried_over(top: DataFrame, searched: DataFrame, ids: DataFrame, twins: DataFrame, k: int) -> DataFrame:
+    """``job_index, best`` for every member of a group of equal vectors, from ``top`` of the representatives (``best``: structs of
+    negative similarity and representative). ``searched``: the representatives whose vectors are usable."""
+    members = materialize(ids.join(twins, ["h", "g"]).select("job_index", "rep").distinct().join(searched.select(F.col("job_index").alias("rep")), "rep", "left_semi"))
+    # a member may be one of the k + 1 smallest itself
+    least = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("job_index"))).filter(F.col("n") <= k + 1).groupBy("rep").agg(F.array_sort(F.collect_list("job_index")).alias("ids"))
+    others = top.select(F.col("job_index").alias("of"), F.explode("best").alias("b")).select("of", "b.s", F.col("b.other").alias("rep")).join(least, "rep", "left")
+    others = others.select("of", "s", F.explode(F.coalesce("ids", F.array("rep"))).alias("other"))
+    own = least.select(F.col("rep").alias("of"), F.lit(-1.0).alias("s"), F.explode("ids").alias("other"))
+    lists = others.unionByName(own).groupBy("of").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "other"))), 1, k + 1).alias("best"))
+    each = lists.join(members, F.col("of") == F.col("rep"), "left").select(F.coalesce("job_index", "of").alias("job_index"), "best")
+    return each.select("job_index", F.slice(F.filter("best", lambda b: b["other"] != F.col("job_index")), 1, k).alias("best"))
+
+
 def packed(vectors: DataFrame, shards: DataFrame, dim: int, finish: Callable[[np.ndarray, np.ndarray, list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
-    """Usable vectors that the shards stand for. ``finish`` gets ids, vectors and their bytes (half floats where these hold them
+    """Usable ones of vectors of one length that the shards stand for. ``finish`` gets ids, vectors and their bytes (half floats where these hold them
     exactly) and makes the output within the same Python task."""
-    ok = vectors.select("job_index", "embedding").filter(F.col("job_index").isNotNull() & (F.size("embedding") == dim))
-    h = ok.select("job_index", F.xxhash64("embedding").alias("h"))
-    many = h.groupBy("job_index").agg(F.min("h").alias("h"), F.max("h").alias("g")).filter("h <> g").select("job_index", "h")
-    if not many.isEmpty():
-        ok = ok.withColumn("h", F.xxhash64("embedding")).join(many.select("job_index", F.col("h").alias("keep")), "job_index", "left").filter("keep is null or keep = h").select("job_index", "embedding")
-    ranges = shards.select(F.col("row_start").cast("bigint"), F.col("row_end").cast("bigint")).dropna().distinct()
-    intervals = None
-    if ranges.count() <= RANGES_LIMIT:
-        got = ranges.toPandas().sort_values(["row_start", "row_end"])
-        intervals = (got.row_start.to_numpy(), np.maximum.accumulate(got.row_end.to_numpy()) if len(got) else np.zeros(0, np.int64))
-    else:  # too many for a closure: join on the numbers themselves
-        ok = ok.join(ranges.filter("row_end > row_start").select(F.explode(F.expr("sequence(row_start, row_end - 1)")).alias("job_index")).distinct(), "job_index", "left_semi")
+    ranges, intervals = merged(shards)
+    if intervals is None:  # too many for a closure: join on the numbers themselves
+        vectors = vectors.join(ranges.filter("row_end > row_start").select(F.explode(F.expr("sequence(row_start, row_end - 1)")).alias("job_index")).distinct(), "job_index", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -283,13 +328,12 @@ def packed(vectors: DataFrame, shards: DataFrame, dim: int, finish: Callable[[np
                     half = v.astype(np.float16)
                     exact = (half == v).all(1)
                 if intervals is not None:
-                    i = np.searchsorted(intervals[0], ids, side="right") - 1
-                    keep &= (i >= 0) & (ids < intervals[1][np.maximum(i, 0)] if len(intervals[0]) else False)
+                    keep &= inside(intervals, ids)
                 rows = np.flatnonzero(keep)
                 if len(rows):
                     yield finish(ids[rows], v[rows], [half[r].tobytes() if exact[r] else v[r].tobytes() for r in rows])
 
-    return ok.mapInArrow(run, schema)
+    return vectors.select("job_index", "embedding").mapInArrow(run, schema)
 
 
 def unpack(values: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -340,7 +384,14 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
     """``job_index, other, similarity, place``: the k most similar other vectors of every usable vector."""
     spark = vectors.sparkSession
     batches = spark.conf.get(BATCHES)
-    n = vectors.select("job_index").count()
+    vectors = one_each(vectors, dim)
+    ids = materialize(stood_for(vectors, shards))
+    groups = materialize(ids.groupBy("h", "g").agg(F.min("job_index").alias("rep"), F.max("job_index").alias("last")))
+    n = groups.count()
+    twins = groups.filter("rep <> last").select("h", "g", "rep")
+    repeated = twins.limit(TWINS_LIMIT + 1).count()
+    if repeated:  # one row for a group of equal vectors, however large it is
+        vectors = vectors.join(F.broadcast(twins) if repeated <= TWINS_LIMIT else twins, ["h", "g"], "left").filter("rep is null or rep = job_index").drop("rep")
     every = max(1, n // SAMPLE)
 
     def project(_: np.ndarray, v: np.ndarray, __: list[bytes]) -> pa.RecordBatch:
@@ -396,7 +447,7 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
                 rows = np.argsort(index.ids, kind="stable")[start:end]
                 ids, x = index.ids[rows], index.x[rows]
                 idx, _, d = index.search(ids, x, np.full(len(ids), 4, np.float32), k)
-                near = box_distance((x @ directions(dim))[:, :TREE_DIMS], lo, hi) <= (d * stop)[:, None]
+                near = box_distance((x @ directions(dim))[:, :TREE_DIMS], lo, hi) <= (d * stop + ROUNDING)[:, None]
                 reach = near[:, cell_of]
                 reach[:, block] = False
                 others, sims = rescored(index.raw[rows], index, idx)
@@ -426,6 +477,8 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
         results = results.unionByName(visits.repartition(2 * blocks * lanes, "cell", "lane").groupBy("cell", "lane", "home", "start", "stop").applyInPandas(visit, "job_index bigint, other array<bigint>, similarity array<double>"))
     pairs = results.select("job_index", F.explode(F.arrays_zip("other", "similarity")).alias("z")).select("job_index", (-F.col("z.similarity")).alias("s"), F.col("z.other").alias("other"))
     top = pairs.groupBy("job_index").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "other"))), 1, k).alias("best"))
+    if repeated:
+        top = carried_over(top, first, ids, twins, k)
     placed = top.select("job_index", F.posexplode("best").alias("place", "b")).select("job_index", F.col("b.other").alias("other"), (-F.col("b.s")).alias("similarity"), (F.col("place") + 1).alias("place"))
     result = materialize(placed)
     drop_folder(spark, folder)

@@ -52,5 +52,25 @@ def test_equal_vectors_in_a_hot_cell(spark):
     assert all(len([1 for a, _ in got if a == q]) == 5 for q in range(200)) and {b for a, b in got if a == 150} == {0, 1, 2, 3, 4}
 
 
+def test_copies_of_a_vector_over_several_pieces(spark):
+    rows = _rows(80)
+    for seed in range(3):
+        v = np.random.RandomState(seed).randn(64).astype(np.float16).astype(float).tolist()
+        some = [(1_000 + i, v) for i in range(200)] + [(2_000 + i, rows[7][1]) for i in range(3)]
+        odd = [(300 + i, [(0.0, float("nan"), float("inf"))[i % 3]] * 64) for i in range(6)] + [(5, rows[5][1]), (500, rows[9][1])]
+        got = _found(spark, rows + some + odd, shards=((0, 400), (1_000, 3_000)), cell=30)
+        for q in range(1_000, 1_200):
+            assert {b for a, b in got if a == q} == {i for i in range(1_000, 1_006) if i != q} - ({1_005} if q > 1_004 else set())
+        want = _brute(rows + some)
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+        assert all({b for a, b in got if a == q} >= {7, 2_000, 2_001, 2_002} - {q} for q in (7, 2_000, 2_001, 2_002))
+
+
+def test_a_similarity_above_one_is_no_negative_distance():
+    best = sv.Best(1, 1)
+    best.add(np.array([0]), np.array([3]), np.array([1.0000002], np.float32))
+    assert best.kth()[0] == 0
+
+
 def test_chi_square():
     assert abs(sv.chi2_quantile(0.95, 10) - 18.307) < 0.05 and abs(sv.chi2_quantile(0.97, 96) - 123.3) < 0.6
