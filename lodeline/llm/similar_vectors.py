@@ -15,7 +15,7 @@ one slice of queries against one cell. Round 1 is each slice in its own cell; ro
 whose ball reaches another cell there. Tasks only read files and can be repeated anywhere.
 
 Defined results: null vectors, other lengths, zero and non-finite ones take no part; a job_index counts once, also
-where its rows hold different vectors (the one with the least hash counts); ties go to the smaller job_index; with fewer
+where its rows hold different vectors (the usable one with the least hash counts); ties go to the smaller job_index; with fewer
 than k others all others come out; empty input gives no rows.
 """
 
@@ -265,7 +265,10 @@ def one_each(vectors: DataFrame, dim: int) -> DataFrame:
     many = ok.groupBy("job_index").agg(F.min("h").alias("keep"), F.max("h").alias("last")).filter("keep <> last").select("job_index", "keep")
     if many.isEmpty():
         return ok
-    return ok.join(many, "job_index", "left").filter("keep is null or keep = h").drop("keep")
+    v = F.col("embedding").cast("array<float>")
+    usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    keep = ok.join(many.select("job_index"), "job_index", "left_semi").filter(usable).groupBy("job_index").agg(F.min("h").alias("keep"))
+    return ok.join(keep, "job_index", "left").filter("keep is null or keep = h").drop("keep")  # without a usable vector none is chosen, and all are dropped later
 
 
 def merged(shards: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:

@@ -66,6 +66,12 @@ def test_copies_of_a_vector_over_several_pieces(spark):
         assert all({b for a, b in got if a == q} >= {7, 2_000, 2_001, 2_002} - {q} for q in (7, 2_000, 2_001, 2_002))
 
 
+def test_unusable_rows_dont_displace_a_usable_one_of_their_job_index(spark):
+    rows = _rows(40)
+    odd = [(i, [u] * 64) for i in range(40) for u in (0.0, float("nan"), float("inf"))] + [(50, [0.0] * 64), (50, [float("nan")] * 64)]
+    assert _found(spark, rows + odd + [(3, [None] + [1.0] * 63)]) == _brute(rows)
+
+
 def test_a_similarity_above_one_is_no_negative_distance():
     best = sv.Best(1, 1)
     best.add(np.array([0]), np.array([3]), np.array([1.0000002], np.float32))
