@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -188,11 +188,18 @@ def cutting_lengths(ends: DataFrame) -> DataFrame:
     counts = lengths.groupBy("source", "unit", "length").agg(F.count("*").alias("n"))
     own = Window.partitionBy("source", "unit").orderBy("length")
     risk = counts.withColumn("risk", F.sum("n").over(own.rowsBetween(0, Window.unboundedFollowing)))
-    around = own.rangeBetween(-NEAR, NEAR)
-    near = own.rangeBetween(-GAP, GAP)
-    tested = risk.withColumn("m", F.sum("n").over(around) - F.sum("n").over(near)).withColumn("width", F.least(F.col("length") - 1, F.lit(NEAR - GAP)) + F.lit(NEAR - GAP))
-    # the neighbours' hazard per length; half a text is added so that empty surroundings don't make everything stand out
-    tested = tested.withColumn("expected", (F.col("m") + 0.5) / F.greatest("width", F.lit(1)))
+
+    def neighbours(width: int) -> tuple[Column, Column]:
+        """Texts that end within width of a length, and the sum of those that reach each length there, whether or not any ends at it."""
+        within = own.rangeBetween(-width, width)
+        low, n = F.greatest(F.col("length") - width, F.lit(1)), F.sum("n").over(within)
+        beyond = F.coalesce(F.sum("n").over(own.rangeBetween(width + 1, Window.unboundedFollowing)), F.lit(0))
+        return n, F.sum(F.col("n") * F.col("length")).over(within) - n * (low - 1) + beyond * (F.col("length") + width - low + 1)
+
+    (n_around, risk_around), (n_near, risk_near) = neighbours(NEAR), neighbours(GAP)
+    tested = risk.withColumn("m", n_around - n_near).withColumn("reach", risk_around - risk_near)
+    # the neighbours' pooled hazard; half a text is added so that empty surroundings don't make everything stand out
+    tested = tested.withColumn("expected", F.col("risk") * (F.col("m") + 0.5) / F.greatest("reach", F.lit(1)))
     tested = tested.withColumn("p", poisson_tail("n", "expected"))
     order = Window.partitionBy("source", "unit").orderBy("p")
     m = tested.groupBy(F.col("source").alias("s"), F.col("unit").alias("u")).agg(F.count("*").alias("tests"))

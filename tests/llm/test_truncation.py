@@ -70,3 +70,13 @@ def test_a_cut_text_that_is_sent_again_is_judged_as_if_sent_once(spark, copies):
     d = spark.createDataFrame(rows + again, "doc_id long, source string, text string").repartition(5)
     assert {r["doc_id"] for r in tr.found(d).filter("doc_id >= 10000").collect()} == {i for i, *_ in again}
     assert sorted(r["text"] for r in tr.distinct_texts(d, tr.endings(d)).collect()) == sorted({t for *_, t in rows + again})
+
+
+def test_a_length_is_tested_against_the_hazard_of_its_neighbours(spark):
+    ends = [101 + i for i in range(100)] + [200] * 100
+    d = spark.createDataFrame([(i, "s", f"{i:05d}".ljust(n, "a")) for i, n in enumerate(ends)], "doc_id long, source string, text string")
+    got = {(r["unit"], r["length"]): r for r in tr.cutting_lengths(tr.endings(d)).collect()}
+    around = [n for n in range(200 - tr.NEAR, 200 + tr.NEAR + 1) if abs(n - 200) > tr.GAP]
+    hazard = (sum(e in around for e in ends) + 0.5) / sum(e >= n for n in around for e in ends)
+    assert set(got) == {("chars", 200), ("bytes", 200)} and got["chars", 200]["n"] == 101
+    assert abs(got["chars", 200]["expected"] - 101 * hazard) < 1e-5
