@@ -25,12 +25,14 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, eligible: DataFr
 
 
 def batched_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """As ``exact_top_k`` for larger sets of queries: a matrix product by batch keeps k rows per query and batch, the rest is a window."""
+    """As ``exact_top_k`` for larger sets of queries: a matrix product by batch keeps the rows that may be among the k best in exact scores, the rest is a window."""
     q = queries.limit(10_001).toPandas()
     if len(q) > 10_000:
         raise ValueError("more than 10,000 queries: run them in several calls")
     qids = q.qid.tolist()
-    matrix = np.stack(q.qvec).astype(np.float32) if len(q) else np.zeros((0, 0), np.float32)
+    exact = np.stack(q.qvec).astype(np.float64) if len(q) else np.zeros((0, 0))
+    matrix = exact.astype(np.float32)
+    size = np.sqrt((exact * exact).sum(1))
     kind = queries.schema["qid"].dataType.simpleString()
     doc_kind = vectors.schema["doc"].dataType.simpleString()
 
@@ -42,13 +44,26 @@ def batched_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
             sub = b.take(pa.array(rows))
             x = sub.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(rows), -1)
             s = matrix @ x.T
-            keep = min(4 * k, s.shape[1])
-            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            at = pa.array(top.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array([v for v in qids for _ in range(keep)]), sub.column("doc").take(at), pa.array(np.take_along_axis(s, top, 1).ravel().astype(np.float64))], names=["qid", "doc", "score"])
+            keep = min(k, s.shape[1])
+            # float32 scores only select: whatever may reach the k-th within their rounding is scored again in double precision
+            s[np.isnan(s)] = -np.inf
+            lengths = np.sqrt((x.astype(np.float64) ** 2).sum(1))
+            slack = size * lengths[np.isfinite(lengths)].max(initial=0) * (x.shape[1] + 4) * 2.0**-23 + 1e-8
+            edge = np.partition(-s, keep - 1, axis=1)[:, keep - 1].astype(np.float64)
+            names = np.array([str(v) for v in sub.column("doc").to_pylist()])
+            given = sub.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+            of, at, kept = [], [], []
+            for i, qid in enumerate(qids):
+                near = np.flatnonzero(-s[i] <= edge[i] + 2 * slack[i])
+                scores = given[near] @ exact[i]
+                best = np.lexsort((names[near], -np.round(scores, 9)))[:keep]
+                of += [qid] * len(best)
+                at.append(near[best])
+                kept.append(scores[best])
+            yield pa.RecordBatch.from_arrays([pa.array(of), sub.column("doc").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(kept))], names=["qid", "doc", "score"])
 
     part = vectors.select("doc", "vec").mapInArrow(run, f"qid {kind}, doc {doc_kind}, score double")
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("doc").cast("string"))
+    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), F.col("doc").cast("string"))
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,12 @@ def test_details(spark):
     assert rows(engine.with_details(r, det), "doc", "missing") == [(1, 1), (2, 1)]
     with pytest.raises(Exception, match="no details at all"):
         engine.with_details(r, det.filter("doc = 9")).collect()
+
+
+def test_batched_dense_keeps_the_smallest_of_many_copies(spark):
+    v = np.random.RandomState(1).randn(24).tolist()
+    rows = [(i, v) for i in range(300)] + [(1_000 + i, [2 * x for x in v]) for i in range(2)]
+    d = spark.createDataFrame(rows, "doc long, vec array<double>").repartition(3)
+    q = spark.createDataFrame([("a", v), ("b", [-x for x in v])], "qid string, qvec array<double>")
+    got, want = ({(r["qid"], r["doc"], r["rank"]) for r in f(q, d, 5).collect()} for f in (dense.batched_top_k, dense.exact_top_k))
+    assert got == want
