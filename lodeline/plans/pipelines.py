@@ -183,16 +183,16 @@ def row_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     d = enough_tasks(table(spark, sf, "documents").select("doc_id", "text"))
-    return d.select("doc_id", F.posexplode(X.chunk_text("text", least=64, most=128)).alias("view_index", "chunk"))
+    return d.select("doc_id", F.posexplode(X.chunk_text("text")).alias("view_index", "chunk"))
 
 
 def view_records(spark: SparkSession, sf: str) -> DataFrame:
     """Views of every posting in canonical order: occupation, skill, requirement and content chunks."""
     j = enough_tasks(table(spark, sf, "jobs"))
     kinds = {"occupation": ["title", "duty_minor", "duty_middle", "duty_major", "industry_minor"], "skill": ["computer_skills", "work_skills", "professional_certifications"], "requirement": ["experience_requirement", "education_requirement", "major_requirement_1", "language_1"]}
-    views = j.select("job_id", F.col("source_row").alias("job_row"), F.col("description"), *[X.serialise_job(f).alias(k) for k, f in kinds.items()])
+    views = X.with_job_lines(j, kinds).select("job_id", F.col("source_row").alias("job_row"), "description", *kinds)
     entries = F.array(*[F.struct(F.lit(i).alias("o"), F.lit(k).alias("kind"), F.array(F.col(k)).alias("texts")) for i, k in enumerate(kinds)], F.struct(F.lit(len(kinds)).alias("o"), F.lit("content").alias("kind"), F.col("chunks").alias("texts")))
-    e = views.withColumn("chunks", X.chunk_text("description", least=64, most=128)).select("job_id", "job_row", F.explode(entries).alias("e"))
+    e = views.withColumn("chunks", X.chunk_text("description")).select("job_id", "job_row", F.explode(entries).alias("e"))
     return e.select("job_id", "job_row", "e.kind", F.posexplode("e.texts").alias("view_index", "text")).filter("text <> ''")
 
 

@@ -54,7 +54,7 @@ def field_serialise_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def job_documents(spark: SparkSession, sf: str) -> DataFrame:
     j = table(spark, sf, "jobs").select("job_id", *[n for _, n in X.JOB_FIELDS])
-    return j.select("job_id", X.serialise_job([n for _, n in X.JOB_FIELDS]).alias("document"))
+    return X.with_job_lines(j, {"document": [n for _, n in X.JOB_FIELDS]}).select("job_id", "document")
 
 
 def _doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +104,7 @@ def bm25_jobs_full(spark: SparkSession, sf: str) -> DataFrame:
     """All five field groups of the postings with labels, full tokens, weights; visible and recent rows only."""
     j = table(spark, sf, "jobs")
     d = j.select(F.col("job_id").alias("doc"), F.col("source_modified_at").alias("t"), *[n for _, n in X.JOB_FIELDS])
-    words = materialize(enough_tasks(d).select("doc", *[X.job_field_words(names).alias(g) for g, names in X.FIELD_GROUPS.items()]))  # tokenised once
+    words = materialize(X.with_job_words(enough_tasks(d), X.FIELD_GROUPS).select("doc", *X.FIELD_GROUPS))  # tokenised once
     q = literal(spark, [("c1", "資料工程師 Python"), ("c2", "門市人員 排班"), ("c3", "會計 Excel")], "qid string, text string")
     terms = q.select("qid", F.explode(X.query_terms(X.lexical_tokens("text"))).alias("term"))
     i = lexical.build(lexical.token_fields(words, {g: F.col(g) for g in X.FIELD_GROUPS}), terms)

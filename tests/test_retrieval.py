@@ -137,8 +137,13 @@ def test_quotas():
     assert sampling.quotas({"rare": 1, "common": 100}, 5) == {"rare": 1, "common": 4}
     q = sampling.quotas({"a": 3, "b": 50, "c": 900}, 60)
     assert sum(q.values()) == 60 and q["a"] <= 3
+    assert sampling.quotas({"a": 2, "b": 2, "c": 2}, 4) == {"a": 2, "b": 1, "c": 1}  # the rest goes to the largest, ties by name
+    assert sampling.quotas({"a": 1, "b": 2}, 100) == {"a": 1, "b": 2}
+    assert sampling.quotas({}, 5) == {}
     with pytest.raises(ValueError):
         sampling.quotas({"a": 1, "b": 1}, 1)
+    with pytest.raises(ValueError):
+        sampling.quotas({"a": 1}, 0)
 
 
 def test_sample_is_the_same_for_any_partitioning(spark):
