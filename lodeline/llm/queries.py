@@ -34,6 +34,14 @@ def p3_forms(spark: SparkSession, sf: str) -> DataFrame:
     return looks.with_forms(enough_tasks(table(spark, sf, "jobs").select("job_id", "title", "description")), {"title": "title_form", "description": "description_form"}).select("job_id", "title_form", "description_form")
 
 
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return looks.look_classes(enough_tasks(table(spark, sf, "jobs").select("job_id", "title", "description")))
+
+
+def p3_spellings(spark: SparkSession, sf: str) -> DataFrame:
+    return looks.spellings(enough_tasks(table(spark, sf, "jobs").select("title", "description")), ["title", "description"], looks.look_alikes(spark))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return prefix_bpe.encoded(enough_tasks(table(spark, sf, "documents").select("doc_id", "text")))
 
@@ -59,7 +67,7 @@ def p8_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_forms": p3_forms, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p8_found": p8_found, "p8_report": p8_report, "p8_lengths": p8_lengths}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_forms": p3_forms, "p3_classes": p3_classes, "p3_spellings": p3_spellings, "p6_ids": p6_ids, "p7_packing": p7_packing, "p7_usage": p7_usage, "p8_found": p8_found, "p8_report": p8_report, "p8_lengths": p8_lengths}
 
 
 def oracle_sql() -> dict[str, str]:
