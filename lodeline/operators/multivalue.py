@@ -1,34 +1,43 @@
 """Several values packed in one field (problem 4): infer the delimiters of each source, split, explode with position.
 
-*Inference*: for every source (here: a field) each candidate sign is scored over all rows. An occurrence outside quotes and
-brackets has two sides; a side is regular if its piece has a regular type (a known name, a quoted or a bracketed value). A row
-is consistent if the sign cuts it into pieces of which none but the last is empty. ``score = regular share * consistent share``.
-Signs that reach ``ACCEPT`` separate everywhere. ``WEAK`` signs (blanks, bare slashes, signs of spelling) also stand inside names; they are
-scored inside the pieces of the others, and blanks and slashes separate only where all parts are known names.
+*Inference*: for every source (a field of what one vendor delivers) each candidate sign is scored over all rows by two shares:
+
+* *piece type regularity*: an occurrence outside quotes and brackets has two sides; a side is regular if its piece is of a known type (a known
+  name, a quoted or a bracketed value);
+* *piece-count consistency*: the names and quoted values seen anywhere in a row, found without cutting it, say how many pieces to expect. A row is
+  consistent with a sign if cutting at it brings the number of pieces closer to that number than not cutting at it, or leaves it as close.
+
+``score = regular share * consistent share``, both drawn to the field's share over all sources by ``WEIGHT`` observations, so that a source with few rows
+follows its field. Signs that reach ``ACCEPT`` for a source separate there. ``WEAK`` signs (blanks, bare slashes, signs of spelling) also stand inside names;
+they are scored inside the pieces of the others, where they stand outside known names and next to one, and where they are accepted they separate names only.
 
 *Splitting*: text in quotes is one value, round brackets keep what they hold together, a known name is one value; list signs
 and numbers before a value, outer blanks and quotes are dropped. Defined results: null, empty and fields that say there is
 nothing (``EMPTY``) give no rows; empty places don't count; repeated values and repeated rows do; an unclosed quote is
-an ordinary sign; values of any length are kept whole.
+an ordinary sign; values of any length are kept whole; rows without a source are a source of their own.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.runtime import materialize
+
 #: Ways to say that there is nothing.
 EMPTY = {"", "null", "none", "n/a", "na", "nil", "無", "無需求", "不拘", "-", "--", "—", "不需", "無要求"}
 QUOTES = {'"': '"', "“": "”", "「": "」", "『": "』", "'": "'", "‘": "’", "＂": "＂", "《": "》"}
 OPEN, CLOSE = "(（", ")）"
 BLANK = " 　\xa0"
 CANDIDATES = ["、", "，", ",", "；", ";", "|", "｜", "／", " / ", "\t", "\n"]
-WEAK = ["/", " ", ":", "&", "+", "-", "."]
-ACCEPT = 0.5
+WEAK = ["/", " ", "　", ":", "&", "+", "-", "."]
+ACCEPT, WEIGHT = 0.5, 20
+#: Salts of the join of rows with their source's signs; one source may hold a third of all rows.
+SALTS = 16
 _NUMBER = re.compile(r"(?:[(（]\d{1,2}[)）]|\d{1,2}(?:[、)）]|\.(?!\d)))\s*")
 _SIGN = re.compile(r"(?:[•●○◆■▪‧·*]|-(?=\s))\s*")
 _INLINE = re.compile(r"\s+(?=(?:[(（]\d{1,2}[)）]|\d{1,2}[、)）]|\d{1,2}\.(?!\d))\s*\S|[•●○◆■▪]|[*\-]\s)")
@@ -76,7 +85,7 @@ def protected(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def _cuts(text: str, signs: list[str]) -> list[tuple[int, int, str]]:
+def _cuts(text: str, signs: Sequence[str]) -> list[tuple[int, int, str]]:
     """Occurrences ``(start, end, sign)`` of the signs outside protected text, longest first at one place."""
     out, spans, k, i = [], protected(text), 0, 0
     inline = {m.start(): m.end() for m in _INLINE.finditer(text)}
@@ -114,11 +123,11 @@ def clean(piece: str) -> tuple[str, bool]:
     return ("" if p in ("-", "*", "•", "●") else p), quoted
 
 
-def _names_only(piece: str, names: set[str], weak: str) -> list[str]:
+def _names_only(piece: str, names: set[str], weak: Sequence[str]) -> list[str]:
     """Cut at weak signs if every part is a known name, in as few parts as possible; else the piece itself."""
-    tokens = re.split(f"([{re.escape(weak)}]+)", piece)
-    if len(tokens) < 3:
+    if not any(sign in piece for sign in weak):
         return [piece]
+    tokens = re.split(f"([{''.join(map(re.escape, weak))}]+)", piece)
     n = len(tokens)
     best: list[list[str] | None] = [None] * (n + 2)
     best[0] = []
@@ -130,7 +139,7 @@ def _names_only(piece: str, names: set[str], weak: str) -> list[str]:
     return best[n + 1] or [piece]
 
 
-def split(text: str | None, names: set[str], strong: list[str], weak: str = " /　") -> list[str]:
+def split(text: str | None, names: set[str], strong: Sequence[str], weak: Sequence[str]) -> list[str]:
     """The values of one field in the order written."""
     if says_nothing(text):
         return []
@@ -151,83 +160,162 @@ def _regular(piece: str, names: set[str]) -> bool:
     return quoted or value in names or (len(value) > 2 and value[-1] in CLOSE)
 
 
-def evidence(text: str, names: set[str]) -> dict[str, tuple[int, int, int, int]]:
+class Names:
+    """Known names, found anywhere in a text by their first sign, the longest first."""
+
+    def __init__(self, names: set[str]) -> None:
+        self.names = names
+        self.by_sign: dict[str, list[str]] = {}
+        for n in sorted(names, key=len, reverse=True):
+            if n:
+                self.by_sign.setdefault(n[0], []).append(n)
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """Where names and quoted values stand in a text; brackets keep what they hold together."""
+        found, i, k, kept = [], 0, 0, protected(text)
+        while i < len(text):
+            while k < len(kept) and kept[k][1] <= i:
+                k += 1
+            if k < len(kept) and kept[k][0] == i:
+                if text[i] in QUOTES:
+                    found.append(kept[k])
+                i = kept[k][1]
+                continue
+            for n in self.by_sign.get(text[i], ()):
+                if text.startswith(n, i) and not (i and _joined(text[i - 1], n[0])) and not (i + len(n) < len(text) and _joined(n[-1], text[i + len(n)])):
+                    found.append((i, i + len(n)))
+                    i += len(n)
+                    break
+            else:
+                i += 1
+        return found
+
+
+def _joined(a: str, b: str) -> bool:
+    """Latin letters and digits side by side belong to one word."""
+    return a.isascii() and b.isascii() and a.isalnum() and b.isalnum()
+
+
+def evidence(text: str, names: Names) -> dict[str, tuple[int, int, int, int]]:
     """For each candidate in a text: ``(occurrences, regular ones, rows, consistent rows)``."""
     t = unwrap(text)
     cuts = _cuts(t, CANDIDATES)
     edges = [0, *[x for c in cuts for x in c[:2]], len(t)]
     pieces = [t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)]
-    regular = [_regular(p, names) for p in pieces]
+    regular = [_regular(p, names.names) for p in pieces]
+    filled = [bool(p.strip()) for p in pieces]
     out: dict[str, list[int]] = {}
     for i, (_, _, sign) in enumerate(cuts):
         if sign != "list":
-            e = out.setdefault(sign, [0, 0, 1, 1])
-            last = i == len(cuts) - 1 and not pieces[i + 1].strip()
+            e = out.setdefault(sign, [0, 0, 1, 0])
+            last = i == len(cuts) - 1 and not filled[i + 1]
             e[0] += 2 - last
             e[1] += regular[i] + (regular[i + 1] and not last)
-            if not pieces[i].strip() and i:
-                e[3] = 0
+    if out:
+        expected, all_ = len(names.spans(t)), sum(filled)
+        for sign, e in out.items():
+            lost = sum(a and b for a, b, c in zip(filled, filled[1:], cuts, strict=False) if c[2] == sign)  # places where two pieces would be one
+            e[3] = int(abs(all_ - expected) <= abs(all_ - lost - expected))
     for p, ok in zip(pieces, regular, strict=True):
-        value = clean(p)[0]
-        for sign in () if ok else WEAK:
-            if sign in value:
-                parts = value.split(sign)
-                e = out.setdefault(sign, [0, 0, 1, 1])
+        value = "" if ok else clean(p)[0]
+        inside = names.spans(value) if any(sign in value for sign in WEAK) else []
+        for sign in WEAK:
+            at = [m.start() for m in re.finditer(re.escape(sign), value) if not any(a <= m.start() < b for a, b in inside)]
+            parts = [value[a:b].strip() for a, b in zip([0, *[i + len(sign) for i in at]], [*at, len(value)], strict=True)]
+            named = sum(x in names.names for x in parts)
+            if at and named:  # a value of several words says nothing about what separates names
+                e = out.setdefault(sign, [0, 0, 0, 0])
                 e[0] += len(parts)
-                e[1] += sum(x.strip() in names for x in parts)
-                e[3] = min(e[3], int(all(x.strip() for x in parts)))
+                e[1] += named
+                e[2] += 1
+                e[3] += abs(sum(map(bool, parts)) - len(inside)) <= abs(1 - len(inside))
     return {k: tuple(v) for k, v in out.items()}
 
 
-def inferred(values: DataFrame, names: set[str]) -> DataFrame:
-    """``source, sign, occurrences, regular, rows, consistent, score`` from ``source, text`` over all rows."""
+KEEP = 50_000  # different texts of which a task keeps what it made, against repeated work
+
+
+def counted(values: DataFrame, names: set[str]) -> DataFrame:
+    """``field, source, sign, occurrences, regular, rows, consistent`` from ``field, source, text`` over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, str], list[int]] = {}
+        known, made = Names(names), {}
         for b in batches:
-            for source, text in zip(b.column("source").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if not says_nothing(text):
-                    for sign, e in evidence(text, names).items():
-                        t = total.setdefault((source, sign), [0, 0, 0, 0])
-                        for i in range(4):
-                            t[i] += e[i]
-        rows = [(*k, *v) for k, v in total.items()]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=["source", "sign", "occurrences", "regular", "rows", "consistent"])
-
-    got = values.select("source", "text").mapInArrow(run, "source string, sign string, occurrences bigint, regular bigint, rows bigint, consistent bigint")
-    sums = got.groupBy("source", "sign").agg(*[F.sum(c).alias(c) for c in ("occurrences", "regular", "rows", "consistent")])
-    return sums.withColumn("score", F.round(F.col("regular") / F.col("occurrences") * F.col("consistent") / F.col("rows"), 4))
-
-
-def fields_long(raw: DataFrame, fields: list[str], key: str = "source_row") -> DataFrame:
-    """One row for each field: ``key, source, text``."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("source"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields])
-    return raw.select(F.col(key), F.explode(pairs).alias("f")).select(key, "f.source", "f.text")
-
-
-def split_fields(raw: DataFrame, fields: list[str], names: set[str], key: str = "source_row") -> DataFrame:
-    """``key, field_name, pos, val``: one row for each value of each field of each row."""
-    long = fields_long(raw, fields, key)
-    strong: dict[str, list[str]] = {f: [] for f in fields}
-    for r in inferred(long, names).filter(F.col("score") >= ACCEPT).collect():  # fields times candidates
-        if r["sign"] not in WEAK:
-            strong[r["source"]].append(r["sign"])
+            total: dict[tuple, list[int]] = {}
+            for field, source, text in zip(*[b.column(c).to_pylist() for c in ("field", "source", "text")], strict=True):
+                if says_nothing(text):
+                    continue
+                own = made.get(text)
+                if own is None:
+                    own = evidence(text, known)
+                    if len(made) < KEEP:
+                        made[text] = own
+                for sign, e in own.items():
+                    t = total.setdefault((field, source, sign), [0, 0, 0, 0])
+                    for i in range(4):
+                        t[i] += e[i]
+            rows = [(*k, *v) for k, v in total.items()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if i < 3 else pa.int64()) for i, c in enumerate(cols)], names=["field", "source", "sign", *COUNTS])
+
+    got = values.select("field", "source", "text").mapInArrow(run, "field string, source string, sign string, occurrences bigint, regular bigint, rows bigint, consistent bigint")
+    return got.groupBy("field", "source", "sign").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+COUNTS = ("occurrences", "regular", "rows", "consistent")
+
+
+def inferred(values: DataFrame, names: set[str]) -> DataFrame:
+    """``field, source, sign``, the counts, ``score`` and ``accepted``, for every sign that a source holds."""
+    own = materialize(counted(values, names))
+    fields = own.groupBy("field", "sign").agg(*[F.sum(c).alias(f"all_{c}") for c in COUNTS])
+    drawn = lambda part, whole: (F.col(part) + WEIGHT * F.col(f"all_{part}") / F.col(f"all_{whole}")) / (F.col(whole) + WEIGHT)
+    scored = own.join(F.broadcast(fields), ["field", "sign"])  # fields times candidate signs
+    score = F.round(drawn("regular", "occurrences") * drawn("consistent", "rows"), 4)
+    return scored.select("field", "source", "sign", *COUNTS, score.alias("score")).withColumn("accepted", F.col("score") >= ACCEPT)
+
+
+def fields_long(rows: DataFrame, fields: Sequence[str], *kept: str) -> DataFrame:
+    """One row for each field: the kept columns, ``field, text``."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields])
+    return rows.select(*kept, F.explode(pairs).alias("f")).select(*kept, "f.field", "f.text")
+
+
+def with_source(raw: DataFrame, origin: DataFrame, on: str, source: str) -> DataFrame:
+    """The rows with ``source``, looked up by the key ``on`` in ``origin`` (one row a key); an unknown one is ``""``."""
+    of = origin.select(F.col(on).alias("_key"), F.col(source).alias("_source")).filter("_key is not null").groupBy("_key").agg(F.min("_source").alias("_source"))
+    return raw.join(of, F.col(f"`{on}`") == F.col("_key"), "left").withColumn("source", F.coalesce("_source", F.lit(""))).drop("_key", "_source")
+
+
+def split_fields(raw: DataFrame, fields: Sequence[str], names: set[str], key: str = "source_row") -> DataFrame:
+    """``key, field_name, pos, val``: one row for each value of each field of each row. raw: ``key``, the fields and ``source`` (of the row; may be absent)."""
+    rows = raw if "source" in raw.columns else raw.withColumn("source", F.lit(""))
+    rows = materialize(rows.select(key, *[F.col(f"`{f}`") for f in fields], F.coalesce("source", F.lit("")).alias("source")))  # read for inference and for splitting
+    signs = inferred(fields_long(rows, fields, "source"), names).filter("accepted").groupBy("source").agg(F.collect_list(F.struct("field", "sign")).alias("signs"))
+    salted = signs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    long = fields_long(rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"], "left"), fields, key, "signs")
     kind = raw.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, str], list[str]] = {}
+        known: dict[tuple, list[str]] = {}
+        chosen: dict[tuple, tuple[tuple[str, ...], tuple[str, ...]]] = {}
         for b in batches:
-            keys, sources, at, pos, vals = [], [], [], [], []
-            for i, (source, text) in enumerate(zip(b.column("source").to_pylist(), b.column("text").to_pylist(), strict=True)):
-                got = known.get((source, text))
+            sources, at, pos, vals = [], [], [], []
+            accepted = b.column("signs").to_pylist()
+            for i, (field, text, all_) in enumerate(zip(b.column("field").to_pylist(), b.column("text").to_pylist(), accepted, strict=True)):
+                if says_nothing(text):
+                    continue
+                own = tuple(sorted(e["sign"] for e in all_ or () if e["field"] == field))
+                got = known.get((text, own))
                 if got is None:
-                    got = split(text, names, strong[source])
-                    if len(known) < 50_000:
-                        known[source, text] = got
+                    if own not in chosen:
+                        chosen[own] = tuple(s for s in own if s not in WEAK), tuple(s for s in own if s in WEAK)
+                    got = split(text, names, *chosen[own])
+                    if len(known) < KEEP:
+                        known[text, own] = got
                 for p, v in enumerate(got, 1):
                     at.append(i)
-                    sources.append(source)
+                    sources.append(field)
                     pos.append(p)
                     vals.append(v)
             keys = b.column(key).take(pa.array(at, pa.int64()))

@@ -8,23 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.operators import multivalue, pay_units
-from lodeline.runtime import enough_tasks, table
+from lodeline.runtime import bounded, enough_tasks, table
 
 SKILL_FIELDS = ["電腦技能資料", "工作技能", "專業證照"]
 
 
+MOST_NAMES, NAME = 1_000_000, "graph_skills"
+
+
 def _names(spark: SparkSession, sf: str) -> set[str]:
-    return {r["skill"] for r in table(spark, sf, "graph_skills").select("skill").dropna().limit(1_000_000).collect()}  # a fixed table
+    return {r["skill"] for r in bounded(table(spark, sf, NAME).select("skill").dropna(), MOST_NAMES, f"names in {NAME}").collect()}  # a fixed table
+
+
+def _skill_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The skill fields of every delivery with the vendor of its posting as their source."""
+    raw = enough_tasks(table(spark, sf, "jobs_raw").select("source_row", F.col("職缺編號").alias("job_id"), *SKILL_FIELDS))
+    return multivalue.with_source(raw, table(spark, sf, "jobs"), "job_id", "vendor_id").select("source_row", *SKILL_FIELDS, "source")
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    raw = enough_tasks(table(spark, sf, "jobs_raw").select("source_row", *SKILL_FIELDS))
-    return multivalue.split_fields(raw, SKILL_FIELDS, _names(spark, sf))
+    return multivalue.split_fields(_skill_rows(spark, sf), SKILL_FIELDS, _names(spark, sf))
 
 
 def p4_delimiters(spark: SparkSession, sf: str) -> DataFrame:
-    raw = enough_tasks(table(spark, sf, "jobs_raw").select("source_row", *SKILL_FIELDS))
-    return multivalue.inferred(multivalue.fields_long(raw, SKILL_FIELDS), _names(spark, sf)).withColumn("accepted", F.col("score") >= multivalue.ACCEPT)
+    return multivalue.inferred(multivalue.fields_long(_skill_rows(spark, sf), SKILL_FIELDS, "source"), _names(spark, sf))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
