@@ -6,8 +6,9 @@ time, Viterbi's algorithm finds the units that make the monthly pay in TWD run s
 a jump of the log level d costs d^2 / (2 SIGMA^2). Where the text names the unit the state is certain and only
 serves as level for its neighbours; postings that name no unit take the decoded one.
 
-Sources are cut into sequences of about ``SEQUENCE`` rows by hash of the id, so that one large source isn't one task. Conversion is
-exact (fractions of the unit table), halves round up.
+A source is cut into sequences of about ``SEQUENCE`` rows by time, at whole hours; each sequence starts with the rows of the hour before it, which only
+serve as level. The rows of an hour that holds more are spread over several sequences by hash of the id, since their order says little. So one large
+source isn't one task, and no sequence starts without a level. Conversion is exact (fractions of the unit table), halves round up.
 
 Defined results: an amount in the text holds before the numbers; bonuses, terms and years are no pay; a posting that states no amount
 gives no row; an end that isn't stated is 0; ends in the wrong order are exchanged; null texts, vendors and times are allowed; an empty table gives none.
@@ -24,9 +25,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeline.runtime import bounded, materialize
+
 SEQUENCE, SIGMA, SWITCH = 4_096, 0.6, 1.0
 PERIODS, CURRENCIES, SCALES = ["hour", "day", "month", "year"], ["TWD", "USD", "JPY", "CNY"], ["one", "thousand", "ten_thousand"]
 STATES = [(p, c, s) for p in PERIODS for c in CURRENCIES for s in SCALES]
@@ -162,12 +165,33 @@ def half_up(x: Fraction) -> int:
     return math.floor(x + Fraction(1, 2))
 
 
+MOST_UNITS = 1_000
+
+
 def unit_factors(units: DataFrame) -> dict[tuple[str, str], Fraction]:
-    """The unit table (a fixed table of a few rows)."""
-    rows = units.limit(1_000).collect()
+    """The unit table (a fixed table of a few rows; more than ``MOST_UNITS`` are an error)."""
+    rows = bounded(units.select("unit_kind", "unit_code", "numer", "denom"), MOST_UNITS, "units").collect()
     return {(r["unit_kind"], r["unit_code"]): Fraction(int(r["numer"]), int(r["denom"])) for r in rows}
 
 
+def sequences(stated: DataFrame, most: int = SEQUENCE) -> DataFrame:
+    """``stated`` with ``part`` and ``lead`` (rows of the hour before a sequence). stated: ``source, time, job_id`` and more."""
+    hour = F.coalesce(F.substring("time", 1, 13), F.lit(""))
+    hours = stated.groupBy("source", hour.alias("hour")).agg(F.count("*").alias("n"))
+    # an hour's place among the rows of its source, from counts by hour alone
+    own = Window.partitionBy("source").orderBy("hour")
+    before = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spread = F.ceil(F.col("n") / most).cast("int")
+    ranked = hours.withColumn("step", F.floor(before / most) + F.sum(F.when(spread > 1, spread).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("spread", spread)
+    first = F.col("step") - F.when(F.col("spread") > 1, F.col("spread") - 1).otherwise(0)
+    placed = ranked.withColumn("first", first).withColumn("next", F.lead("first").over(own)).withColumn("next_spread", F.lead("spread").over(own)).select("source", "hour", "first", "spread", "next", "next_spread")
+    rows = stated.withColumn("hour", hour).join(placed, ["source", "hour"]).withColumn("sub", F.pmod(F.xxhash64("job_id"), "spread").cast("int"))
+    led = (F.col("next") > F.col("first") + F.col("spread") - 1) & (F.col("sub") == F.col("spread") - 1)
+    follow = F.when(led, F.transform(F.sequence(F.lit(0), F.col("next_spread") - 1), lambda i: F.struct((F.col("next") + i).alias("part"), F.lit(True).alias("lead"))))
+    parts = F.concat(F.array(F.struct((F.col("first") + F.col("sub")).alias("part"), F.lit(False).alias("lead"))), F.coalesce(follow, F.array().cast("array<struct<part:bigint,lead:boolean>>")))
+    return rows.select(*stated.columns, F.explode(parts).alias("p")).select(*stated.columns, "p.part", "p.lead")
+
+
 def monthly_pay(jobs: DataFrame, units: DataFrame, source: str = "vendor_id", time: str = "source_modified_at") -> DataFrame:
     """``job_id, min_twd_month, max_twd_month`` of every posting that states an amount."""
     factor = unit_factors(units)
@@ -189,17 +213,44 @@ def monthly_pay(jobs: DataFrame, units: DataFrame, source: str = "vendor_id", ti
 
     stated = jobs.select("job_id", F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(time).cast("string").alias("time"), "salary_text", "salary_min", "salary_max")
     stated = stated.mapInArrow(read, "job_id string, source string, time string, low string, high string, named array<string>")
-    sizes = stated.groupBy("source").agg(F.ceil(F.count("*") / SEQUENCE).alias("parts"))
-    parts = stated.join(sizes, "source").withColumn("part", F.pmod(F.xxhash64("job_id"), "parts"))
-
-    def decode(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("time", "ascending"), ("job_id", "ascending")])
-        low, high = [Fraction(v) for v in t.column("low").to_pylist()], [Fraction(v) for v in t.column("high").to_pylist()]
-        named = t.column("named").to_pylist()
-        allowed = np.array([[all(n is None or n == v for n, v in zip(own, state, strict=True)) for state in STATES] for own in named])
+    parts = sequences(materialize(stated))  # read for the counts and for the rows
+
+    open_states: dict[tuple, np.ndarray] = {}
+
+    def agreeing(named: list[str | None]) -> np.ndarray:
+        """The states that agree with the parts of the unit a text names."""
+        key = tuple(named)
+        if key not in open_states:
+            open_states[key] = np.array([all(n is None or n == v for n, v in zip(key, state, strict=True)) for state in STATES])
+        return open_states[key]
+
+    def decode(rows: list[tuple]) -> Iterator[tuple[str, int, int, str]]:
+        """One sequence of ``job_id, low, high, named, lead`` in order of time."""
+        low, high = [Fraction(r[1]) for r in rows], [Fraction(r[2]) for r in rows]
         size = np.array([math.log((a + b) / (2 if a and b else 1)) for a, b in zip(low, high, strict=True)])
-        state = viterbi(size[:, None] + logs[None, :], allowed)
-        lows, highs = [half_up(a * to_month[s]) for a, s in zip(low, state, strict=True)], [half_up(b * to_month[s]) for b, s in zip(high, state, strict=True)]
-        return pa.table({"job_id": t.column("job_id"), "min_twd_month": pa.array(lows, pa.int64()), "max_twd_month": pa.array(highs, pa.int64()), "unit": pa.array(["/".join(STATES[s]) for s in state])})
+        states = viterbi(size[:, None] + logs[None, :], np.stack([agreeing(r[3]) for r in rows]))
+        for r, a, b, state in zip(rows, low, high, states.tolist(), strict=True):
+            if not r[4]:
+                yield r[0], half_up(a * to_month[state]), half_up(b * to_month[state]), "/".join(STATES[state])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
-    return parts.groupBy("source", "part").applyInArrow(decode, "job_id string, min_twd_month bigint, max_twd_month bigint, unit string")
+        def made(sequences_: list[list[tuple]]) -> pa.RecordBatch:
+            cols = list(zip(*[o for rows in sequences_ for o in decode(rows)], strict=True)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["job_id", "min_twd_month", "max_twd_month", "unit"])
+
+        for b in batches:
+            done = []
+            for source, part, *row in zip(*[b.column(c).to_pylist() for c in ("source", "part", "job_id", "low", "high", "named", "lead")], strict=True):
+                if (source, part) != key:
+                    if held:
+                        done.append(held)
+                    key, held = (source, part), []
+                held.append(row)
+            yield made(done)
+        if held:
+            yield made([held])
+
+    ordered = parts.repartition("source", "part").sortWithinPartitions("source", "part", "time", "job_id")  # a task reads its sequences one after the other
+    return ordered.mapInArrow(run, "job_id string, min_twd_month bigint, max_twd_month bigint, unit string")

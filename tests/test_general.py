@@ -3,12 +3,14 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeline.operators import multivalue as mv
 from lodeline.operators import pay_units as pay
 
 NAMES = {"Python", "SQL", "C/C++", "TCP/IP", "SQL Server", "Excel", "Word", "Power BI", "Java", "A/B測試"}
 STRONG = ["、", "，", ",", "；", ";", "|", "｜", "／", " / ", "\t", "\n"]
+BLANKS = ["/", " ", "　"]
 
 
 @pytest.mark.parametrize(
@@ -38,17 +40,17 @@ STRONG = ["、", "，", ",", "；", ";", "|", "｜", "／", " / ", "\t", "\n"]
     ],
 )
 def test_split(text, expected):
-    assert mv.split(text, NAMES, STRONG) == expected
+    assert mv.split(text, NAMES, STRONG, BLANKS) == expected
 
 
 def test_long_field_is_kept_whole():
-    assert len(mv.split("、".join(f"v{i}" for i in range(5_000)), NAMES, STRONG)) == 5_000
+    assert len(mv.split("、".join(f"v{i}" for i in range(5_000)), NAMES, STRONG, BLANKS)) == 5_000
 
 
 def test_inference_and_rows(spark):
     data = [(i, t, None) for i, t in enumerate(["Python、SQL", "Python、Excel、Java", "Power BI", "C/C++", "無", "TCP/IP、Word", None, "Python、SQL"])]
     raw = spark.createDataFrame(data, "source_row long, f string, val string")  # a column named like an output
-    long = mv.fields_long(raw, ["f"])
+    long = mv.fields_long(raw.withColumn("source", F.lit("")), ["f"], "source")
     scores = {r["sign"]: r["score"] for r in mv.inferred(long, NAMES).collect()}
     assert scores["、"] == 1.0 and " " not in scores
     got = sorted(tuple(r) for r in mv.split_fields(raw, ["f"], NAMES).collect())
@@ -56,6 +58,34 @@ def test_inference_and_rows(spark):
     assert mv.split_fields(raw.limit(0), ["f"], NAMES).count() == 0
 
 
+def test_signs_are_inferred_by_source(spark):
+    """One sign separates at one source and stands inside values at another; a sign of spelling separates names at a third."""
+    rows = []
+    for i in range(60):
+        rows += [("a", ["Python|SQL", "SQL|Excel|Java", "Word|Python"][i % 3]), ("b", f"規格{i}|型號{i}"), ("c", ["Python+SQL", "Excel+Java", "Word+SQL+Java"][i % 3]), ("d", "C/C++、TCP/IP")]
+    raw = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "source_row long, f string, source string")
+    scores = {(r["source"], r["sign"]): r["accepted"] for r in mv.inferred(mv.fields_long(raw, ["f"], "source"), NAMES).collect()}
+    assert scores["a", "|"] and not scores["b", "|"] and scores["c", "+"] and ("d", "+") not in scores
+    got = {(r["source_row"], r["pos"]): r["val"] for r in mv.split_fields(raw, ["f"], NAMES).collect()}
+    assert (got[0, 1], got[0, 2], got[1, 1], got[2, 1], got[2, 2], got[3, 1], got[3, 2]) == ("Python", "SQL", "規格0|型號0", "Python", "SQL", "C/C++", "TCP/IP") and (1, 2) not in got
+
+
+def test_piece_counts_decide(spark):
+    """A sign whose cuts give other numbers of pieces than the values seen is refused although its sides look regular."""
+    known = mv.Names(NAMES)
+    assert mv.evidence("Python、SQL", known)["、"] == (2, 2, 1, 1)
+    assert mv.evidence("規格、型號", known)["、"] == (2, 0, 1, 0)
+    assert mv.evidence("Python;;SQL;", known)[";"][2:] == (1, 1)
+    assert mv.evidence("C/C++", known) == {} and mv.evidence("SQL Server Java", known)[" "] == (2, 2, 1, 1)
+    assert [b - a for a, b in known.spans("SQL Server、「Word」(Excel) Javas")] == [10, 6]
+
+
+def test_sources_of_rows(spark):
+    raw = spark.createDataFrame([(1, "a"), (2, "x"), (3, None)], "k int, id string")
+    origin = spark.createDataFrame([("a", "v1"), ("a", "v2"), (None, "v3"), ("b", "v4")], "id string, vendor string")
+    assert sorted((r["k"], r["source"]) for r in mv.with_source(raw, origin, "id", "vendor").collect()) == [(1, "v1"), (2, ""), (3, "")]
+
+
 @pytest.mark.parametrize(
     ("text", "low", "high", "period", "currency"),
     [
@@ -110,3 +140,22 @@ def test_monthly_pay(spark):
     got = sorted((r["job_id"], r["min_twd_month"], r["max_twd_month"]) for r in pay.monthly_pay(jobs, units).collect())
     assert got == [("1", 35200, 35200), ("2", 50000, 100000), ("5", 40950, 56700), ("6", 52000, 52000)]
     assert pay.monthly_pay(jobs.limit(0), units).count() == 0
+
+
+def test_sequences_are_cut_by_time_with_a_lead(spark):
+    rows = [("v", f"2026-01-{1 + i // 24:02d} {i % 24:02d}:00:00", str(i)) for i in range(60)] + [("v", "2026-02-01 05:10:00", f"h{i}") for i in range(25)] + [("v", "2026-02-02 00:00:00", "z"), ("w", None, "n")]
+    got = pay.sequences(spark.createDataFrame(rows, "source string, time string, job_id string"), 10).toPandas()
+    own = got[~got.lead]
+    assert sorted(own.job_id) == sorted(r[2] for r in rows)  # every row once
+    sizes = own[own.job_id.str.isdigit()].groupby("part").size()
+    assert len(sizes) == 6 and sizes.max() == 10
+    hot = own[own.job_id.str.startswith("h")].groupby("part").size()
+    assert len(hot) == 3 and hot.sum() == 25  # one hour of more rows than a sequence
+    lead = got[got.lead]
+    assert len(lead) and all(lead[lead.part == p].time.max() <= own[(own.part == p) & (own.source == "v")].time.min() for p in set(lead.part))
+
+
+def test_too_many_units_are_refused(spark):
+    units = spark.range(pay.MOST_UNITS + 1).selectExpr("'period' as unit_kind", "cast(id as string) as unit_code", "1L as numer", "1L as denom")
+    with pytest.raises(ValueError):
+        pay.unit_factors(units)
