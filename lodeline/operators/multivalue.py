@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,13 +36,18 @@ OPEN, CLOSE = "(（", ")）"
 BLANK = " 　\xa0"
 CANDIDATES = ["、", "，", ",", "；", ";", "|", "｜", "／", " / ", "\t", "\n"]
 WEAK = ["/", " ", "　", ":", "&", "+", "-", "."]
+_WEAK_SIGN = re.compile("[" + "".join(map(re.escape, WEAK)) + "]")
 ACCEPT, WEIGHT = 0.5, 20
 #: Salts of the join of rows with their source's signs; one source may hold a third of all rows.
 SALTS = 16
+APART = "\x00"
 _NUMBER = re.compile(r"(?:[(（]\d{1,2}[)）]|\d{1,2}(?:[、)）]|\.(?!\d)))\s*")
 _SIGN = re.compile(r"(?:[•●○◆■▪‧·*]|-(?=\s))\s*")
 _INLINE = re.compile(r"\s+(?=(?:[(（]\d{1,2}[)）]|\d{1,2}[、)）]|\d{1,2}\.(?!\d))\s*\S|[•●○◆■▪]|[*\-]\s)")
 
+_LISTED = re.compile(r"\s[\d(（•●○◆■▪*\-]")
+_PROTECTING = re.compile(rf"[{re.escape(''.join(QUOTES) + OPEN)}\d]")
+
 
 def says_nothing(text: str | None) -> bool:
     return text is None or text.strip().lower() in EMPTY
@@ -57,6 +63,8 @@ def unwrap(text: str) -> str:
 
 def protected(text: str) -> list[tuple[int, int]]:
     """Spans of quoted and bracketed text. A quote opens only where a value may start."""
+    if not _PROTECTING.search(text):
+        return []
     spans, i, n = [], 0, len(text)
     starts = True
     while i < n:
@@ -85,28 +93,27 @@ def protected(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+@lru_cache(maxsize=4_096)
+def _any_of(signs: tuple[str, ...]) -> re.Pattern:
+    """The signs as one pattern, the longest first at one place."""
+    return re.compile("|".join(re.escape(s) for s in sorted(signs, key=len, reverse=True)) or r"(?!)")
+
+
 def _cuts(text: str, signs: Sequence[str]) -> list[tuple[int, int, str]]:
-    """Occurrences ``(start, end, sign)`` of the signs outside protected text, longest first at one place."""
-    out, spans, k, i = [], protected(text), 0, 0
-    inline = {m.start(): m.end() for m in _INLINE.finditer(text)}
-    ordered = sorted(signs, key=len, reverse=True)
-    while i < len(text):
-        while k < len(spans) and spans[k][1] <= i:
-            k += 1
-        if k < len(spans) and spans[k][0] <= i:
-            i = spans[k][1]
-            continue
-        if i in inline:
-            out.append((i, inline[i], "list"))
-            i = inline[i]
-            continue
-        for s in ordered:
-            if text.startswith(s, i):
-                out.append((i, i + len(s), s))
-                i += len(s)
-                break
-        else:
-            i += 1
+    """Occurrences ``(start, end, sign)`` of the signs outside protected text; a blank before a list sign or number counts as the sign ``list``."""
+    spans, found = protected(text), []
+    find = _any_of(tuple(signs)).finditer
+    for a, b in zip([0, *[e for _, e in spans]], [*[s for s, _ in spans], len(text)], strict=True):
+        found += [(m.start(), m.end(), m.group()) for m in find(text, a, b)]
+    inline = [m.span() for m in _INLINE.finditer(text)] if _LISTED.search(text) else []
+    if not inline:
+        return found
+    outside = [(a, b, "") for a, b in inline if not any(s <= a < e for s, e in spans)]  # "" sorts first at one place
+    out, at = [], 0
+    for a, b, sign in sorted(found + outside, key=lambda c: (c[0], c[2])):
+        if a >= at:
+            out.append((a, b, sign or "list"))
+            at = b
     return out
 
 
@@ -211,15 +218,16 @@ def evidence(text: str, names: Names) -> dict[str, tuple[int, int, int, int]]:
             last = i == len(cuts) - 1 and not filled[i + 1]
             e[0] += 2 - last
             e[1] += regular[i] + (regular[i + 1] and not last)
+    weak = [clean(p)[0] if not ok and _WEAK_SIGN.search(p) else "" for p, ok in zip(pieces, regular, strict=True)]
     if out:
-        expected, all_ = len(names.spans(t)), sum(filled)
+        # values seen without regard to the cuts: a piece of a known type is one, in others the names count
+        expected, all_ = sum(1 if ok else len(names.spans(p)) if filled_ else 0 for p, ok, filled_ in zip(pieces, regular, filled, strict=True)), sum(filled)
         for sign, e in out.items():
             lost = sum(a and b for a, b, c in zip(filled, filled[1:], cuts, strict=False) if c[2] == sign)  # places where two pieces would be one
             e[3] = int(abs(all_ - expected) <= abs(all_ - lost - expected))
-    for p, ok in zip(pieces, regular, strict=True):
-        value = "" if ok else clean(p)[0]
-        inside = names.spans(value) if any(sign in value for sign in WEAK) else []
-        for sign in WEAK:
+    for value in filter(None, weak):
+        inside = names.spans(value)
+        for sign in {m.group() for m in _WEAK_SIGN.finditer(value)} if inside else ():
             at = [m.start() for m in re.finditer(re.escape(sign), value) if not any(a <= m.start() < b for a, b in inside)]
             parts = [value[a:b].strip() for a, b in zip([0, *[i + len(sign) for i in at]], [*at, len(value)], strict=True)]
             named = sum(x in names.names for x in parts)
@@ -291,26 +299,22 @@ def split_fields(raw: DataFrame, fields: Sequence[str], names: set[str], key: st
     """``key, field_name, pos, val``: one row for each value of each field of each row. raw: ``key``, the fields and ``source`` (of the row; may be absent)."""
     rows = raw if "source" in raw.columns else raw.withColumn("source", F.lit(""))
     rows = materialize(rows.select(key, *[F.col(f"`{f}`") for f in fields], F.coalesce("source", F.lit("")).alias("source")))  # read for inference and for splitting
-    signs = inferred(fields_long(rows, fields, "source"), names).filter("accepted").groupBy("source").agg(F.collect_list(F.struct("field", "sign")).alias("signs"))
+    accepted = inferred(fields_long(rows, fields, "source"), names).filter("accepted").groupBy("source", "field").agg(F.array_join(F.array_sort(F.collect_list("sign")), APART).alias("signs"))
+    signs = accepted.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("field", "signs"))).alias("signs"))
     salted = signs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     long = fields_long(rows.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(salted, ["source", "salt"], "left"), fields, key, "signs")
+    long = long.select(key, "field", "text", F.coalesce(F.element_at("signs", F.col("field")), F.lit("")).alias("signs"))
     kind = raw.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, list[str]] = {}
-        chosen: dict[tuple, tuple[tuple[str, ...], tuple[str, ...]]] = {}
         for b in batches:
             sources, at, pos, vals = [], [], [], []
-            accepted = b.column("signs").to_pylist()
-            for i, (field, text, all_) in enumerate(zip(b.column("field").to_pylist(), b.column("text").to_pylist(), accepted, strict=True)):
-                if says_nothing(text):
-                    continue
-                own = tuple(sorted(e["sign"] for e in all_ or () if e["field"] == field))
+            for i, (field, text, own) in enumerate(zip(*[b.column(c).to_pylist() for c in ("field", "text", "signs")], strict=True)):
                 got = known.get((text, own))
                 if got is None:
-                    if own not in chosen:
-                        chosen[own] = tuple(s for s in own if s not in WEAK), tuple(s for s in own if s in WEAK)
-                    got = split(text, names, *chosen[own])
+                    signs_ = [x for x in own.split(APART) if x]
+                    got = split(text, names, [x for x in signs_ if x not in WEAK], [x for x in signs_ if x in WEAK])
                     if len(known) < KEEP:
                         known[text, own] = got
                 for p, v in enumerate(got, 1):
