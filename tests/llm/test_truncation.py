@@ -51,9 +51,37 @@ def test_endings(text, state):
 
 
 def test_run_keys_stop_at_the_sentence_start():
-    a, b = tr.codes("\x01abc"), tr.codes("xyz\x01abc")
-    assert tr.run_keys(a, 10)[-1] == tr.run_keys(b, 10)[-1] and tr.run_keys(a, 2)[-1] == tr.run_keys(tr.codes("zbc"), 2)[-1]
-    assert len(np.unique([tr.run_keys(a, k)[-1] for k in tr.RUNS])) == len(tr.RUNS)
+    a, b, c = (tr.run_keys(tr.codes(t)) for t in ("\x01abc", "xyz\x03abc", "zbc"))
+    assert a[10][-1] == b[10][-1] and a[2][-1] == c[2][-1] and a[3][-1] != c[3][-1] and a[5][-1] != tr.run_keys(tr.codes("abc"))[5][-1]
+    assert len({int(a[k][-1]) for k in tr.RUNS}) == len(tr.RUNS)
+
+
+def test_last_sentence_equals_that_of_the_whole_text():
+    r = random.Random(3)
+    for _ in range(200):
+        t = "".join(r.choice(["abc", "。", "\n", "字" * 90, ". ", "長" * 700, "1.5", "•", "？"]) for _ in range(r.randrange(1, 12)))
+        s = tr.skeleton(t).replace("\x03", "\x01").rstrip("\x01")
+        assert tr.last_sentence(t) == (s[s.rfind("\x01") :] if s else "")
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [('文字<img alt="x" src="data:image/png;base64,' + "A" * 5_000, True), ("文字<div style='color: red; " + "x: y; " * 2_000, True), ("a < b 而且" + "很長的文字" * 100, False), ("若 <b 且" + "很長的文字，" * 100 + "完", False), ("完成<sp", True), ("完成<b>粗</b>", False), ("x" * 300 + "&#12", True)],
+)
+def test_broken_markup_of_any_length(text, expected):
+    assert tr.broken(text) is expected
+
+
+def test_the_significant_length_decides(spark):
+    """An ending that goes on elsewhere in some cases only is a cut at a significant length and none at another."""
+    r = random.Random(8)
+    body = lambda n: "".join(r.choice(SENTENCES) for _ in range(60))[: n - 4] + "。"
+    rows = [(i, "limit", body(300) + "甲乙丙") for i in range(60)]
+    rows += [(1_000 + i, "limit", body(150 + i % 140)) for i in range(400)]
+    rows += [(2_000 + i, "plain", f"{i:03d}。甲乙丙丁戊。") for i in range(100)] + [(3_000 + i, "plain", f"{i:03d}。甲乙丙\n完。") for i in range(20)]
+    rows += [(4_000 + i, "plain", body(310 + i) + "甲乙丙") for i in range(30)]
+    out = tr.judged(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
+    assert set(out[out.cut].doc_id) == set(range(60)) and set(out[out.cut].by) == {"length"}
 
 
 def test_empty_table_and_repeated_rows(spark):
