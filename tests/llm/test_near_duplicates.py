@@ -36,8 +36,7 @@ def test_pairs_equal_brute_force(spark):
     assert got == {(ids[a], ids[b]) for a, b in _brute(texts)}
 
 
-def test_blocks_of_hot_lists_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 4)
+def test_growing_texts_lose_nothing(spark):
     r = random.Random(1)
     base = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(300))
     texts = [base[: 200 + i] for i in range(40)]
@@ -64,5 +63,48 @@ def test_components_of_a_chain(spark):
 
 
 def test_heap_merge_and_probe():
-    assert list(nd.heap_merge([[("a", 1), ("c", 1)], [("a", 1), ("b", 2)]])) == [("a", 1, 2), ("b", 2, 1), ("c", 1, 1)]
-    assert nd.occurrences([1, 5, 9], [1, 2, 9]) == 2
+    assert list(nd.heap_merge([[1, 3], [1, 2]])) == [(1, 2), (2, 1), (3, 1)] and list(nd.heap_merge([[4, 7]])) == [(4, 1), (7, 1)]
+    assert nd.holds([1, 2, 9], 9) and not nd.holds([1, 2, 9], 5) and not nd.holds([1], None) and not nd.holds([], 1)
+
+
+def test_missed_pairs_are_rare():
+    assert nd.missed(0.75) < 1e-4 and nd.missed(0.70) < 5e-4 and nd.missed(0.2, 20_000) > 0.99
+
+
+def _met(df):
+    return sorted((r["x"], y) for r in df.collect() for y in r["ys"])
+
+
+def test_lists_in_a_stream_equal_brute_force(spark, monkeypatch):
+    """Short and long lists over many small batches; long ones come out as members in blocks, and their meetings complete the pairs."""
+    r = random.Random(4)
+    rows = [(k, x, r.randrange(10, 40)) for k in range(30) for x in range(1 if k % 3 == 0 else r.choice([2, 5, 300, 700, nd.BLOCK, nd.BLOCK + 1]))]
+    size = {}
+    rows = [(k, x, size.setdefault(x, n)) for k, x, n in rows]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        found = nd.lists(spark.createDataFrame(rows, "key long, x long, n int"), 0.65).cache()
+        members = found.filter("part >= 0")
+        got = sorted(_met(found.filter("part < 0")) + _met(nd.block_meetings(members, 0.65)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = {}
+    for k, x, _ in rows:
+        own.setdefault(k, []).append((size[x], x))
+    expected = sorted((a[1], b[1]) for m in own.values() for a, b in combinations(sorted(m), 2) if b[0] * 0.65 <= a[0])
+    assert got == expected
+    assert members.groupBy("key", "part").count().toPandas()["count"].max() <= nd.BLOCK
+
+
+def test_long_lists_lose_no_pair(spark, monkeypatch):
+    """Records whose keys all have long lists: the set-aside list is made up for by the probe."""
+    r = random.Random(2)
+    base = "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(400))
+    texts = [base[: 200 + i % 190] + "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(3)) for i in range(620)]
+    sig = nd.signed(spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "rep string, text string")).cache()
+    ids = {row["x"]: int(row["rep"]) for row in sig.select("x", "rep").collect()}
+    keys = {row["x"]: set(row["keys"]) for row in sig.select("x", "keys").collect()}
+    n = {row["x"]: row["n"] for row in sig.select("x", "n").collect()}
+    got = {frozenset((row["x"], row["y"])) for row in nd.candidates(sig, 0.65).collect()}
+    expected = {frozenset((a, b)) for a, b in combinations(ids, 2) if len(keys[a] & keys[b]) >= nd.T and min(n[a], n[b]) >= 0.65 * max(n[a], n[b])}
+    assert got == expected and len(got) > 10_000
