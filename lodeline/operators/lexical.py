@@ -6,6 +6,7 @@ Postings carry the length of their document field, so scoring needs one join on
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,7 @@ from lodeline.runtime import bounded, is_literal, materialize
 
 K1, B = 1.2, 0.75
 MOST_REQUESTS = 10_000
+MOST_FILTERS = 1_000_000
 
 
 @dataclass
@@ -29,23 +31,24 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_literal(df) else df
 
 
-def token_fields(docs: DataFrame, fields: dict[str, Column], doc: str = "doc") -> DataFrame:
-    """``doc, field, dl, tokens``: one row for each document and field, in one narrow pass."""
+def token_fields(docs: DataFrame, fields: dict[str, Column], doc: str = "doc", kept: Sequence[str] = ()) -> DataFrame:
+    """``doc, field, dl, tokens`` and the kept columns: one row for each document and field, in one narrow pass."""
     entries = F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(c, F.array().cast("array<string>")).alias("tokens")) for n, c in fields.items()])
-    return docs.select(F.col(doc).alias("doc"), F.explode(entries).alias("f")).select("doc", "f.field", F.size("f.tokens").alias("dl"), "f.tokens")
+    return docs.select(F.col(doc).alias("doc"), *kept, F.explode(entries).alias("f")).select("doc", *kept, "f.field", F.size("f.tokens").alias("dl"), "f.tokens")
 
 
-def build(tokens: DataFrame, terms: DataFrame | None = None) -> Index:
+def build(tokens: DataFrame, terms: DataFrame | None = None, kept: Sequence[str] = ()) -> Index:
     """From ``doc, field, dl, tokens``, a row for every document and field.
 
     Lengths are the sizes of the token arrays, so postings need one aggregation and field statistics none of the exploded rows. With ``terms``
     only the postings of these terms are made (for a batch over a table without a stored index); all statistics of these terms stay global.
+    ``kept``: columns of the document that its postings carry, so that hard filters are predicates on a posting.
     """
     fields = tokens.groupBy("field").agg((F.sum("dl") / F.count("*")).alias("avgdl"), F.count("*").alias("n"))
-    occurrences = tokens.select("field", "doc", "dl", F.explode("tokens").alias("term"))
+    occurrences = tokens.select("field", "doc", "dl", *kept, F.explode("tokens").alias("term"))
     if terms is not None:
         occurrences = occurrences.join(small(terms.select("term").distinct()), "term", "left_semi")
-    postings = occurrences.groupBy("field", "doc", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = occurrences.groupBy("field", "doc", "dl", "term").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in kept])
     if terms is not None:
         postings = materialize(postings)  # read for scores and for document frequencies
     return Index(postings, fields, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
@@ -55,13 +58,17 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def score(queries: DataFrame, index: Index, boosts: dict[str, float] | None = None, eligible: DataFrame | None = None) -> DataFrame:
-    """``qid, doc, score``: sum over distinct query terms and fields of boost * idf * saturated tf.
+def score(queries: DataFrame, index: Index, boosts: dict[str, float] | None = None, eligible: DataFrame | None = None, requests: DataFrame | None = None, keys: Sequence[str] = ("qid",)) -> DataFrame:
+    """The keys, ``doc, score``: sum over distinct query terms and fields of boost * idf * saturated tf.
 
-    queries: ``qid, term``. eligible: ``qid, doc`` or ``doc``; applied before aggregation (it can't change a score, as statistics are global).
+    queries: the keys, ``term``; keys beyond ``qid`` tell apart several searches under one request. Filters are applied before aggregation (they can't
+    change a score, as statistics are global): eligible: ``qid, doc`` or ``doc``, for sets that come from elsewhere; requests: the hard filters of each
+    query (``passes``), for postings that carry the documents' columns, so that no set of eligible documents is made.
     """
-    q = queries.select("qid", "term").distinct()
+    q = queries.select(*keys, "term").distinct()
     hits = index.postings.join(small(q), "term")
+    if requests is not None:
+        hits = hits.join(bounded(requests, MOST_REQUESTS, "requests"), "qid").filter(passes())
     if eligible is not None:
         hits = hits.join(eligible, [c for c in ("qid", "doc") if c in eligible.columns], "left_semi")
     # a term's weight: only the queried terms' statistics are joined
@@ -72,26 +79,36 @@ def score(queries: DataFrame, index: Index, boosts: dict[str, float] | None = No
         boost = F.coalesce(F.element_at(F.create_map(*[x for k, v in boosts.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("field")), F.lit(0.0))
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = boost * idf(F.col("n"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return hits.groupBy("qid", "doc").agg(F.sum(part).alias("score"))
+    return hits.groupBy(*keys, "doc").agg(F.sum(part).alias("score"))
 
 
-def top_k(scored: DataFrame, k: int, id_order: Column | None = None) -> DataFrame:
+def top_k(scored: DataFrame, k: int, id_order: Column | None = None, keys: Sequence[str] = ("qid",)) -> DataFrame:
     """Rank by score and id inside each query; k by query is pushed below the sort by Spark's group limit."""
-    w = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), (id_order if id_order is not None else F.col("doc").cast("string")))
+    w = Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), (id_order if id_order is not None else F.col("doc").cast("string")))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def passes() -> Column:
+    """Whether a row with ``location, duty, visible, updated_ms`` passes the filters ``locations, duties, minimum_ms`` of a request.
+
+    Filters hold taxonomy terms (null: no match at all; empty: no restriction). The time bound is inclusive, there is no upper one.
+    """
+    within = lambda terms, value: F.col(terms).isNotNull() & ((F.size(terms) == 0) | F.array_contains(terms, F.col(value)))
+    return (F.col("visible") == "1") & (F.col("updated_ms") >= F.col("minimum_ms")) & within("locations", "location") & within("duties", "duty")
+
+
 def eligible_rows(docs: DataFrame, requests: DataFrame) -> DataFrame:
-    """``qid, doc`` that pass a request's hard filters.
+    """``qid, doc`` that pass a request's hard filters, each once.
 
-    docs: ``doc, location, duty, visible, updated_ms``; requests: ``qid, locations, duties, minimum_ms`` with taxonomy terms resolved (null
-    locations or duties: no match at all; empty: no restriction). The time bound is inclusive, there is no upper one.
+    docs: ``doc, location, duty, visible, updated_ms``; requests: ``qid, locations, duties, minimum_ms``, see ``passes``. Requests that restrict places
+    meet their documents by an equi-join on the place, others that restrict duties on the duty; only what restricts neither is tested against every
+    document, since all of them may be its result.
     """
-    visible = docs.filter(F.col("visible") == "1").select("doc", "location", "duty", "updated_ms")
-    r = bounded(requests.filter(F.col("locations").isNotNull() & F.col("duties").isNotNull()), MOST_REQUESTS, "requests")
-    ok = (
-        (F.col("updated_ms") >= F.col("minimum_ms"))
-        & ((F.size("locations") == 0) | F.array_contains("locations", F.col("location")))
-        & ((F.size("duties") == 0) | F.array_contains("duties", F.col("duty")))
-    )
-    return visible.join(r, ok).select("qid", "doc")
+    visible = docs.filter(F.col("visible") == "1").select("doc", "location", "duty", "visible", "updated_ms")
+    r = requests.filter(F.col("locations").isNotNull() & F.col("duties").isNotNull())
+    by_place = r.filter(F.size("locations") > 0).withColumn("location", F.explode(F.array_distinct("locations")))
+    by_duty = r.filter((F.size("locations") == 0) & (F.size("duties") > 0)).withColumn("duty", F.explode(F.array_distinct("duties")))
+    free = r.filter((F.size("locations") == 0) & (F.size("duties") == 0))
+    found = [visible.join(bounded(by_place, MOST_FILTERS, "places of requests"), "location"), visible.join(bounded(by_duty, MOST_FILTERS, "duties of requests"), "duty"), visible.join(bounded(free, MOST_REQUESTS, "requests"))]
+    a, b, c = (f.filter(passes()).select("qid", "doc") for f in found)
+    return a.unionByName(b).unionByName(c)

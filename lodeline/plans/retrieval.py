@@ -86,10 +86,11 @@ def bm25_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_filtered_before_topk(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    docs = d.select(F.col("doc_id").alias("doc"), F.coalesce("source", F.lit("")).alias("location"), F.coalesce("lang", F.lit("")).alias("duty"), F.when(F.col("text").isNull(), "0").otherwise("1").alias("visible"), F.unix_millis(F.col("posted_at").cast("timestamp")).alias("updated_ms"))
+    docs = d.select(F.col("doc_id").alias("doc"), "text", F.coalesce("source", F.lit("")).alias("location"), F.coalesce("lang", F.lit("")).alias("duty"), F.when(F.col("text").isNull(), "0").otherwise("1").alias("visible"), F.unix_millis(F.col("posted_at").cast("timestamp")).alias("updated_ms"))
+    index = lambda terms: lexical.build(lexical.token_fields(enough_tasks(docs), {"body": X.latin_words(F.col("text"))}, kept=FILTERS), terms, FILTERS)
     r = literal(spark, [("q1", ["portal_feed", "web_form"], ["en"]), ("q2", [], ["en", "zh"]), ("q3", ["crawler"], []), ("q4", None, ["en"])], "qid string, locations array<string>, duties array<string>").withColumn("minimum_ms", F.lit(1_767_225_600_000))
     q = _terms(spark, QUERIES)
-    s = lexical.score(q, lexical.build(_doc_tokens(spark, sf), q), eligible=lexical.eligible_rows(docs, r))
+    s = lexical.score(q, index(q), requests=r)
     return lexical.top_k(s, 20).select("qid", "doc", F.round("score", 6).alias("score"), "rank")
 
 
@@ -276,10 +277,14 @@ def graph_integrity(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("rule").agg(F.count("*").alias("n"))
 
 
+FILTERS = ["location", "duty", "visible", "updated_ms"]
+
+
 def _brand_index(spark: SparkSession, sf: str) -> lexical.Index:
+    """The index of the orders by their brands; postings carry what hard filters look at."""
     brands = _lines(spark, sf).groupBy(F.col("record").alias("doc")).agg(F.collect_set("brand").alias("tokens"))
-    docs = _orders(spark, sf).select("doc").join(brands, "doc", "left")
-    return lexical.build(lexical.token_fields(docs, {"body": F.col("tokens")}))
+    docs = _orders(spark, sf).select("doc", *FILTERS).join(brands, "doc", "left")
+    return lexical.build(lexical.token_fields(docs, {"body": F.col("tokens")}, kept=FILTERS), kept=FILTERS)
 
 
 def _graph_queries(spark: SparkSession) -> DataFrame:
@@ -287,14 +292,14 @@ def _graph_queries(spark: SparkSession) -> DataFrame:
     return q.withColumn("tokens", X.latin_words(F.col("text")))
 
 
-def _eligible_orders(spark: SparkSession, sf: str) -> DataFrame:
-    r = _graph_queries(spark).select("qid", F.array().cast("array<string>").alias("locations"), F.array("duty").alias("duties"), F.lit(852076800000).alias("minimum_ms"))
-    return lexical.eligible_rows(_orders(spark, sf).select("doc", "location", "duty", "visible", "updated_ms"), r)
+def _graph_requests(spark: SparkSession) -> DataFrame:
+    rows = [(q, [], [d], 852076800000) for q, _, d in GRAPH_QUERIES]
+    return literal(spark, rows, "qid string, locations array<string>, duties array<string>, minimum_ms long")
 
 
-def _baseline(spark: SparkSession, sf: str, index: lexical.Index, eligible: DataFrame, k: int = 1_000) -> DataFrame:
+def _baseline(spark: SparkSession, index: lexical.Index, k: int = 1_000) -> DataFrame:
     q = _graph_queries(spark).select("qid", F.explode("tokens").alias("term"))
-    return lexical.top_k(lexical.score(q, index, eligible=eligible), k)
+    return lexical.top_k(lexical.score(q, index, requests=_graph_requests(spark)), k)
 
 
 def _graph_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -312,26 +317,23 @@ def _anchors(spark: SparkSession, sf: str, baseline: DataFrame, support: DataFra
 
 
 def bridge_terms(spark: SparkSession, sf: str) -> DataFrame:
-    b = materialize(_baseline(spark, sf, _brand_index(spark, sf), _eligible_orders(spark, sf)))
+    b = materialize(_baseline(spark, _brand_index(spark, sf)))
     support, duties, relations = _graph_tables(spark, sf)
     return graph.bridges(_anchors(spark, sf, b, support, duties), relations).select("qid", "bridge", F.round("strength", 6).alias("strength"))
 
 
 def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
-    index, eligible = _brand_index(spark, sf), _eligible_orders(spark, sf)
+    index = _brand_index(spark, sf)
     postings = materialize(index.postings)
-    index = lexical.Index(postings, materialize(index.fields), postings.groupBy("field", "term").agg(F.count("*").alias("df")))
-    eligible = materialize(eligible)
-    base = materialize(_baseline(spark, sf, index, eligible))  # the tables below are read several times; none exceeds 1,000 rows a query or the skill graph
+    index = lexical.Index(postings, index.fields, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
+    base = materialize(_baseline(spark, index))  # the tables below are read several times; none exceeds 1,000 rows a query or the skill graph
     support, duties, relations = _graph_tables(spark, sf)
 
     def search(b: DataFrame) -> DataFrame:
-        """All bridges of all queries at once: the pair is the query id of a BM25 batch."""
-        pair = F.concat_ws("\x01", "qid", "bridge")
-        terms = b.select(pair.alias("qid"), F.explode(X.query_terms(X.native_tokens(F.col("bridge")))).alias("term"))
-        allowed = b.select(pair.alias("pair"), "qid").join(eligible, "qid").select(F.col("pair").alias("qid"), "doc")
-        top = lexical.top_k(lexical.score(terms, index, eligible=allowed), graph.JOBS_PER_BRIDGE)
-        return top.select(F.split("qid", "\x01")[0].alias("qid"), F.split("qid", "\x01")[1].alias("bridge"), "doc", "rank")
+        """All bridges of all queries in one batch, each under its query's filters."""
+        terms = b.select("qid", "bridge", F.explode(X.query_terms(X.native_tokens(F.col("bridge")))).alias("term"))
+        keys = ("qid", "bridge")
+        return lexical.top_k(lexical.score(terms, index, requests=_graph_requests(spark), keys=keys), graph.JOBS_PER_BRIDGE, keys=keys).select(*keys, "doc", "rank")
 
     return base, materialize(_anchors(spark, sf, base, support, duties)), relations, search
 
