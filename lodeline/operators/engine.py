@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions.times import freshness
 
 MAX_LANE_ROWS = 200
+MOST_RESULTS = 10
 
 
 def lane_violations(lanes: DataFrame) -> DataFrame:
@@ -29,6 +32,27 @@ def lane_violations(lanes: DataFrame) -> DataFrame:
     return d.select("qid", "lane", "doc", F.explode(rules).alias("rule"))
 
 
+def lanes_kept(lanes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lanes ``qid, lane, required, ...`` after their contract, and ``qid, lane, status`` of those that failed: an optional lane in breach is empty for its query,
+    a required one is an error when the plan runs."""
+    broken = lane_violations(lanes).select("qid", "lane").distinct().withColumn("_failed", F.lit(True))
+    checked = lanes.join(broken, ["qid", "lane"], "left")
+    guard = F.when(F.col("_failed") & F.col("required"), F.raise_error(F.concat(F.lit("a required lane failed: "), F.col("lane"))).cast("boolean")).otherwise(F.col("_failed"))
+    checked = checked.withColumn("_failed", guard)
+    return checked.filter(F.col("_failed").isNull()).drop("_failed"), checked.filter("_failed").select("qid", "lane", F.lit("shadow_lane_failed").alias("status")).distinct()
+
+
+def collected(required: Callable[[], DataFrame], optional: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """The union of the lanes' rows and the optional lanes that couldn't be planned; if the required one can't, its error goes on."""
+    rows, failed = required(), {}
+    for name, lane in optional.items():
+        try:
+            rows = rows.unionByName(lane())
+        except Exception as e:  # noqa: BLE001
+            failed[name] = f"shadow_lane_failed: {type(e).__name__}"
+    return rows, failed
+
+
 def required_missing(candidates: DataFrame, metadata: DataFrame) -> DataFrame:
     """Candidates of required lanes that have no metadata."""
     return candidates.filter("required").join(metadata.select("doc"), "doc", "left_anti")
@@ -58,8 +82,10 @@ def enforce(checked: DataFrame) -> DataFrame:
 def merge(candidates: DataFrame, metadata: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:
     """``qid, doc, position, best_rank, contribution, freshness, future, evidence``.
 
-    The incumbent lane alone gives scores and comes first; other lanes only fill the tail, by best rank, freshness and id.
+    The incumbent lane alone gives scores and comes first; other lanes only fill the tail, by best rank, freshness and id. limit: 1 to 10.
     """
+    if not 1 <= limit <= MOST_RESULTS:
+        raise ValueError(f"limit must lie between 1 and {MOST_RESULTS}")
     m = candidates.groupBy("qid", "doc").agg(
         F.max(F.col("required").cast("int")).alias("incumbent"),
         F.min("rank").alias("best_rank"),

@@ -89,6 +89,28 @@ def run_statistics(run: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
+def generation_statistics(queries: DataFrame, baseline: DataFrame, seeds: DataFrame, anchors: DataFrame, bridges: DataFrame, bridge_hits: DataFrame, paths: DataFrame, run: DataFrame) -> DataFrame:
+    """The 14 totals of a run with graph candidates, as one row.
+
+    queries: ``qid``; baseline: ``qid, doc``; seeds: baseline rows known to the graph; anchors: ``qid, priority`` (0 exact, 1 duty, 2 consensus);
+    bridges: ``qid``; bridge_hits: ``qid, doc``; paths: ``qid``; run: ``qid`` with ``graph_rank``, ``base_rank`` (null where a list doesn't hold the row).
+    """
+    per = queries.select("qid").distinct()
+    count = lambda d, name, keep=None: d.groupBy("qid").agg((F.count("*") if keep is None else F.count_if(keep)).alias(name))
+    graph_row = F.col("graph_rank").isNotNull()
+    parts = [
+        count(baseline, "baseline_rows"), count(seeds, "graph_covered_seed_rows"), count(anchors, "a_any"), count(anchors, "a_exact", F.col("priority") == 0), count(anchors, "a_duty", F.col("priority") == 1),
+        count(anchors, "a_consensus", F.col("priority") == 2), count(run, "graph_candidate_rows", graph_row), count(run, "novel_graph_candidate_rows", graph_row & F.col("base_rank").isNull()), count(bridges, "bridge_terms"),
+        count(bridge_hits, "bridge_retrieval_rows"), count(paths, "graph_paths"),
+    ]
+    for p in parts:
+        per = per.join(p, "qid", "left")
+    per = per.na.fill(0)
+    sums = ["baseline_rows", "graph_covered_seed_rows", "graph_candidate_rows", "novel_graph_candidate_rows", "bridge_terms", "bridge_retrieval_rows", "graph_paths"]
+    having = {"queries_with_any_anchors": "a_any", "queries_with_query_exact_anchors": "a_exact", "queries_with_duty_filter_anchors": "a_duty", "queries_with_consensus_anchors": "a_consensus", "queries_with_graph_candidates": "graph_candidate_rows", "queries_with_novel_graph_candidates": "novel_graph_candidate_rows"}
+    return per.agg(F.count("*").alias("query_count"), *[F.sum(c).alias(c) for c in sums], *[F.count_if(F.col(c) > 0).alias(n) for n, c in having.items()])
+
+
 def coverage(queries: DataFrame, run: DataFrame) -> DataFrame:
     """Queries without a result."""
     return queries.select("qid").distinct().join(run.select("qid").distinct(), "qid", "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.runtime import bounded
+from lodeline.runtime import bounded, settled
 
 # Relation types and the limits of the expansion.
 RELATION_TYPES = ["RELATED_TO", "SPECIALIZATION_OF", "USED_WITH"]
@@ -112,10 +112,10 @@ def duty_anchors(query_duties: DataFrame, duty_edges: DataFrame) -> DataFrame:
 
 def seed_anchors(baseline: DataFrame, job_skills: DataFrame) -> DataFrame:
     """Skills that at least two of the first ten baseline jobs known to the graph share. baseline: ``qid, doc, rank``."""
-    known = baseline.join(job_skills.select("doc").distinct(), "doc", "left_semi")
-    seeds = _first(known, ["qid"], [F.col("rank")], SEED_JOBS)
+    near = job_skills.select("doc", "skill").join(baseline.select("doc").distinct(), "doc", "left_semi").distinct()  # edges of baseline jobs only
+    seeds = _first(baseline.join(near.select("doc").distinct(), "doc", "left_semi"), ["qid"], [F.col("rank")], SEED_JOBS)
     total = seeds.groupBy("qid").agg(F.count("*").alias("seeds"))
-    counts = seeds.join(job_skills.select("doc", "skill").distinct(), "doc").groupBy("qid", "skill").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEED_JOBS)
+    counts = seeds.join(near, "doc").groupBy("qid", "skill").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SEED_JOBS)
     return counts.join(total, "qid").select("qid", "skill", F.lit(2).alias("priority"), (F.col("n") / F.col("seeds")).alias("strength"))
 
 
@@ -180,7 +180,7 @@ def restate(ranked: DataFrame, limit: int) -> DataFrame:
 
 def conditioned_search(baseline: DataFrame, anchors: DataFrame, relations: DataFrame, search: Callable[[DataFrame], DataFrame], limit: int = 1_000) -> DataFrame:
     """Graph-conditioned retrieval of a batch. ``search`` takes ``qid, bridge`` and gives ``qid, bridge, doc, rank`` under the query's own filters."""
-    b = bridges(anchors, relations)
+    b = settled(bridges(anchors, relations))  # at most MAX_BRIDGES a query
     hits = search(b.select("qid", "bridge")).filter(F.col("rank") <= JOBS_PER_BRIDGE).join(b, ["qid", "bridge"])
     return restate(protect(fuse(baseline, graph_ranks(hits))), limit)
 
@@ -204,13 +204,38 @@ def path_traces(edges: DataFrame, bridge_hits: DataFrame, spans: DataFrame | Non
     return totals.join(paths, ["qid", "doc"]).withColumn("retained", F.size("paths")).withColumn("omitted", F.col("total") - F.size("paths"))
 
 
-def trace_skill(skill: DataFrame, mentions: DataFrame, duty_edges: DataFrame, relations: DataFrame, limit: int = 10) -> DataFrame:
-    """``skill, kind, item, weight`` for given skills: jobs, duties and related skills, a limited number of each."""
-    jobs = mentions.select("skill", F.lit("job").alias("kind"), F.col("record").cast("string").alias("item"), F.lit(1.0).alias("weight")).distinct()
+def trace_skill(skill: DataFrame, mentions: DataFrame, duty_edges: DataFrame, relations: DataFrame, limit: int = 10, evidence: DataFrame | None = None) -> DataFrame:
+    """``skill, kind, item, weight`` for given skills: jobs, duties, relations, the relations' evidence and the jobs of related skills, a limited number of each.
+
+    evidence: ``record, source, type, target``. Evidence is limited for each relation, related jobs for each related skill.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must lie between 1 and 100")
+    asked = skill.select("skill").distinct()
+    held = mentions.select("skill", F.col("record").cast("string").alias("record")).distinct()
+    jobs = held.select("skill", F.lit("job").alias("kind"), F.col("record").alias("item"), F.lit(1.0).alias("weight"))
     duties = duty_edges.select("skill", F.lit("duty").alias("kind"), F.col("duty").alias("item"), "weight")
-    related = undirected(relations).select("skill", F.lit("related").alias("kind"), F.col("related").alias("item"), "weight")
-    all_ = jobs.unionByName(duties).unionByName(related).join(skill.select("skill"), "skill", "left_semi")
-    return _first(all_, ["skill", "kind"], [F.col("weight").desc(), F.col("item")], limit)
+    edge = F.concat_ws(">", "source", "type", "target")
+    own = undirected(relations).join(asked, "skill", "left_semi").distinct()
+    related = _first(own, ["skill"], [F.round("weight", 9).desc(), F.col("source"), F.col("type"), F.col("target")], limit)
+    parts = [
+        _first(jobs.unionByName(duties).join(asked, "skill", "left_semi"), ["skill", "kind"], [F.round("weight", 9).desc(), F.col("item")], limit),
+        related.select("skill", F.lit("relation").alias("kind"), edge.alias("item"), "weight"),
+    ]
+    near = related.select("skill", "related").distinct().join(held.withColumnRenamed("skill", "related"), "related")
+    parts.append(_first(near, ["skill", "related"], [F.col("record")], limit).select("skill", F.lit("related job").alias("kind"), F.concat_ws("/", "related", "record").alias("item"), F.lit(1.0).alias("weight")))
+    if evidence is not None:
+        borne = related.select("skill", "source", "type", "target").join(evidence.select(F.col("record").cast("string").alias("record"), "source", "type", "target").distinct(), ["source", "type", "target"])
+        parts.append(_first(borne, ["skill", "source", "type", "target"], [F.col("record")], limit).select("skill", F.lit("evidence").alias("kind"), F.concat_ws("/", edge, "record").alias("item"), F.lit(1.0).alias("weight")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def trace_lines(traces: DataFrame) -> DataFrame:
+    """``line``: one JSON object for each candidate of ``path_traces``."""
+    return traces.select(F.to_json(F.struct("doc", "omitted", "paths", "qid", "retained", "retained_score", "total", "total_score")).alias("line"))
 
 
 def graph_violations(job_skills: DataFrame, skills: DataFrame, relations: DataFrame, relation_evidence: DataFrame) -> DataFrame:

@@ -37,20 +37,28 @@ def token_fields(docs: DataFrame, fields: dict[str, Column], doc: str = "doc", k
     return docs.select(F.col(doc).alias("doc"), *kept, F.explode(entries).alias("f")).select("doc", *kept, "f.field", F.size("f.tokens").alias("dl"), "f.tokens")
 
 
+def frequencies(tokens: Column) -> Column:
+    """``term, tf`` of an array of tokens, in built-in expressions: sorted, then cut where the token changes."""
+    own = F.array_sort(tokens)
+    starts = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: (i == 1) | (F.element_at(own, i) != F.element_at(own, F.greatest(i - 1, F.lit(1)))))
+    ends = F.concat(F.slice(starts, 2, F.size(tokens)), F.array(F.size(tokens) + 1))
+    pairs = F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(own, a).alias("term"), (b - a).cast("bigint").alias("tf")))
+    return F.when(F.size(tokens) > 0, pairs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 def build(tokens: DataFrame, terms: DataFrame | None = None, kept: Sequence[str] = ()) -> Index:
     """From ``doc, field, dl, tokens``, a row for every document and field.
 
-    Lengths are the sizes of the token arrays, so postings need one aggregation and field statistics none of the exploded rows. With ``terms``
-    only the postings of these terms are made (for a batch over a table without a stored index); all statistics of these terms stay global.
+    Lengths are the sizes of the token arrays and frequencies are counted within them, so neither postings nor field statistics shuffle occurrences. With
+    ``terms`` only the postings of these terms are made (for a batch over a table without a stored index); all statistics of these terms stay global.
     ``kept``: columns of the document that its postings carry, so that hard filters are predicates on a posting.
     """
     fields = tokens.groupBy("field").agg((F.sum("dl") / F.count("*")).alias("avgdl"), F.count("*").alias("n"))
-    occurrences = tokens.select("field", "doc", "dl", *kept, F.explode("tokens").alias("term"))
-    if terms is not None:
-        occurrences = occurrences.join(small(terms.select("term").distinct()), "term", "left_semi")
-    postings = occurrences.groupBy("field", "doc", "dl", "term").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in kept])
-    if terms is not None:
-        postings = materialize(postings)  # read for scores and for document frequencies
+    if terms is None:  # a document's tokens stand in one row: its postings need no shuffle
+        postings = tokens.select("field", "doc", "dl", *kept, F.explode(frequencies(F.col("tokens"))).alias("p")).select("field", "doc", "dl", *kept, "p.term", "p.tf")
+    else:
+        occurrences = tokens.select("field", "doc", "dl", *kept, F.explode("tokens").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
+        postings = materialize(occurrences.groupBy("field", "doc", "dl", "term").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in kept]))  # read for scores and for document frequencies
     return Index(postings, fields, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
 
 

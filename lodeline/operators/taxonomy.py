@@ -45,3 +45,14 @@ def resolve(requests: DataFrame, expanded: DataFrame) -> DataFrame:
 def from_rows(rows: DataFrame, code: str, term: str) -> DataFrame:
     """``code, term`` as the rows themselves state it, where no taxonomy is given."""
     return rows.select(F.col(code).alias("code"), F.col(term).alias("term")).filter((F.col("code") != "") & (F.col("term") != "")).distinct()
+
+
+def children(rows: DataFrame, of: list[str]) -> DataFrame:
+    """``path, code, has_children``: the nodes one level below a path (names from the top), with the codes of those that are options themselves (null for
+    others) and whether anything lies below them."""
+    down = F.reverse("path")
+    depth = len(of)
+    below = paths(rows).select("code", down.alias("path")).filter((F.size("path") > depth) & (F.slice("path", 1, depth) == F.array(*[F.lit(x) for x in of]).cast("array<string>")))
+    nodes = below.select(F.slice("path", 1, depth + 1).alias("node"), F.when(F.size("path") == depth + 1, F.col("code")).alias("code"))
+    held = nodes.groupBy("node").agg(F.collect_set("code").alias("codes"), F.max(F.col("code").isNull()).alias("has_children"))
+    return held.select(F.array_join("node", "/").alias("path"), F.explode_outer("codes").alias("code"), "has_children")

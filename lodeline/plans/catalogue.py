@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeline.plans import general, pipelines, retrieval
+from lodeline.plans import general, loading, pipelines, retrieval
 
-MODULES = [retrieval, pipelines, general]
+MODULES = [retrieval, pipelines, loading, general]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

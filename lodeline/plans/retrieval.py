@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeline.functions import text as X
 from lodeline.functions import times, vectors
 from lodeline.operators import dense, engine, evaluate, graph, lexical, taxonomy
-from lodeline.runtime import enough_tasks, literal, materialize, table
+from lodeline.runtime import enough_tasks, literal, materialize, settled, stored, table
 
 QUERIES = [("q1", "weekly stock reports"), ("q2", "shift rosters using python"), ("q3", "customer refund cases"), ("q4", "manual steps excel sql")]
 JOB_TERMS = [("j1", "python engineer"), ("j2", "excel word outlook"), ("j3", "sql docker kubernetes")]
@@ -259,13 +259,14 @@ def skill_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 def undirected_relation_join(spark: SparkSession, sf: str) -> DataFrame:
     u = graph.undirected(graph.skill_relations(_relations(spark, sf), _mentions(spark, sf), MIN_SUPPORT))
-    return u.filter(F.col("skill") == "brand#3").select("skill", "related", "type", F.round("weight", 6).alias("weight"))
+    return u.select("skill", "related", "type", F.round("weight", 6).alias("weight"))
 
 
 def skill_trace(spark: SparkSession, sf: str) -> DataFrame:
     m = _mentions(spark, sf)
     s = literal(spark, [("brand#3",), ("brand#7",)], "skill string")
-    t = graph.trace_skill(s, m, graph.duty_skills(m, MIN_SUPPORT), graph.skill_relations(_relations(spark, sf), m, MIN_SUPPORT))
+    rel = _relations(spark, sf)
+    t = graph.trace_skill(s, m, graph.duty_skills(m, MIN_SUPPORT), graph.skill_relations(rel, m, MIN_SUPPORT), evidence=rel)
     return t.withColumn("weight", F.round("weight", 6)).distinct()
 
 
@@ -280,11 +281,24 @@ def graph_integrity(spark: SparkSession, sf: str) -> DataFrame:
 FILTERS = ["location", "duty", "visible", "updated_ms"]
 
 
-def _brand_index(spark: SparkSession, sf: str) -> lexical.Index:
+def _graph_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders with what filters look at and their brands in the order of lines; stored, since index, mentions and relations are narrow views of it."""
+    lines = _lines(spark, sf).groupBy(F.col("record").alias("doc")).agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), "brand"))).alias("lines"))  # a few lines an order
+    return stored(_orders(spark, sf).select("doc", *FILTERS).join(lines, "doc", "left"))
+
+
+def _brand_index(documents: DataFrame) -> lexical.Index:
     """The index of the orders by their brands; postings carry what hard filters look at."""
-    brands = _lines(spark, sf).groupBy(F.col("record").alias("doc")).agg(F.collect_set("brand").alias("tokens"))
-    docs = _orders(spark, sf).select("doc", *FILTERS).join(brands, "doc", "left")
-    return lexical.build(lexical.token_fields(docs, {"body": F.col("tokens")}, kept=FILTERS), kept=FILTERS)
+    brands = F.array_distinct(F.transform("lines", lambda x: x["brand"]))
+    return lexical.build(lexical.token_fields(documents, {"body": brands}, kept=FILTERS), kept=FILTERS)
+
+
+def _line_relations(documents: DataFrame) -> DataFrame:
+    """``_relations`` as a narrow view of the stored orders."""
+    after = lambda a: F.transform(F.filter("lines", lambda b: (b["n"] == a["n"] + 1) & (b["brand"] != a["brand"])), lambda b: F.struct(a.alias("a"), b.alias("b")))
+    p = documents.select(F.col("doc").alias("record"), F.explode(F.flatten(F.transform("lines", after))).alias("p"))
+    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("p.a.n") % 3 + 1).cast("int"))
+    return p.select("record", F.col("p.a.brand").alias("source"), kind.alias("type"), F.col("p.b.brand").alias("target"))
 
 
 def _graph_queries(spark: SparkSession) -> DataFrame:
@@ -302,32 +316,36 @@ def _baseline(spark: SparkSession, index: lexical.Index, k: int = 1_000) -> Data
     return lexical.top_k(lexical.score(q, index, requests=_graph_requests(spark)), k)
 
 
-def _graph_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _held(index: lexical.Index) -> DataFrame:
+    """Job-skill edges with the job's duty, as the postings of the brand index hold them."""
+    return index.postings.select(F.col("doc").alias("record"), "duty", F.col("term").alias("skill"))
+
+
+def _graph_tables(documents: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Promoted skills, duty edges and relations, stored as a build would store them; their size is that of the skill vocabulary."""
-    m = _mentions(spark, sf)
-    support = materialize(graph.skill_support(m, MIN_SUPPORT))
-    return support, materialize(graph.duty_skills(m, MIN_SUPPORT, support)), materialize(graph.skill_relations(_relations(spark, sf), m, MIN_SUPPORT, support))
+    support = settled(graph.skill_support(held, MIN_SUPPORT))
+    return support, settled(graph.duty_skills(held, MIN_SUPPORT, support)), settled(graph.skill_relations(_line_relations(documents), held, MIN_SUPPORT, support))
 
 
-def _anchors(spark: SparkSession, sf: str, baseline: DataFrame, support: DataFrame, duties: DataFrame) -> DataFrame:
+def _anchors(spark: SparkSession, baseline: DataFrame, held: DataFrame, support: DataFrame, duties: DataFrame) -> DataFrame:
     q = _graph_queries(spark)
     aliases = support.select(F.col("skill").alias("alias"), "skill")
-    jobs = _lines(spark, sf).select(F.col("record").alias("doc"), F.col("brand").alias("skill")).join(support.select("skill"), "skill", "left_semi")
-    return graph.select_anchors(graph.alias_anchors(q, aliases), graph.duty_anchors(q.select("qid", "duty"), duties), graph.seed_anchors(baseline, jobs))
+    seeds = graph.seed_anchors(baseline, held.select(F.col("record").alias("doc"), "skill").join(support.select("skill"), "skill", "left_semi"))
+    return graph.select_anchors(graph.alias_anchors(q, aliases), graph.duty_anchors(q.select("qid", "duty"), duties), seeds)
 
 
 def bridge_terms(spark: SparkSession, sf: str) -> DataFrame:
-    b = materialize(_baseline(spark, _brand_index(spark, sf)))
-    support, duties, relations = _graph_tables(spark, sf)
-    return graph.bridges(_anchors(spark, sf, b, support, duties), relations).select("qid", "bridge", F.round("strength", 6).alias("strength"))
+    _, anchors, relations, _ = _search(spark, sf)
+    return graph.bridges(anchors, relations).select("qid", "bridge", F.round("strength", 6).alias("strength"))
 
 
 def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
-    index = _brand_index(spark, sf)
-    postings = materialize(index.postings)
-    index = lexical.Index(postings, index.fields, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
-    base = materialize(_baseline(spark, index))  # the tables below are read several times; none exceeds 1,000 rows a query or the skill graph
-    support, duties, relations = _graph_tables(spark, sf)
+    documents = _graph_documents(spark, sf)
+    index = _brand_index(documents)
+    index = lexical.Index(index.postings, settled(index.fields), settled(index.terms))
+    base = settled(_baseline(spark, index))
+    held = _held(index)
+    support, duties, relations = _graph_tables(documents, held)
 
     def search(b: DataFrame) -> DataFrame:
         """All bridges of all queries in one batch, each under its query's filters."""
@@ -335,7 +353,7 @@ def _search(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
         keys = ("qid", "bridge")
         return lexical.top_k(lexical.score(terms, index, requests=_graph_requests(spark), keys=keys), graph.JOBS_PER_BRIDGE, keys=keys).select(*keys, "doc", "rank")
 
-    return base, materialize(_anchors(spark, sf, base, support, duties)), relations, search
+    return base, settled(_anchors(spark, base, held, support, duties)), relations, search
 
 
 def graph_conditioned_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -393,6 +411,9 @@ h5 AS (SELECT *, CASE WHEN head THEN 0 WHEN fits AND fit_n <= 10 - n_head THEN 1
 fin AS (SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY band, CASE WHEN head THEN base_rank ELSE fused END) AS rank, base_rank, graph_rank FROM h5)"""
 
 
+TOP_SCORE = 1_001
+
+
 def rrf_full_outer(spark: SparkSession, sf: str) -> DataFrame:
     base, graph_side = _two_lanes(spark, sf)
     return graph.fuse(base, graph_side.withColumnRenamed("rank", "graph_rank")).select("qid", "doc", F.coalesce("base_rank", F.lit(0)).alias("base_rank"), F.coalesce("graph_rank", F.lit(0)).alias("graph_rank"), F.round("rrf", 6).alias("rrf"), "fused")
@@ -406,19 +427,19 @@ def protected_order(spark: SparkSession, sf: str) -> DataFrame:
 def _two_lanes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Per event type the events by value, and by time for values below 50: two rankings that overlap in part."""
     e = table(spark, sf, "events").select(F.col("event_type").alias("qid"), F.col("event_id").alias("doc"), "value", "ts")
-    a = e.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("value").desc(), "doc"))).filter("rank <= 40")
-    b = e.filter("value < 50").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("ts").desc(), "doc"))).filter("rank <= 30")
+    a = e.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("value").desc(), "doc"))).filter("rank <= 1000")
+    b = e.filter("value < 50").withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("ts").desc(), "doc"))).filter("rank <= 200")
     return a.select("qid", "doc", "rank", "value"), b.select("qid", "doc", "rank", "value")
 
 
-LANES = """ranked AS (SELECT event_type AS qid, event_id AS doc, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank, value FROM events QUALIFY rank <= 40),
-gr AS (SELECT event_type AS qid, event_id AS doc, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS graph_rank, value FROM events WHERE value < 50 QUALIFY graph_rank <= 30),"""
+LANES = """ranked AS (SELECT event_type AS qid, event_id AS doc, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank, value FROM events QUALIFY rank <= 1000),
+gr AS (SELECT event_type AS qid, event_id AS doc, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS graph_rank, value FROM events WHERE value < 50 QUALIFY graph_rank <= 200),"""
 
 
 def lane_merge_shadow_tail(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _two_lanes(spark, sf)
-    lanes = a.filter("rank <= 6").select("qid", F.lit("bm25").alias("lane"), F.lit(True).alias("required"), "doc", "value", "rank").unionByName(b.select("qid", F.lit("dense").alias("lane"), F.lit(False).alias("required"), "doc", "value", "rank"))
-    c = lanes.withColumn("score", (41 - F.col("rank")).cast("double"))
+    lanes = a.filter((F.col("value") > 300) & (F.col("rank") <= engine.MAX_LANE_ROWS)).select("qid", F.lit("bm25").alias("lane"), F.lit(True).alias("required"), "doc", "value", "rank").unionByName(b.select("qid", F.lit("dense").alias("lane"), F.lit(False).alias("required"), "doc", "value", "rank"))
+    c = lanes.withColumn("score", (TOP_SCORE - F.col("rank")).cast("double"))
     meta = table(spark, sf, "events").select(F.col("event_id").alias("doc"), F.col("ts").alias("updated"))
     m = engine.merge(c, meta, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), 10)
     return m.select("qid", "doc", "position", "best_rank", F.round("contribution", 6).alias("contribution"), F.round("freshness", 6).alias("freshness"), "future", F.size("evidence").alias("n_evidence"))
@@ -426,7 +447,7 @@ def lane_merge_shadow_tail(spark: SparkSession, sf: str) -> DataFrame:
 
 def audit_trace_json(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _two_lanes(spark, sf)
-    lanes = a.select("qid", F.lit("bm25").alias("lane"), F.lit(True).alias("required"), "doc", "rank").unionByName(b.select("qid", F.lit("dense").alias("lane"), F.lit(False).alias("required"), "doc", "rank")).withColumn("score", (41 - F.col("rank")).cast("double"))
+    lanes = a.filter(F.col("rank") <= engine.MAX_LANE_ROWS).select("qid", F.lit("bm25").alias("lane"), F.lit(True).alias("required"), "doc", "rank").unionByName(b.select("qid", F.lit("dense").alias("lane"), F.lit(False).alias("required"), "doc", "rank")).withColumn("score", (TOP_SCORE - F.col("rank")).cast("double"))
     meta = table(spark, sf, "events").select(F.col("event_id").alias("doc"), F.col("ts").alias("updated"))
     return engine.audit_trace(engine.merge(lanes, meta, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")))
 
@@ -458,13 +479,23 @@ def metadata_semijoin(spark: SparkSession, sf: str) -> DataFrame:
 
 def missing_ids_anti(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return c.join(o, "c_custkey", "left_anti")
 
 
+DETAILS = ["title", "work_city", "salary_text", "duty_major", "duty_middle", "duty_minor", "description", "experience_requirement", "education_requirement", "work_skills"]
+
+
+def details(jobs: DataFrame) -> DataFrame:
+    """``job_id, details``: the eleven labelled values of a posting, null where it states none."""
+    label = {name: text for text, name in X.JOB_FIELDS}
+    pairs = [x for c in DETAILS for x in (F.lit(label[c]), F.col(c))]
+    modified = F.date_format(F.col("source_modified_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    return jobs.select("job_id", F.create_map(*pairs, F.lit("職缺最後修改時間"), modified).alias("details"))
+
+
 def detail_projection(spark: SparkSession, sf: str) -> DataFrame:
-    j = table(spark, sf, "jobs")
-    return j.select("job_id", F.to_json(F.struct("title", F.col("work_city").alias("city"), F.col("salary_text").alias("salary"), F.col("description").alias("details"), times.iso_utc(times.naive_to_utc(F.col("source_modified_at"))).alias("modified"))).alias("detail"))
+    return details(table(spark, sf, "jobs")).select("job_id", F.explode("details").alias("label", "value"))
 
 
 # ---- dense
@@ -569,9 +600,13 @@ def oracle_sql() -> dict[str, str]:
         "category_conflicts": f"SELECT skill, count(DISTINCT category) AS categories, count(*) AS mentions FROM ({MENTIONS}) GROUP BY skill HAVING count(DISTINCT category) > 1",
         "duty_skill_weights": f"WITH {GRAPH} SELECT duty, skill, support, round(weight, 6) AS weight FROM ds",
         "skill_relations": f"WITH {GRAPH} SELECT source, type, target, support, round(weight, 6) AS weight FROM sr",
-        "undirected_relation_join": f"WITH {GRAPH} SELECT 'brand#3' AS skill, CASE WHEN source = 'brand#3' THEN target ELSE source END AS related, type, round(weight, 6) AS weight FROM sr WHERE source = 'brand#3' OR target = 'brand#3'",
-        "skill_trace": f"""WITH {GRAPH}, a AS (SELECT DISTINCT skill, 'job' AS kind, record::VARCHAR AS item, 1.0::DOUBLE AS weight FROM mentions UNION ALL SELECT skill, 'duty', duty, weight FROM ds UNION ALL SELECT source, 'related', target, weight FROM sr UNION ALL SELECT target, 'related', source, weight FROM sr)
-          SELECT DISTINCT skill, kind, item, round(weight, 6) AS weight FROM (SELECT * FROM a WHERE skill IN ('brand#3', 'brand#7') QUALIFY row_number() OVER (PARTITION BY skill, kind ORDER BY weight DESC, item) <= 10)""",
+        "undirected_relation_join": f"WITH {GRAPH} SELECT source AS skill, target AS related, type, round(weight, 6) AS weight FROM sr UNION ALL SELECT target, source, type, round(weight, 6) FROM sr",
+        "skill_trace": f"""WITH {GRAPH}, h AS (SELECT DISTINCT skill, record::VARCHAR AS record FROM mentions), a AS (SELECT skill, 'job' AS kind, record AS item, 1.0::DOUBLE AS weight FROM h UNION ALL SELECT skill, 'duty', duty, weight FROM ds),
+          u AS (SELECT source AS skill, target AS related, * FROM sr UNION ALL SELECT target, source, * FROM sr), r AS (SELECT DISTINCT * FROM u WHERE skill IN ('brand#3', 'brand#7') QUALIFY row_number() OVER (PARTITION BY skill ORDER BY round(weight, 9) DESC, source, type, target) <= 10),
+          rj AS (SELECT r.skill, related, record FROM (SELECT DISTINCT skill, related FROM r) r JOIN h ON h.skill = related QUALIFY row_number() OVER (PARTITION BY r.skill, related ORDER BY record) <= 10),
+          ev AS (SELECT skill, source, type, target, record FROM r JOIN (SELECT DISTINCT record::VARCHAR AS record, source, type, target FROM rel) USING (source, type, target) QUALIFY row_number() OVER (PARTITION BY skill, source, type, target ORDER BY record) <= 10)
+          SELECT skill, kind, item, round(weight, 6) AS weight FROM (SELECT * FROM a WHERE skill IN ('brand#3', 'brand#7') QUALIFY row_number() OVER (PARTITION BY skill, kind ORDER BY round(weight, 9) DESC, item) <= 10)
+          UNION ALL SELECT skill, 'relation', source || '>' || type || '>' || target, round(weight, 6) FROM r UNION ALL SELECT skill, 'related job', related || '/' || record, 1.0 FROM rj UNION ALL SELECT skill, 'evidence', source || '>' || type || '>' || target || '/' || record, 1.0 FROM ev""",
         "graph_integrity": f"""WITH {GRAPH}, few AS (SELECT skill FROM mentions GROUP BY skill HAVING count(DISTINCT record) >= 2250), v AS (
           SELECT 'unknown skill' AS rule, skill AS k FROM (SELECT DISTINCT skill FROM mentions) WHERE skill NOT IN (SELECT skill FROM few)
           UNION ALL SELECT 'unknown end', s FROM (SELECT DISTINCT unnest([source, target]) AS s FROM sr) WHERE s NOT IN (SELECT skill FROM few)
@@ -584,7 +619,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT qid, doc, count(*) AS total, round(sum(s), 6) AS total_score, round(sum(s) FILTER (n <= 5), 6) AS retained_score, least(5, count(*))::INT AS retained, count(*) - least(5, count(*)) AS omitted FROM n GROUP BY ALL""",
         "rrf_full_outer": f"WITH {LANES} {FUSED.split('fu AS', 1)[1].join(['fu AS', ''])} SELECT qid, doc, coalesce(base_rank, 0)::INT AS base_rank, coalesce(graph_rank, 0)::INT AS graph_rank, round(rrf, 6) AS rrf, fused::INT AS fused FROM fo",
         "protected_order": f"WITH {LANES} {FUSED.split('fu AS', 1)[1].join(['fu AS', ''])}, {PROTECT} SELECT qid, doc, rank::INT AS rank FROM fin",
-        "lane_merge_shadow_tail": f"""WITH {LANES} c AS (SELECT qid, doc, rank, true AS required, 41.0 - rank AS score FROM ranked WHERE rank <= 6 UNION ALL SELECT qid, doc, graph_rank, false, 41.0 - graph_rank FROM gr),
+        "lane_merge_shadow_tail": f"""WITH {LANES} c AS (SELECT qid, doc, rank, true AS required, {TOP_SCORE}.0 - rank AS score FROM ranked WHERE value > 300 AND rank <= 200 UNION ALL SELECT qid, doc, graph_rank, false, {TOP_SCORE}.0 - graph_rank FROM gr),
           m AS (SELECT qid, doc, max(required::INT) AS incumbent, min(rank) AS best_rank, sum(CASE WHEN required THEN score ELSE 0 END) AS contribution, count(*) AS n_evidence FROM c GROUP BY ALL),
           f AS (SELECT m.*, {fresh.format(t='ts', a=as_of)} AS freshness, ts > {as_of} AS future FROM m JOIN events ON doc = event_id)
           SELECT qid, doc, (row_number() OVER (PARTITION BY qid ORDER BY incumbent DESC, best_rank, round(freshness, 9) DESC, doc::VARCHAR))::INT AS position, best_rank::INT AS best_rank, round(contribution, 6)::DOUBLE AS contribution, round(freshness, 6) AS freshness, future, n_evidence::INT AS n_evidence FROM f QUALIFY position <= 10""",
@@ -594,8 +629,14 @@ def oracle_sql() -> dict[str, str]:
           SELECT qid, rule, count(*) AS n FROM (SELECT qid, 'too many rows' AS rule FROM d WHERE n > 200 UNION ALL SELECT qid, 'score rises' FROM d WHERE score > b) GROUP BY ALL""",
         "hard_filter_revalidate": f"""WITH o AS ({ORDERS}), c AS (SELECT CASE WHEN doc % 2 = 0 THEN 'h1' ELSE 'h2' END AS qid, * FROM o)
           SELECT qid, CASE WHEN updated_ms < CASE qid WHEN 'h1' THEN 852076800000 ELSE 820454400000 END THEN 'stale' WHEN qid = 'h1' AND location NOT IN ('NATION_1', 'NATION_2', 'NATION_3') THEN 'location' WHEN qid = 'h2' AND duty <> 'BUILDING' THEN 'duty' ELSE 'none' END AS violation, count(*) AS n FROM c GROUP BY ALL""",
+        "delivery_times": r"""WITH t AS (SELECT source_row, replace(trim("職缺最後修改時間"), '/', '-') AS s FROM jobs_raw)
+          SELECT source_row, CASE WHEN regexp_matches(s, '(Z|[+-][0-9]{2}:?[0-9]{2})$') THEN try_cast(regexp_replace(regexp_replace(s, '(Z|[+-][0-9]{2}:?[0-9]{2})$', ''), 'T', ' ') AS TIMESTAMP) - CASE WHEN s LIKE '%Z' THEN INTERVAL 0 HOUR ELSE to_hours(regexp_extract(s, '([+-][0-9]{2}):?[0-9]{2}$', 1)::INT) END
+          ELSE try_cast(replace(s, 'T', ' ') AS TIMESTAMP) - INTERVAL 8 HOUR END AS utc FROM t""",
+        "detail_projection": "WITH d AS (SELECT job_id, unnest(["
+        + ", ".join(f"{{'label': '{text}', 'value': {name}}}" for text, name in X.JOB_FIELDS if name in DETAILS)
+        + ", {'label': '職缺最後修改時間', 'value': strftime(source_modified_at, '%Y-%m-%dT%H:%M:%S.%g')}]) AS x FROM jobs) SELECT job_id, x.label AS label, x.value AS value FROM d",
         "metadata_semijoin": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9000)",
-        "missing_ids_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "missing_ids_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
         "dense_topk_exact": f"WITH {EVEC} SELECT qid, doc, round(score, 6) AS score, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc::VARCHAR))::INT AS rank FROM sc QUALIFY rank <= 10",
         "dense_topk_eligible": f"WITH {EVEC} SELECT qid, doc, round(score, 6) AS score, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc::VARCHAR))::INT AS rank FROM sc WHERE label IN (1, 3, 5) QUALIFY rank <= 5",
         "dense_topk_batched": f"WITH {EVEC} SELECT qid, doc, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc::VARCHAR))::INT AS rank FROM sc QUALIFY rank <= 10",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -23,6 +24,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return jsc.getCheckpointDir().get()
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lodeline-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -34,6 +37,27 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table that is read several times, by columns: Parquet in the shared checkpoint folder."""
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+SETTLED_ROWS = 20_000
+
+
+def settled(df: DataFrame, most: int = SETTLED_ROWS) -> DataFrame:
+    """``df`` computed once for several readers: checkpointed, and held as a local relation of the plan if it has at most ``most`` rows.
+
+    A local relation's size is known exactly, so what joins it is planned as a broadcast without a stage of its own. The rows are the same either way.
+    """
+    done = materialize(df)
+    rows = done.limit(most + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, schema=done.schema) if rows.num_rows <= most else done
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
