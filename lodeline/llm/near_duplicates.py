@@ -67,9 +67,8 @@ def signature_keys(hashes: np.ndarray) -> np.ndarray:
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     low = np.full(POOL, np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(short), 512):
-        part = short[at : at + 512, None] * _MUL + _ADD
-        part ^= part >> np.uint32(15)
-        part *= np.uint32(0x85EBCA6B)
+        part = short[at : at + 512, None] * _MUL  # the hashes are mixed already: a linear map orders them anew
+        part += _ADD
         np.minimum(low, part.min(axis=0), out=low)
     m = low[_DRAWN].astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -151,7 +150,10 @@ def lists(postings: DataFrame, threshold: float) -> DataFrame:
             for s, e in zip(starts[size > BLOCK], ends[size > BLOCK], strict=True):
                 yield rows(key[s:e], np.arange(e - s) // BLOCK, x[s:e], n[s:e], np.zeros(0, np.int64), np.zeros(e - s, np.int64))
                 long_key, place = key[s], int(e - s)
-            ok = (size > 1) & (size <= BLOCK)
+            two = starts[size == 2]
+            two = two[n[two + 1] * threshold <= n[two] + 1e-9]
+            yield rows(key[two], np.full(len(two), -1, np.int64), x[two], n[two], x[two + 1], np.ones(len(two), np.int64))
+            ok = (size > 2) & (size <= BLOCK)
             own, to, ys = [], [], []
             for s, e in zip(starts[ok].tolist(), ends[ok].tolist(), strict=True):
                 # sizes rise within a list: whom a member fits is the range after it up to its size over the threshold
