@@ -31,14 +31,18 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeline.runtime import drop_folder, ensure_checkpoint_dir, literal, materialize
+from lodeline.runtime import drop_folder, ensure_checkpoint_dir, materialize
 
 M, TREE_DIMS, P = 96, 8, 0.97
 CELL, SLICE, LEAF, BATCH, SAMPLE = 16_384, 4_096, 512, 512, 20_000
-RANGES_LIMIT = TWINS_LIMIT = 200_000
+TWINS_LIMIT = 200_000
+RANGE_BLOCK = 1 << 16
+#: More than single-precision products of unit vectors may be off: whatever lies this near to the k-th place is kept until it is scored exactly.
+NEAR = np.float32(1e-5)
+SPILL = 64  # kept rows besides the k best, for each query of a batch, before they are scored exactly
 ROUNDING = np.float32(1e-3)  # squared projected distances are about 100 and exact to 1e-4
 BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -132,31 +136,82 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The k best verified neighbours of each query of a batch (a few more are kept for exact ties)."""
-
-    def __init__(self, n: int, k: int) -> None:
-        self.k, self.keep = k, k + 3
-        self.sim = np.full((n, self.keep), -np.inf, np.float32)
-        self.idx = np.full((n, self.keep), -1, np.int64)
-
-    def add(self, rows: np.ndarray, idx: np.ndarray, sim: np.ndarray) -> None:
-        """rows: sorted query positions."""
+    """The k best verified neighbours of each query of a batch, as positions in a cell.
+
+    Single-precision similarities select: the k best and all others within ``NEAR`` of the k-th are kept. ``settle`` scores what is kept again in double
+    precision from the vectors as given and leaves the k first in exact order, ties by id; it runs at the end, and earlier where many are that near.
+    """
+
+    def __init__(self, ids: np.ndarray, raw: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.ids, self.raw, self.k = ids, raw, k
+        self.q = queries.astype(np.float64)
+        self.q /= np.sqrt((self.q * self.q).sum(1))[:, None]
+        n = len(queries)
+        self.sim = np.full((n, k), -np.inf, np.float32)
+        self.pos = np.full((n, k), -1, np.int64)
+        self.exact = np.full((n, k), -np.inf)
+        self.spill: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.spilled = 0
+
+    def least(self) -> np.ndarray:
+        """What a similarity has to reach for each query."""
+        return self.sim[:, self.k - 1] - NEAR
+
+    def _spill(self, rows: np.ndarray, pos: np.ndarray, sim: np.ndarray) -> None:
+        near = (pos >= 0) & (sim >= self.least()[rows])
+        if near.any():
+            self.spill.append((rows[near], pos[near], sim[near]))
+            self.spilled += int(near.sum())
+
+    def add(self, rows: np.ndarray, pos: np.ndarray, sim: np.ndarray) -> None:
+        """rows: query positions."""
         order = np.lexsort((-sim, rows))
-        rows, idx, sim = rows[order], idx[order], sim[order]
+        rows, pos, sim = rows[order], pos[order], sim[order]
         first = np.r_[True, rows[1:] != rows[:-1]]
         start = np.flatnonzero(first)
         place = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
-        ok = place < self.keep
+        ok = place < self.k
         touched = rows[start]
-        new_sim = np.full((len(touched), self.keep), -np.inf, np.float32)
-        new_idx = np.full((len(touched), self.keep), -1, np.int64)
+        new_sim = np.full((len(touched), self.k), -np.inf, np.float32)
+        new_pos = np.full((len(touched), self.k), -1, np.int64)
         at = np.cumsum(first) - 1
         new_sim[at[ok], place[ok]] = sim[ok]
-        new_idx[at[ok], place[ok]] = idx[ok]
+        new_pos[at[ok], place[ok]] = pos[ok]
         s = np.concatenate([self.sim[touched], new_sim], 1)
-        i = np.concatenate([self.idx[touched], new_idx], 1)
-        o = np.argsort(-s, axis=1, kind="stable")[:, : self.keep]
-        self.sim[touched], self.idx[touched] = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
+        i = np.concatenate([self.pos[touched], new_pos], 1)
+        o = np.argsort(-s, axis=1, kind="stable")
+        s, i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
+        self.sim[touched], self.pos[touched] = s[:, : self.k], i[:, : self.k]
+        self._spill(rows[~ok], pos[~ok], sim[~ok])
+        self._spill(np.repeat(touched, self.k), i[:, self.k :].ravel(), s[:, self.k :].ravel())
+        if self.spilled > SPILL * len(self.sim):
+            self.settle()
+
+    def settle(self) -> None:
+        held = np.nonzero(self.pos >= 0)
+        rows, pos, sim = [held[0]], [self.pos[held]], [self.sim[held]]
+        for r, p, v in self.spill:
+            near = v >= self.least()[r]
+            rows.append(r[near])
+            pos.append(p[near])
+            sim.append(v[near])
+        rows, pos, sim = np.concatenate(rows), np.concatenate(pos), np.concatenate(sim)
+        exact = np.empty(len(rows))
+        for a in range(0, len(rows), 2048):
+            v = self.raw[pos[a : a + 2048]].astype(np.float64)
+            exact[a : a + 2048] = np.round((v * self.q[rows[a : a + 2048]]).sum(1) / np.sqrt((v * v).sum(1)), 12)
+        order = np.lexsort((self.ids[pos], -exact, rows))
+        rows, pos, sim, exact = rows[order], pos[order], sim[order], exact[order]
+        start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
+        place = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
+        ok = place < self.k
+        self.pos[:], self.exact[:] = -1, -np.inf
+        # the k-th single-precision value stays the bar: what was dropped here is exactly worse, what comes later is compared with it
+        values = np.full(self.sim.shape, -np.inf, np.float32)
+        values[rows[ok], place[ok]] = sim[ok]
+        self.sim = -np.sort(-values, axis=1)
+        self.pos[rows[ok], place[ok]], self.exact[rows[ok], place[ok]] = pos[ok], exact[ok]
+        self.spill, self.spilled = [], 0
 
     def kth(self) -> np.ndarray:
         return 2 - 2 * np.clip(self.sim[:, self.k - 1], -1, 1)  # squared distance; 4 as long as there are fewer than k
@@ -185,40 +240,42 @@ class CellIndex:
         # one product gives squared projected distances: |q|^2 - 2 q.p + |p|^2
         self.points = np.ascontiguousarray(np.concatenate([-2 * p, np.einsum("ij,ij->i", p, p)[:, None], np.ones((len(p), 1), np.float32)], 1).T)
 
-    def search(self, ids: np.ndarray, x: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(ids of neighbours, similarities, squared k-th distance)``; bound: what is known of the k-th distance."""
+    def search(self, ids: np.ndarray, raw: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids of neighbours, similarities, squared k-th distance)``, best first, -1 where there are fewer; bound: what is known of the k-th distance."""
+        x = unit(raw)
         q = x @ directions(x.shape[1])
         out_i, out_s, out_d = [], [], []
         at_leaf = np.argsort(assign(self.tree, q[:, :TREE_DIMS]), kind="stable")
         for s in range(0, len(q), BATCH):
             rows = at_leaf[s : s + BATCH]
-            best = self._batch(ids[rows], x[rows], q[rows], bound[rows], k)
-            out_i.append(best.idx)
-            out_s.append(best.sim)
+            best = self._batch(ids[rows], raw[rows], x[rows], q[rows], bound[rows], k)
+            best.settle()
+            out_i.append(np.where(best.pos >= 0, self.ids[best.pos], -1))
+            out_s.append(best.exact)
             out_d.append(np.minimum(best.kth(), bound[rows]))
         back = np.argsort(at_leaf, kind="stable")
         return np.concatenate(out_i)[back], np.concatenate(out_s)[back], np.concatenate(out_d)[back]
 
     def _verify(self, best: Best, x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> None:
-        """Exact similarities of the pairs; as one product where they lie close together, pair by pair otherwise."""
+        """Similarities of the pairs; as one product where they lie close together, pair by pair otherwise."""
         own, at = np.unique(rows, return_inverse=True)
         them, to = np.unique(columns, return_inverse=True)
         if len(rows) > 0.03 * len(own) * len(them):
             sims = (x[own] @ self.x[them].T)[at, to]
-            ok = sims > best.sim[rows, best.keep - 1]
+            ok = sims >= best.least()[rows]
             if ok.any():
-                best.add(rows[ok], self.ids[columns[ok]], sims[ok])
+                best.add(rows[ok], columns[ok], sims[ok])
             return
         for a in range(0, len(rows), 2048):
             rr, cc = rows[a : a + 2048], columns[a : a + 2048]
             sims = np.einsum("ij,ij->i", x[rr], self.x[cc])
-            ok = sims > best.sim[rr, best.keep - 1]
+            ok = sims >= best.least()[rr]
             if ok.any():
-                best.add(rr[ok], self.ids[cc[ok]], sims[ok])
+                best.add(rr[ok], cc[ok], sims[ok])
 
-    def _batch(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> Best:
+    def _batch(self, ids: np.ndarray, raw: np.ndarray, x: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> Best:
         """Rings of rising projected distance; each ring's points are verified before the stopping test is asked again."""
-        best = Best(len(q), k)
+        best = Best(self.ids, self.raw, raw, k)
         stop = np.float32(chi2_quantile(P, M))
         near = box_distance(q[:, :TREE_DIMS], self.lo, self.hi)
         ends = np.concatenate([q, np.ones((len(q), 1), np.float32), np.einsum("ij,ij->i", q, q)[:, None]], 1)
@@ -271,32 +328,13 @@ def one_each(vectors: DataFrame, dim: int) -> DataFrame:
     return ok.join(keep, "job_index", "left").filter("keep is null or keep = h").drop("keep")  # without a usable vector none is chosen, and all are dropped later
 
 
-def merged(shards: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
-    """The ranges of the shards; as sorted arrays too, unless there are too many for a closure."""
-    ranges = shards.select(F.col("row_start").cast("bigint"), F.col("row_end").cast("bigint")).dropna().distinct()
-    if ranges.count() > RANGES_LIMIT:
-        return ranges, None
-    got = ranges.toPandas().sort_values(["row_start", "row_end"])
-    return ranges, (got.row_start.to_numpy(), np.maximum.accumulate(got.row_end.to_numpy()) if len(got) else np.zeros(0, np.int64))
-
-
-def inside(intervals: tuple[np.ndarray, np.ndarray], ids: np.ndarray) -> np.ndarray:
-    i = np.searchsorted(intervals[0], ids, side="right") - 1
-    return (i >= 0) & (ids < intervals[1][np.maximum(i, 0)]) if len(intervals[0]) else np.zeros(len(ids), bool)
-
-
-def stood_for(rows: DataFrame, shards: DataFrame) -> DataFrame:
-    """``job_index, h, g`` that lie in the shards."""
-    ranges, intervals = merged(shards)
-    kept = rows.select(F.col("job_index").cast("bigint"), "h", "g")
-    if intervals is None:
-        return kept.join(ranges.filter("row_end > row_start").select(F.explode(F.expr("sequence(row_start, row_end - 1)")).alias("job_index")).distinct(), "job_index", "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(inside(intervals, b.column("job_index").to_numpy(zero_copy_only=False))))
-
-    return kept.mapInArrow(run, "job_index bigint, h bigint, g int")
+def within(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """Rows whose job_index lies in a shard's range: an equi-join on blocks of numbers, each range cut into the blocks it touches; Spark measures the ranges
+    and broadcasts few of them."""
+    ranges = shards.select(F.col("row_start").cast("bigint").alias("row_start"), F.col("row_end").cast("bigint").alias("row_end")).filter("row_end > row_start").distinct()
+    cut = ranges.select("row_start", "row_end", F.explode(F.sequence(F.floor(F.col("row_start") / RANGE_BLOCK), F.floor((F.col("row_end") - 1) / RANGE_BLOCK))).alias("_of"))
+    inside = (F.col("_block") == F.col("_of")) & (F.col("job_index") >= F.col("row_start")) & (F.col("job_index") < F.col("row_end"))
+    return rows.withColumn("_block", F.floor(F.col("job_index") / RANGE_BLOCK)).join(cut, inside, "left_semi").drop("_block")
 
 
 def carried_over(top: DataFrame, searched: DataFrame, ids: DataFrame, twins: DataFrame, k: int) -> DataFrame:
@@ -313,12 +351,9 @@ def carried_over(top: DataFrame, searched: DataFrame, ids: DataFrame, twins: Dat
     return each.select("job_index", F.slice(F.filter("best", lambda b: b["other"] != F.col("job_index")), 1, k).alias("best"))
 
 
-def packed(vectors: DataFrame, shards: DataFrame, dim: int, finish: Callable[[np.ndarray, np.ndarray, list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
-    """Usable ones of vectors of one length that the shards stand for. ``finish`` gets ids, vectors and their bytes (half floats where these hold them
+def packed(vectors: DataFrame, dim: int, finish: Callable[[np.ndarray, np.ndarray, list[bytes]], pa.RecordBatch], schema: str) -> DataFrame:
+    """Usable ones of vectors of one length. ``finish`` gets ids, vectors and their bytes (half floats where these hold them
     exactly) and makes the output within the same Python task."""
-    ranges, intervals = merged(shards)
-    if intervals is None:  # too many for a closure: join on the numbers themselves
-        vectors = vectors.join(ranges.filter("row_end > row_start").select(F.explode(F.expr("sequence(row_start, row_end - 1)")).alias("job_index")).distinct(), "job_index", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -330,8 +365,6 @@ def packed(vectors: DataFrame, shards: DataFrame, dim: int, finish: Callable[[np
                     keep = np.isfinite(v).all(1) & (v != 0).any(1)
                     half = v.astype(np.float16)
                     exact = (half == v).all(1)
-                if intervals is not None:
-                    keep &= inside(intervals, ids)
                 rows = np.flatnonzero(keep)
                 if len(rows):
                     yield finish(ids[rows], v[rows], [half[r].tobytes() if exact[r] else v[r].tobytes() for r in rows])
@@ -360,7 +393,7 @@ def free() -> None:
 
 def read_cell(folder: str, block: int, start: int | None = None, stop: int | None = None, dim: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of a block's files in a fixed order, each id once."""
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}" if not folder.startswith("file:") else folder)
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
     files = sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(f"{path}/block={block}")) if f.path.endswith(".parquet"))
     t = pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(["job_index", "v"]) for f in files])
     ids = t.column("job_index").to_numpy()
@@ -370,6 +403,13 @@ def read_cell(folder: str, block: int, start: int | None = None, stop: int | Non
     return ids[first], unpack(t.column("v").take(pa.array(first)), dim)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme of its file system, as executors have to know it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{uri[5:]}" if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 _index: dict[tuple, CellIndex] = {}
 
 
@@ -386,9 +426,8 @@ def cell_index(folder: str, block: int, dim: int) -> CellIndex:
 def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 1024, cell: int = CELL) -> DataFrame:
     """``job_index, other, similarity, place``: the k most similar other vectors of every usable vector."""
     spark = vectors.sparkSession
-    batches = spark.conf.get(BATCHES)
-    vectors = one_each(vectors, dim)
-    ids = materialize(stood_for(vectors, shards))
+    vectors = within(one_each(vectors, dim), shards)
+    ids = materialize(vectors.select(F.col("job_index").cast("bigint").alias("job_index"), "h", "g"))
     groups = materialize(ids.groupBy("h", "g").agg(F.min("job_index").alias("rep"), F.max("job_index").alias("last")))
     n = groups.count()
     twins = groups.filter("rep <> last").select("h", "g", "rep")
@@ -402,7 +441,7 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
 
     splits, sizes = [], np.array([n])
     if n > cell:
-        picked = packed(vectors.filter(F.pmod(F.xxhash64("job_index"), F.lit(every)) == 0), shards, dim, project, "p array<float>").limit(2 * SAMPLE).toPandas()
+        picked = packed(vectors.filter(F.pmod(F.xxhash64("job_index"), F.lit(every)) == 0), dim, project, "p array<float>").limit(2 * SAMPLE).toPandas()
         if len(picked):
             p = np.stack(picked.p).astype(np.float32)
             splits = kd_splits(p, -(-n // cell))
@@ -416,32 +455,24 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
         h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(data, pa.binary()), pa.array(base[c] + h % pieces[c])], names=["job_index", "v", "block"])
 
-    spark.conf.set(BATCHES, 1_000)  # a row is 4 KB; restored below
-    folder = f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{ensure_checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}")
     blocks = int(base[-1])
-    packed(vectors, shards, dim, place, "job_index bigint, v binary, block bigint").repartition(max(1, blocks), "block").write.option("compression", "none").partitionBy("block").parquet(folder)
-    spark.conf.set(BATCHES, batches)
+    batches = spark.conf.get(BATCHES)
+    spark.conf.set(BATCHES, 1_000)  # a row is 4 KB
+    try:
+        packed(vectors, dim, place, "job_index bigint, v binary, block bigint").repartition(max(1, blocks), "block").write.option("compression", "none").partitionBy("block").parquet(folder)
+    finally:
+        spark.conf.set(BATCHES, batches)
     lo, hi = boxes(splits, TREE_DIMS)
     stop = chi2_quantile(P, M)
-    counts = [(r["block"], r["n"]) for r in spark.read.schema("job_index bigint, block bigint").parquet(folder).groupBy("block").agg(F.countDistinct("job_index").alias("n")).collect()]  # one row for each 30,000 vectors
-    tasks = [(int(b), s, min(s + SLICE, int(m))) for b, m in counts for s in range(0, int(m), SLICE)]
+    # a row for each slice of each block, as a table
+    counts = spark.read.schema("job_index bigint, block bigint").parquet(folder).groupBy("block").agg(F.countDistinct("job_index").alias("n"))
+    plan = counts.select("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(SLICE))).alias("start"), "n").select("block", "start", F.least(F.col("start") + SLICE, "n").alias("stop"))
     out = "job_index bigint, other array<bigint>, similarity array<double>, home bigint, start bigint, stop bigint, cells array<bigint>, bound double"
 
-    def rescored(raw: np.ndarray, index: CellIndex, found: np.ndarray) -> tuple[list, list]:
-        """The kept candidates again in double precision from the vectors as given, best first, ties by job_index."""
-        by_id = np.argsort(index.ids, kind="stable")
-        where = by_id[np.searchsorted(index.ids[by_id], np.maximum(found, index.ids[by_id[0]])).clip(0, len(by_id) - 1)]
-        sims = np.full(found.shape, -np.inf)
-        q = raw.astype(np.float64)
-        q /= np.sqrt((q * q).sum(1))[:, None]
-        for c in range(found.shape[1]):
-            v = index.raw[where[:, c]].astype(np.float64)
-            sims[:, c] = np.round((v * q).sum(1) / np.sqrt((v * v).sum(1)), 12)
-        sims[found < 0] = -np.inf
-        order = np.lexsort((found, -sims), axis=1)
-        found, sims = np.take_along_axis(found, order, 1), np.take_along_axis(sims, order, 1)
-        size = (sims > -np.inf).sum(1)
-        return [f[:n].tolist() for f, n in zip(found, size, strict=True)], [v[:n].tolist() for v, n in zip(sims, size, strict=True)]
+    def listed(found: np.ndarray, sims: np.ndarray) -> tuple[list, list]:
+        size = (found >= 0).sum(1)
+        return [f[:m].tolist() for f, m in zip(found, size, strict=True)], [v[:m].tolist() for v, m in zip(sims, size, strict=True)]
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -449,16 +480,14 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
                 index = cell_index(folder, block, dim)
                 rows = np.argsort(index.ids, kind="stable")[start:end]
                 ids, x = index.ids[rows], index.x[rows]
-                idx, _, d = index.search(ids, x, np.full(len(ids), 4, np.float32), k)
+                idx, exact, d = index.search(ids, index.raw[rows], np.full(len(ids), 4, np.float32), k)
                 near = box_distance((x @ directions(dim))[:, :TREE_DIMS], lo, hi) <= (d * stop + ROUNDING)[:, None]
                 reach = near[:, cell_of]
                 reach[:, block] = False
-                others, sims = rescored(index.raw[rows], index, idx)
+                others, sims = listed(idx, exact)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64())), *[pa.array(np.full(len(ids), c, np.int64)) for c in (block, start, end)], pa.array([np.flatnonzero(r).tolist() for r in reach], pa.list_(pa.int64())), pa.array(d.astype(np.float64))], names=["job_index", "other", "similarity", "home", "start", "stop", "cells", "bound"])
 
-    if not tasks:
-        return literal(spark, [], "job_index bigint, other bigint, similarity double, place int")
-    plan = literal(spark, tasks, "block bigint, start bigint, stop bigint").repartition(len(tasks), "block", "start")
+    plan = plan.repartition(max(1, n // SLICE + blocks), "block", "start")
     first = materialize(plan.mapInArrow(home, out))
     # visits to one cell stay together in a few lanes, so that a worker builds its index once
     lanes = max(1, 2 * spark.sparkContext.defaultParallelism // blocks)
@@ -469,10 +498,8 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
         ids, v = read_cell(folder, block, start, end, dim)
         chosen = np.searchsorted(ids, rows.job_index.to_numpy())
         ids, v = ids[chosen], v[chosen]
-        x = unit(v)
-        index = cell_index(folder, cell_, dim)
-        idx, _, _ = index.search(ids, x, rows.bound.to_numpy(np.float32), k)
-        others, sims = rescored(v, index, idx)
+        idx, exact, _ = cell_index(folder, cell_, dim).search(ids, v, rows.bound.to_numpy(np.float32), k)
+        others, sims = listed(idx, exact)
         return pd.DataFrame({"job_index": ids, "other": others, "similarity": sims})
 
     results = first.select("job_index", "other", "similarity")

@@ -73,10 +73,45 @@ def test_unusable_rows_dont_displace_a_usable_one_of_their_job_index(spark):
 
 
 def test_a_similarity_above_one_is_no_negative_distance():
-    best = sv.Best(1, 1)
+    best = sv.Best(np.arange(1), np.ones((1, 2)), np.ones((1, 2)), 1)
     best.add(np.array([0]), np.array([3]), np.array([1.0000002], np.float32))
     assert best.kth()[0] == 0
 
 
 def test_chi_square():
     assert abs(sv.chi2_quantile(0.95, 10) - 18.307) < 0.05 and abs(sv.chi2_quantile(0.97, 96) - 123.3) < 0.6
+
+
+def test_parallel_vectors_of_different_lengths(spark):
+    """More vectors of nearly one direction than places, apart by less than single precision shows: the exact five come out."""
+    r = np.random.RandomState(6)
+    base = r.randn(64)
+    exact = [(i, (base * (1 + i)).tolist()) for i in range(40)]
+    rounded = [(100 + i, (base * s).astype(np.float16).astype(float).tolist()) for i, s in enumerate(np.linspace(0.5, 3, 40))]
+    rows = exact + rounded + [(500 + i, v) for i, v in _rows(200, seed=9)]
+    got = _found(spark, rows)
+    as_given = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows]
+    want = {(a, b) for a, b in _brute(as_given) if a < 200}
+    assert {(a, b) for a, b in got if a < 200} == want
+
+
+def test_settling_in_between_loses_nothing(monkeypatch):
+    monkeypatch.setattr(sv, "SPILL", 2)
+    r = np.random.RandomState(1)
+    base = r.randn(64)
+    v = np.stack([base * s for s in r.uniform(0.5, 3, 300)] + [r.randn(64) for _ in range(100)]).astype(np.float16)
+    ids = r.permutation(400).astype(np.int64)
+    index = sv.CellIndex(ids, v)
+    order = np.argsort(index.ids)
+    got, _, _ = index.search(index.ids[order], index.raw[order], np.full(400, 4, np.float32), 5)
+    want = _brute([(int(i), x.astype(float)) for i, x in zip(ids, v, strict=True)])
+    near = set(ids[:300].tolist())
+    assert all({(q, int(o)) for o in got[q]} == {(a, b) for a, b in want if a == q} for q in near)
+
+
+def test_ranges_of_any_number(spark):
+    rows = spark.range(300_000).withColumnRenamed("id", "job_index")
+    shards = spark.createDataFrame([("a", 0, 10), ("b", 65_530, 65_540), ("c", 131_000, 262_200), ("d", 5, 7), ("e", 9, 3)], "vectors_path string, row_start long, row_end long")
+    assert sv.within(rows, shards).count() == 10 + 10 + 131_200
+    many = spark.range(0, 250_000).selectExpr("'p' as vectors_path", "id * 2 as row_start", "id * 2 + 1 as row_end")
+    assert sv.within(rows, many).count() == 150_000
