@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.runtime import bounded
+from lodeline.runtime import bounded, materialize
 
 
 def staging_audit(rows: DataFrame, key: str, number: str, required: list[str]) -> DataFrame:
@@ -22,6 +22,16 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("only_first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("only_second")))
 
 
+MOST_IN_ONE = 1_000_000
+
+
+def _few(rows: DataFrame, what: str) -> DataFrame:
+    """The rows, if one task may hold them."""
+    if rows.limit(MOST_IN_ONE + 1).count() > MOST_IN_ONE:
+        raise ValueError(f"more than {MOST_IN_ONE} {what}")
+    return rows
+
+
 def order_digest(rows: DataFrame, value: Column, by: Column, blocks: int = 1) -> DataFrame:
     """SHA-256 over the lines ``value`` in the order of ``by``.
 
@@ -30,6 +40,7 @@ def order_digest(rows: DataFrame, value: Column, by: Column, blocks: int = 1) ->
     lines = rows.select(value.cast("string").alias("v"), by.alias("k"))
     one = lambda d: F.sha2(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]), "\n"), F.lit("\n")), 256)
     if blocks == 1:
+        lines = _few(lines, "rows of a digest in one block")
         return lines.agg(F.count("*").alias("n_rows"), one(lines).alias("digest"))
     ranged = lines.withColumn("block", F.floor(F.col("k") / blocks))
     per = ranged.groupBy("block").agg(F.count("*").alias("n"), one(ranged).alias("d"))
@@ -49,7 +60,8 @@ def unused_rules(objects: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def release_totals(objects: DataFrame) -> DataFrame:
-    return objects.agg(F.count("*").alias("objects"), F.sum("size_bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "sha256", F.col("size_bytes").cast("string")))), "\n"), 256).alias("inventory_hash"))
+    """Objects, bytes and the hash over all lines of an inventory in order; the hash needs them together, so at most ``MOST_IN_ONE`` are allowed."""
+    return _few(objects, "objects of a release").agg(F.count("*").alias("objects"), F.sum("size_bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "sha256", F.col("size_bytes").cast("string")))), "\n"), 256).alias("inventory_hash"))
 
 
 def repeated(rows: DataFrame, key: str) -> DataFrame:
@@ -67,7 +79,9 @@ def numbered(rows: DataFrame, order: list[Column], name: str = "row_number", by:
     """Contiguous numbers from 0 within ``by``, or over all rows with ranges sorted in parallel and offsets added."""
     if by:
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
-    ordered = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    # stored: both readers below have to see the same ranges, also after an executor is lost
+    ordered = materialize(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     local = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     counts = local.groupBy("_p").agg(F.count("*").alias("_c"))
     offsets = counts.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row for each partition

@@ -84,10 +84,13 @@ def staging_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audit.staging_audit(r, "職缺編號", "source_row", ["職缺編號", "職務名稱"])
 
 
+#: The text columns of a delivery besides those of a posting's document.
+DELIVERY_COLUMNS = [text for text, _ in X.JOB_FIELDS] + ["職缺編號", "職缺最後修改時間", "工作城市編號", "職務小類編號", "是否公開"]
+
+
 def null_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    cols = ["薪資", "電腦技能資料", "工作技能", "專業證照", "科系需求1", "語言能力一", "管理人數"]
-    r = table(spark, sf, "jobs_raw").select(*[X.snapshot_null(F.col(c)).alias(c) for c in cols])
-    return r.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)])
+    r = table(spark, sf, "jobs_raw").select(*[X.snapshot_null(F.col(c)).alias(c) for c in DELIVERY_COLUMNS])
+    return r.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(DELIVERY_COLUMNS)])
 
 
 def salary_casts(spark: SparkSession, sf: str) -> DataFrame:
@@ -252,7 +255,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT metric, x.v AS off, y.v AS "on", round(y.v - x.v, 6) AS delta, metric <> 'ndcg_10' OR round(y.v - x.v, 6) > 0 AS passed FROM x JOIN y USING (metric)""",
         "zero_result_queries": "SELECT c_custkey AS qid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
         "staging_audit": 'SELECT count(*) AS n_rows, count(DISTINCT "職缺編號") AS n_keys, min(source_row) AS least, max(source_row) AS greatest, count(*) FILTER ("職缺編號" IS NULL OR trim("職缺編號") = \'\' OR "職務名稱" IS NULL OR trim("職務名稱") = \'\') AS n_incomplete FROM jobs_raw',
-        "null_normalise": "SELECT " + ", ".join(f"count(nullif(nullif(\"{c}\", ''), 'NULL')) AS n_{i}" for i, c in enumerate(["薪資", "電腦技能資料", "工作技能", "專業證照", "科系需求1", "語言能力一", "管理人數"])) + " FROM jobs_raw",
+        "null_normalise": "SELECT " + ", ".join(f"count(nullif(nullif(\"{c}\", ''), 'NULL')) AS n_{i}" for i, c in enumerate(DELIVERY_COLUMNS)) + " FROM jobs_raw",
         "salary_casts": "SELECT p_partkey, p_retailprice::DECIMAL(12,2)::DOUBLE AS price, try_cast(p_name AS DECIMAL(12,2)) IS NULL AS not_a_number FROM part",
         "jobs_latest_delivery": "SELECT job_id, source_row::BIGINT AS source_row FROM jobs",
         "snapshot_differences": "SELECT 'only_first' AS side, count(*) AS n FROM orders WHERE o_orderkey % 97 = 0",

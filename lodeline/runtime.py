@@ -96,7 +96,22 @@ def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
     return F.broadcast(df)
 
 
+def folder_of(spark: SparkSession, folder: str):
+    """The file system and the path of a folder, on whatever store its scheme names."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def drop_folder(spark: SparkSession, folder: str) -> None:
     """Delete a work table of the shared folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = folder_of(spark, folder)
+    fs.delete(path, True)
+
+
+def publish(spark: SparkSession, staged: str, target: str) -> None:
+    """Rename a staged folder to its place; an existing target is an error and stays as it is."""
+    fs, place = folder_of(spark, target)
+    if fs.exists(place):
+        raise FileExistsError(target)
+    if not fs.rename(folder_of(spark, staged)[1], place):
+        raise OSError(f"could not publish {staged} as {target}")

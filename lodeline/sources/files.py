@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from lodeline.runtime import drop_folder, publish
+
 
 def read_csv(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
     """All-text CSV with quoted line breaks; the header must be exactly ``header``."""
@@ -99,12 +101,12 @@ def read_index(spark: SparkSession, path: str):
 
 
 def write_vector_shards(vectors: DataFrame, path: str, shard_size: int) -> None:
-    """Vectors by shard of ``job_index``; shards that are complete already stay, the others are written."""
+    """Vectors by shard of ``job_index``; shards that hold the same rows already, by number and hash, stay, the others are written."""
     spark = vectors.sparkSession
     sharded = vectors.withColumn("shard", F.floor(F.col("job_index") / shard_size).cast("int"))
     try:
-        done = spark.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n"))
-        wanted = sharded.groupBy("shard").agg(F.count("*").alias("m"))
+        totals = lambda d, n: d.groupBy("shard").agg(F.struct(F.count("*"), F.sum(F.xxhash64(*vectors.columns).cast("decimal(38,0)"))).alias(n))
+        done, wanted = totals(spark.read.parquet(path), "n"), totals(sharded, "m")
         complete = wanted.join(done, "shard").filter("n = m").select("shard")
         sharded = sharded.join(complete, "shard", "left_anti")
     except Exception as e:  # noqa: BLE001
@@ -119,13 +121,17 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_table(staged: DataFrame, path: str, key: str, number: str, required: list[str]) -> None:
-    """Audit the staged rows in one pass, then replace the table."""
+    """Write the rows beside the table, audit what was written in one pass, and only then put it in the table's place."""
     from lodeline.operators.audit import staging_audit
 
-    a = staging_audit(staged, key, number, required).first()
+    spark, beside = staged.sparkSession, f"{path}.staged"
+    staged.write.mode("overwrite").parquet(beside)
+    a = staging_audit(spark.read.schema(staged.schema).parquet(beside), key, number, required).first()
     if a["n_rows"] != a["n_keys"] or a["n_incomplete"]:
+        drop_folder(spark, beside)
         raise ValueError(f"staging audit failed: {a}")
-    staged.write.mode("overwrite").parquet(path)
+    drop_folder(spark, path)
+    publish(spark, beside, path)
 
 
 def canonical_json(value: object) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lodeline.operators import lexical
 from lodeline.sources import files
 from lodeline.streaming import deliveries
+from lodeline.runtime import publish
 
 
 def test_csv_header_and_quotes(spark, tmp_path):
@@ -75,21 +76,41 @@ def test_manifest_helpers(spark, tmp_path):
         files.zip_members(str(tmp_path / "z.zip"), ["b.csv"])
 
 
-def test_replace_table_audits_first(spark, tmp_path):
-    d = spark.createDataFrame([("1", 1, "x"), ("1", 2, "y")], "k string, n int, v string")
+def test_replace_table_audits_before_it_replaces(spark, tmp_path):
+    t = str(tmp_path / "t")
+    files.replace_table(spark.createDataFrame([("1", 1, "x"), ("2", 2, "y")], "k string, n int, v string"), t, "k", "n", ["v"])
     with pytest.raises(ValueError, match="audit"):
-        files.replace_table(d, str(tmp_path / "t"), "k", "n", ["v"])
+        files.replace_table(spark.createDataFrame([("1", 1, "x"), ("1", 2, "y")], "k string, n int, v string"), t, "k", "n", ["v"])
+    assert spark.read.parquet(t).count() == 2 and not (tmp_path / "t.staged").exists()
+    files.replace_table(spark.createDataFrame([("3", 1, "z")], "k string, n int, v string"), t, "k", "n", ["v"])
+    assert [tuple(r) for r in spark.read.parquet(t).collect()] == [("3", 1, "z")]
+
+
+def test_publish_is_exclusive(spark, tmp_path):
+    for n in ("a", "b"):
+        spark.range(3).write.parquet(str(tmp_path / n))
+    publish(spark, str(tmp_path / "a"), str(tmp_path / "out"))
+    with pytest.raises(FileExistsError):
+        publish(spark, str(tmp_path / "b"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3 and (tmp_path / "b").exists()
 
 
 def test_stream_keeps_the_newest(spark, tmp_path):
     rows = [(1, 1, "old"), (2, 1, "only")], [(1, 2, "new"), (3, 1, "x")]
     for i, part in enumerate(rows):
         spark.createDataFrame(part, "k int, t int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = deliveries.read_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
-    q = deliveries.keep_snapshot(stream, "k", lambda: [F.col("t")], str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.awaitTermination()
-    got = max((sorted(tuple(r) for r in spark.read.parquet(str(p)).collect()) for p in (tmp_path / "out").iterdir()), key=len)
-    assert got == [(1, 2, "new"), (2, 1, "only"), (3, 1, "x")]
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = deliveries.read_stream(spark, str(tmp_path / "in"), schema, 1)
+    out = str(tmp_path / "out")
+    deliveries.keep_snapshot(stream, "k", lambda: [F.col("t")], out, str(tmp_path / "cp")).awaitTermination()
+    now = lambda: sorted(tuple(r) for r in deliveries.current_snapshot(spark, out, schema).collect())
+    assert now() == [(1, 2, "new"), (2, 1, "only"), (3, 1, "x")]
+    write = deliveries.upsert_newest("k", lambda: [F.col("t")], out)
+    write(spark.createDataFrame([(9, 9, "again")], schema), 0)  # a batch whose pointer stands already
+    assert now() == [(1, 2, "new"), (2, 1, "only"), (3, 1, "x")]
+    write(spark.createDataFrame([(1, 1, "late"), (9, 9, "y")], schema), 7)
+    assert now() == [(1, 2, "new"), (2, 1, "only"), (3, 1, "x"), (9, 9, "y")]
+    assert deliveries.current_snapshot(spark, str(tmp_path / "none"), schema).count() == 0
 
 
 def test_stream_of_window_counts_equals_the_batch(spark, sf, tmp_path):
