@@ -573,6 +573,11 @@ def oracle_sql() -> dict[str, str]:
     audit = "SELECT count(*) AS n_rows, count(*) FILTER (NOT u) AS n_unusable, count(*) FILTER (u AND abs(norm - 1) > 2e-3) AS n_off_norm, round(max(abs(norm - 1)) FILTER (u), 6) AS max_deviation FROM (SELECT fin AND norm > 0 AS u, norm FROM (SELECT fin, CASE WHEN fin THEN sqrt(list_sum(list_transform(v, lambda x: x * x))) ELSE 0 END AS norm FROM w))"
     return {
         "lexical_tokens_ascii": f"SELECT DISTINCT doc_id, unnest({WORDS_SQL.format('text')}) AS token FROM documents",
+        # &nbsp; is the only whole entity in these tables; the blanks and the word limit are those of Unicode
+        "html_canonical_text": r"""WITH e AS (SELECT doc_id, regexp_replace(replace(coalesce(text, ''), '&nbsp;', chr(160)), '&#8$', '') AS raw FROM documents),
+          t AS (SELECT doc_id, raw, regexp_replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '[\x{200b}-\x{200f}\x{2060}\x{feff}]', '', 'g') AS t FROM e),
+          l AS (SELECT doc_id, raw, regexp_replace(t, '(?i)(^|[^\p{L}\p{N}_])(?:https?://|www\.)[^\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '\1 ', 'g') AS t FROM t)
+          SELECT doc_id, CASE WHEN lower(trim(raw)) = 'null' THEN '' ELSE trim(regexp_replace(t, '[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) END AS canonical FROM l""",
         "han_ngrams": r"""WITH r AS (SELECT job_id, unnest(regexp_extract_all(lower(coalesce(duty_minor, '')), '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]+')) AS run FROM jobs),
           w AS (SELECT job_id, unnest(regexp_extract_all(lower(coalesce(duty_minor, '')), '[a-z0-9][a-z0-9+#.\-]*')) AS word FROM jobs)
           SELECT DISTINCT job_id, token FROM (SELECT job_id, unnest(list_transform(range(1, length(run) + 1), lambda i: substring(run, i, 1))) AS token FROM r
