@@ -130,7 +130,9 @@ def visible_only(rows: DataFrame, flag: str) -> DataFrame:
     return rows.withColumn(flag, known).filter(F.col(flag) == "1")
 
 
-def eligible_counts(eligible: DataFrame, most: int) -> DataFrame:
-    """``qid, n``: eligible documents of each request; more than ``most`` are an error when the plan runs."""
-    n = F.count("*")
-    return eligible.groupBy("qid").agg(n.alias("n")).withColumn("n", F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("too many eligible documents: "), F.col("qid").cast("string"))).cast("bigint")).otherwise(F.col("n")))
+def eligible_counts(eligible: DataFrame, most: int | None = None) -> DataFrame:
+    """``qid, n``: eligible documents of each request, however many; with ``most``, for a scan that can't take more, a larger number is an error when the plan runs."""
+    counts = eligible.groupBy("qid").agg(F.count("*").alias("n"))
+    if most is None:
+        return counts
+    return counts.withColumn("n", F.when(F.col("n") > most, F.raise_error(F.concat(F.lit("too many eligible documents: "), F.col("qid").cast("string"))).cast("bigint")).otherwise(F.col("n")))

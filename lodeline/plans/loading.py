@@ -74,7 +74,7 @@ def visible_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eligible_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return loads.eligible_counts(R.eligible_universe(spark, sf), 250_000)
+    return loads.eligible_counts(R.eligible_universe(spark, sf))
 
 
 def taxonomy_children_of_root(spark: SparkSession, sf: str) -> DataFrame:

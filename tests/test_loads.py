@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodeline.operators import engine, evaluate, graph, lexical, loads, taxonomy
+from lodeline.plans import loading
 from lodeline.runtime import settled
 
 
@@ -46,6 +47,13 @@ def test_visibility_and_counts_are_guarded(spark):
         loads.eligible_counts(e, 1).collect()
 
 
+def test_any_number_of_eligible_documents_is_counted(spark, tmp_path):
+    """The query's SQL counts all: 600,000 events of which one request takes every one."""
+    e = spark.range(600_000).selectExpr("id as event_id", "timestamp_ntz'2024-02-01 00:00:00' as ts", "1L as user_id", "'view' as event_type", "2.0 as value")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    assert _rows(loading.eligible_counts(spark, str(tmp_path))) == [("e1", 600_000), ("e2", 600_000)]
+
+
 def test_children_of_a_path(spark):
     t = spark.createDataFrame([("1", "top", "top", "top"), ("2", "mid", "mid", "top"), ("3", "leaf", "mid", "top"), ("4", "leaf2", "mid2", "top")], "codeno string, codenamea string, codenameb string, codenamec string")
     key = lambda r: (r[0], r[1] or "")
