@@ -38,12 +38,22 @@ def token_fields(docs: DataFrame, fields: dict[str, Column], doc: str = "doc", k
 
 
 def frequencies(tokens: Column) -> Column:
-    """``term, tf`` of an array of tokens, in built-in expressions: sorted, then cut where the token changes."""
-    own = F.array_sort(tokens)
-    starts = F.filter(F.sequence(F.lit(1), F.size(tokens)), lambda i: (i == 1) | (F.element_at(own, i) != F.element_at(own, F.greatest(i - 1, F.lit(1)))))
-    ends = F.concat(F.slice(starts, 2, F.size(tokens)), F.array(F.size(tokens) + 1))
-    pairs = F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(own, a).alias("term"), (b - a).cast("bigint").alias("tf")))
-    return F.when(F.size(tokens) > 0, pairs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+    """``term, tf`` of an array of tokens, in built-in expressions: sorted once, then cut where the token changes.
+
+    What a lambda's body holds is evaluated for each element; arrays it looks into are therefore bound to a variable of an outer lambda.
+    """
+
+    def cut(own: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: (i == 1) | (F.element_at(own, i) != F.element_at(own, F.greatest(i - 1, F.lit(1)))))
+        return F.element_at(F.transform(F.array(starts), lambda at: counted(own, at)), 1)
+
+    def counted(own: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, 2, F.size(own)), F.array(F.size(own) + 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(F.element_at(own, a).alias("term"), (b - a).cast("bigint").alias("tf")))
+
+    # an array of none or one, so that empty token arrays give no pairs
+    held = F.filter(F.array(F.array_sort(tokens)), lambda own: F.size(own) > 0)
+    return F.flatten(F.transform(held, cut))
 
 
 def build(tokens: DataFrame, terms: DataFrame | None = None, kept: Sequence[str] = ()) -> Index:
@@ -54,12 +64,14 @@ def build(tokens: DataFrame, terms: DataFrame | None = None, kept: Sequence[str]
     ``kept``: columns of the document that its postings carry, so that hard filters are predicates on a posting.
     """
     fields = tokens.groupBy("field").agg((F.sum("dl") / F.count("*")).alias("avgdl"), F.count("*").alias("n"))
-    if terms is None:  # a document's tokens stand in one row: its postings need no shuffle
+    if terms is None:  # a document's tokens stand in one row: its postings need no shuffle, and its terms count once each
         postings = tokens.select("field", "doc", "dl", *kept, F.explode(frequencies(F.col("tokens"))).alias("p")).select("field", "doc", "dl", *kept, "p.term", "p.tf")
+        distinct = tokens.select("field", F.explode(F.array_distinct("tokens")).alias("term"))
     else:
         occurrences = tokens.select("field", "doc", "dl", *kept, F.explode("tokens").alias("term")).join(small(terms.select("term").distinct()), "term", "left_semi")
         postings = materialize(occurrences.groupBy("field", "doc", "dl", "term").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in kept]))  # read for scores and for document frequencies
-    return Index(postings, fields, postings.groupBy("field", "term").agg(F.count("*").alias("df")))
+        distinct = postings
+    return Index(postings, fields, distinct.groupBy("field", "term").agg(F.count("*").alias("df")))
 
 
 def idf(n: Column, df: Column) -> Column:

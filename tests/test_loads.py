@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -88,6 +89,14 @@ def test_frequencies_within_a_document(spark, tokens):
     assert {r["term"]: r["tf"] for r in d.select(lexical.frequencies(F.col("t")).alias("f")).first()["f"]} == Counter(tokens)
 
 
+def test_frequencies_of_a_long_document_take_no_square_of_its_length(spark):
+    d = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(10_000)), lambda i: F.concat(F.lit("w"), (i % 3_000).cast("string"))).alias("t"))
+    began = time.monotonic()
+    got = {r["term"]: r["tf"] for r in d.select(F.explode(lexical.frequencies(F.col("t"))).alias("f")).select("f.*").collect()}
+    assert got == Counter(f"w{i % 3_000}" for i in range(1, 10_001))
+    assert time.monotonic() - began < 30  # the array was sorted again for each token: minutes
+
+
 def test_filters_as_predicates_equal_the_eligible_set(spark):
     docs = spark.createDataFrame([(i, "xy"[i % 2], "mn"[i % 3 == 0], str(int(i % 5 > 0)), i * 10) for i in range(40)], "doc int, location string, duty string, visible string, updated_ms long")
     docs = docs.withColumn("tokens", F.array(F.lit("t"), F.concat(F.lit("u"), F.col("doc") % 4)))
