@@ -8,11 +8,16 @@ neighbour is then less likely than 1 - P.
 
 Equal vectors are searched for once, under the smallest job_index of their group; the result is carried over to all members.
 
-Layout for a cluster: a kd-tree fitted on a bounded sample (``SAMPLE`` rows) cuts the projected space into
-cells of about ``CELL`` rows; a cell that would be larger (many close vectors) is cut further by hash.
-The packed vectors of *all* rows are written once, by cell, to the shared folder (spark.checkpoint.dir). A task holds
-one slice of queries against one cell. Round 1 is each slice in its own cell; round 2 takes the queries
-whose ball reaches another cell there. Tasks only read files and can be repeated anywhere.
+Layout for a cluster: directions fitted on a bounded sample (``SAMPLE`` rows) cut the unit sphere into cells of about
+``CELL`` rows, each vector in the cell of its most similar direction; a cell that would be larger (many close vectors) is
+cut further by hash. The packed vectors of *all* rows are written once, by cell, to the shared folder (spark.checkpoint.dir).
+A task holds queries of one cell against one cell. Round 1 is each slice in its own cell; round 2 takes the queries to
+the other cells that they reach. Tasks only read files and can be repeated anywhere.
+
+A neighbour within d of a query lies beyond the plane between their cells only if the plane is within d of the query. In many
+dimensions a small part of d is enough, as a difference lies nearly level with a plane. How large a part is measured: the true
+neighbours of ``PROBES`` queries among all rows are found by comparing them with every row, and the largest ratio of a plane's distance to
+the k-th neighbour's holds for all queries. Where vectors don't form groups the ratio rises, to 1 at most, and more cells are visited.
 
 Defined results: null vectors, other lengths, zero and non-finite ones take no part; a job_index counts once, also
 where its rows hold different vectors (the usable one with the least hash counts); ties go to the smaller job_index; with fewer
@@ -25,6 +30,7 @@ import gc
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,6 +44,8 @@ from lodeline.runtime import drop_folder, ensure_checkpoint_dir, materialize
 
 M, TREE_DIMS, P = 96, 8, 0.97
 CELL, SLICE, LEAF, BATCH, SAMPLE = 16_384, 4_096, 512, 512, 20_000
+CENTRES, PROBES, ROUNDS = 2_048, 512, 8
+SLACK = 1e-3  # of distances from single-precision similarities
 TWINS_LIMIT = 200_000
 RANGE_BLOCK = 1 << 16
 #: More than single-precision products of unit vectors may be off: whatever lies this near to the k-th place is kept until it is scored exactly.
@@ -47,6 +55,7 @@ ROUNDING = np.float32(1e-3)  # squared projected distances are about 100 and exa
 BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+@lru_cache(maxsize=4)
 def directions(dim: int) -> np.ndarray:
     return np.random.RandomState(7).standard_normal((dim, M)).astype(np.float32)
 
@@ -102,25 +111,6 @@ def assign(splits: list[tuple], points: np.ndarray) -> np.ndarray:
     return out
 
 
-def boxes(splits: list[tuple], dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of all leaves."""
-    n = len(splits) + 1
-    lo, hi = np.full((n, dims), -np.inf, np.float32), np.full((n, dims), np.inf, np.float32)
-    if not splits:
-        return lo, hi
-    stack = [(0, lo[0].copy(), hi[0].copy())]
-    while stack:
-        node, a, b = stack.pop()
-        if node < 0:
-            lo[-node - 1], hi[-node - 1] = a, b
-            continue
-        dim, cut, left, right = splits[node]
-        b2, a2 = b.copy(), a.copy()
-        b2[dim] = a2[dim] = cut
-        stack += [(left, a, b2), (right, a2, b)]
-    return lo, hi
-
-
 def box_distance(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Squared distances of the queries to the boxes."""
     out = np.zeros((len(q), len(lo)), np.float32)
@@ -135,6 +125,33 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v, dtype=np.float64)).astype(np.float32)[:, None]
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The most similar direction of each unit vector."""
+    return np.concatenate([np.zeros(0, np.int64), *[(x[a : a + 2048] @ centres.T).argmax(1) for a in range(0, len(x), 2048)]])
+
+
+def fit_centres(x: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """``want`` directions of unit vectors by k-means on the sphere, and how many of the vectors each has."""
+    centres = x[np.random.RandomState(11).choice(len(x), min(want, len(x)), replace=False)].copy()
+    for _ in range(ROUNDS):
+        of = nearest_centre(x, centres)
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(len(centres) + 1))
+        for c in range(len(centres)):
+            total = x[order[ends[c] : ends[c + 1]]].sum(0)
+            length = float(np.sqrt((total * total).sum()))
+            if length > 0:
+                centres[c] = total / length
+    return centres, np.bincount(nearest_centre(x, centres), minlength=len(centres))
+
+
+def plane_distance(x: np.ndarray, own: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors in the cells ``own`` to the planes that part these from each cell; 0 for the own one."""
+    likeness = x @ centres.T
+    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 1e-9))[own]
+    return np.maximum(likeness[np.arange(len(x)), own][:, None] - likeness, 0) / apart
+
+
 class Best:
     """The k best verified neighbours of each query of a batch, as positions in a cell.
 
@@ -391,15 +408,15 @@ def free() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def read_cell(folder: str, block: int, start: int | None = None, stop: int | None = None, dim: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a block's files in a fixed order, each id once."""
+def read_cell(folder: str, block: int, only: np.ndarray | None = None, dim: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block's files by rising id, each id once; ``only`` these ids (all of them in the block, in rising order)."""
     fs, path = pyarrow.fs.FileSystem.from_uri(folder)
     files = sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(f"{path}/block={block}")) if f.path.endswith(".parquet"))
     t = pa.concat_tables([pq.ParquetFile(fs.open_input_file(f)).read(["job_index", "v"]) for f in files])
     ids = t.column("job_index").to_numpy()
     _, first = np.unique(ids, return_index=True)
-    if start is not None:
-        first = first[start:stop]
+    if only is not None:
+        first = first[np.searchsorted(ids[first], only)]
     return ids[first], unpack(t.column("v").take(pa.array(first)), dim)
 
 
@@ -423,6 +440,35 @@ def cell_index(folder: str, block: int, dim: int) -> CellIndex:
     return _index[folder, block]
 
 
+def needed_part(spark: SparkSession, folder: str, ids: np.ndarray, x: np.ndarray, centres: np.ndarray, cell_of: np.ndarray, k: int, dim: int) -> float:
+    """The largest ratio of the distance to a neighbour's cell to that of the k-th neighbour, over the k nearest of the given unit vectors among all rows of ``folder``."""
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sim, other, of = np.full((len(ids), k), -np.inf, np.float32), np.full((len(ids), k), -1, np.int64), np.zeros((len(ids), k), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1_000):
+                b = whole.slice(at, 1_000)
+                them = b.column("job_index").to_numpy(zero_copy_only=False)
+                s = x @ unit(unpack(b.column("v"), dim)).T
+                s[ids[:, None] == them[None, :]] = -np.inf
+                s = np.concatenate([sim, s], 1)
+                best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                sim = np.take_along_axis(s, best, 1)
+                cells = cell_of[b.column("block").to_numpy(zero_copy_only=False)]
+                other, of = (np.take_along_axis(np.concatenate([old, np.broadcast_to(new, (len(ids), len(new)))], 1), best, 1) for old, new in ((other, them), (of, cells)))
+        q, at = np.nonzero(np.isfinite(sim))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(other[q, at]), pa.array(of[q, at]), pa.array(-sim[q, at].astype(np.float64))], names=["q", "other", "cell", "s"])
+
+    found = spark.read.schema("job_index bigint, v binary, block bigint").parquet(folder).mapInArrow(nearest, "q bigint, other bigint, cell bigint, s double").groupBy("q")
+    # a row that a repeated write left twice counts once
+    top = found.agg(F.slice(F.array_distinct(F.array_sort(F.collect_list(F.struct("s", "other", "cell")))), 1, k).alias("b")).select("q", F.explode("b").alias("b")).select("q", "b.cell", "b.s").toPandas()
+    q, cell = top.q.to_numpy(np.int64), top.cell.to_numpy(np.int64)
+    furthest = np.full(len(ids), -1.0)
+    np.maximum.at(furthest, q, top.s.to_numpy(float))
+    away = plane_distance(x, nearest_centre(x, centres), centres)[q, cell] / (np.sqrt(np.maximum(2 + 2 * furthest[q], 0)) + SLACK)
+    return min(1.0, float(away.max(initial=0)))
+
+
 def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 1024, cell: int = CELL) -> DataFrame:
     """``job_index, other, similarity, place``: the k most similar other vectors of every usable vector."""
     spark = vectors.sparkSession
@@ -434,24 +480,35 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
     repeated = twins.limit(TWINS_LIMIT + 1).count()
     if repeated:  # one row for a group of equal vectors, however large it is
         vectors = vectors.join(F.broadcast(twins) if repeated <= TWINS_LIMIT else twins, ["h", "g"], "left").filter("rep is null or rep = job_index").drop("rep")
-    every = max(1, n // SAMPLE)
-
-    def project(_: np.ndarray, v: np.ndarray, __: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array((unit(v) @ directions(dim))[:, :TREE_DIMS].tolist(), pa.list_(pa.float32()))], names=["p"])
+    every = -(-n // SAMPLE)
+    centres, sizes, probes = np.zeros((1, dim), np.float32), np.array([n]), None
+
+    def sampled(ids: np.ndarray, v: np.ndarray, _: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([r.tobytes() for r in unit(v)], pa.binary())], names=["job_index", "v"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("job_index").to_numpy(), np.frombuffer(b"".join(b.column("v").to_pylist()), np.float32).reshape(-1, dim)) for b in batches if b.num_rows]
+        if held:
+            ids, x = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+            held.clear()
+            _, order = np.unique(ids, return_index=True)
+            ids, x = ids[order], x[order]
+            found, counts = fit_centres(x, min(CENTRES, -(-n // cell)))
+            pick = np.sort(np.random.RandomState(12).permutation(len(ids))[:PROBES])
+            for kind, numbers, rows in (("centre", counts, found), ("probe", ids[pick], x[pick])):
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(rows)), pa.array(numbers.astype(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["kind", "number", "v"])
 
-    splits, sizes = [], np.array([n])
     if n > cell:
-        picked = packed(vectors.filter(F.pmod(F.xxhash64("job_index"), F.lit(every)) == 0), dim, project, "p array<float>").limit(2 * SAMPLE).toPandas()
-        if len(picked):
-            p = np.stack(picked.p).astype(np.float32)
-            splits = kd_splits(p, -(-n // cell))
-            sizes = np.bincount(assign(splits, p), minlength=len(splits) + 1) * (n / len(picked))
+        rows = packed(vectors.filter(F.pmod(F.xxhash64("job_index"), F.lit(every)) == 0), dim, sampled, "job_index bigint, v binary").repartition(1).mapInArrow(fitted, "kind string, number bigint, v binary").toArrow().to_pylist()
+        held = {kind: (np.array([r["number"] for r in rows if r["kind"] == kind]), np.frombuffer(b"".join(r["v"] for r in rows if r["kind"] == kind), np.float32).reshape(-1, dim)) for kind in ("centre", "probe")}
+        if rows:
+            centres, sizes, probes = held["centre"][1], held["centre"][0] * (n / held["centre"][0].sum()), held["probe"]
     pieces = np.maximum(1, np.ceil(sizes / (1.5 * cell))).astype(np.int64)
     base = np.r_[0, np.cumsum(pieces)]
     cell_of = np.repeat(np.arange(len(pieces)), pieces)
 
     def place(ids: np.ndarray, v: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
-        c = assign(splits, (unit(v) @ directions(dim))[:, :TREE_DIMS]) if splits else np.zeros(len(ids), np.int32)
+        c = nearest_centre(unit(v), centres)
         h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(data, pa.binary()), pa.array(base[c] + h % pieces[c])], names=["job_index", "v", "block"])
 
@@ -463,12 +520,11 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
         packed(vectors, dim, place, "job_index bigint, v binary, block bigint").repartition(max(1, blocks), "block").write.option("compression", "none").partitionBy("block").parquet(folder)
     finally:
         spark.conf.set(BATCHES, batches)
-    lo, hi = boxes(splits, TREE_DIMS)
-    stop = chi2_quantile(P, M)
+    part = needed_part(spark, folder, *probes, centres, cell_of, k, dim) if probes and blocks > 1 else 0.0
     # a row for each slice of each block, as a table
     counts = spark.read.schema("job_index bigint, block bigint").parquet(folder).groupBy("block").agg(F.countDistinct("job_index").alias("n"))
     plan = counts.select("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(SLICE))).alias("start"), "n").select("block", "start", F.least(F.col("start") + SLICE, "n").alias("stop"))
-    out = "job_index bigint, other array<bigint>, similarity array<double>, home bigint, start bigint, stop bigint, cells array<bigint>, bound double"
+    out = "job_index bigint, other array<bigint>, similarity array<double>, home bigint, start bigint, cells array<bigint>, bound double"
 
     def listed(found: np.ndarray, sims: np.ndarray) -> tuple[list, list]:
         size = (found >= 0).sum(1)
@@ -481,30 +537,31 @@ def neighbours(vectors: DataFrame, shards: DataFrame, k: int = 5, dim: int = 102
                 rows = np.argsort(index.ids, kind="stable")[start:end]
                 ids, x = index.ids[rows], index.x[rows]
                 idx, exact, d = index.search(ids, index.raw[rows], np.full(len(ids), 4, np.float32), k)
-                near = box_distance((x @ directions(dim))[:, :TREE_DIMS], lo, hi) <= (d * stop + ROUNDING)[:, None]
+                near = plane_distance(x, np.full(len(x), cell_of[block]), centres) <= part * (np.sqrt(np.maximum(d, 0)) + SLACK)[:, None]
                 reach = near[:, cell_of]
                 reach[:, block] = False
                 others, sims = listed(idx, exact)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64())), *[pa.array(np.full(len(ids), c, np.int64)) for c in (block, start, end)], pa.array([np.flatnonzero(r).tolist() for r in reach], pa.list_(pa.int64())), pa.array(d.astype(np.float64))], names=["job_index", "other", "similarity", "home", "start", "stop", "cells", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64())), *[pa.array(np.full(len(ids), c, np.int64)) for c in (block, start)], pa.array([np.flatnonzero(r).tolist() for r in reach], pa.list_(pa.int64())), pa.array(d.astype(np.float64))], names=["job_index", "other", "similarity", "home", "start", "cells", "bound"])
 
-    plan = plan.repartition(max(1, n // SLICE + blocks), "block", "start")
+    # with enough cells for all cores a task takes a whole cell, so that its index is built once
+    many = blocks >= 4 * spark.sparkContext.defaultParallelism
+    plan = plan.repartition(2 * blocks, "block").sortWithinPartitions("block", "start") if many else plan.repartition(max(1, n // SLICE + blocks), "block", "start")
     first = materialize(plan.mapInArrow(home, out))
     # visits to one cell stay together in a few lanes, so that a worker builds its index once
     lanes = max(1, 2 * spark.sparkContext.defaultParallelism // blocks)
-    visits = first.select(F.explode("cells").alias("cell"), "home", "start", "stop", "job_index", "bound").withColumn("lane", F.pmod(F.xxhash64("home", "start"), F.lit(lanes)))
+    visits = first.select(F.explode("cells").alias("cell"), "home", (F.col("start") if lanes > 1 else F.lit(0)).alias("part"), "job_index", "bound").withColumn("lane", F.pmod(F.xxhash64("home", "part"), F.lit(lanes)))
 
     def visit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cell_, _, block, start, end = (int(v) for v in key)
-        ids, v = read_cell(folder, block, start, end, dim)
-        chosen = np.searchsorted(ids, rows.job_index.to_numpy())
-        ids, v = ids[chosen], v[chosen]
+        cell_, _, block, _ = (int(v) for v in key)
+        rows = rows.sort_values("job_index")
+        ids, v = read_cell(folder, block, rows.job_index.to_numpy(), dim)
         idx, exact, _ = cell_index(folder, cell_, dim).search(ids, v, rows.bound.to_numpy(np.float32), k)
         others, sims = listed(idx, exact)
         return pd.DataFrame({"job_index": ids, "other": others, "similarity": sims})
 
     results = first.select("job_index", "other", "similarity")
     if blocks > 1:
-        results = results.unionByName(visits.repartition(2 * blocks * lanes, "cell", "lane").groupBy("cell", "lane", "home", "start", "stop").applyInPandas(visit, "job_index bigint, other array<bigint>, similarity array<double>"))
+        results = results.unionByName(visits.repartition(2 * blocks * lanes, "cell", "lane").groupBy("cell", "lane", "home", "part").applyInPandas(visit, "job_index bigint, other array<bigint>, similarity array<double>"))
     pairs = results.select("job_index", F.explode(F.arrays_zip("other", "similarity")).alias("z")).select("job_index", (-F.col("z.similarity")).alias("s"), F.col("z.other").alias("other"))
     top = pairs.groupBy("job_index").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "other"))), 1, k).alias("best"))
     if repeated:

@@ -115,3 +115,21 @@ def test_ranges_of_any_number(spark):
     assert sv.within(rows, shards).count() == 10 + 10 + 131_200
     many = spark.range(0, 250_000).selectExpr("'p' as vectors_path", "id * 2 as row_start", "id * 2 + 1 as row_end")
     assert sv.within(rows, many).count() == 150_000
+
+
+def test_few_cells_are_reached_where_vectors_form_groups():
+    """The neighbours' cells lie behind near planes; boxes of a kd-tree over eight projections reached nearly all cells."""
+    rows = _rows(1_600, 256)
+    x = sv.unit(np.array([v for _, v in rows]))
+    centres, sizes = sv.fit_centres(x, 20)
+    own = sv.nearest_centre(x, centres)
+    assert len(centres) == 20 and sizes.sum() == 1_600 and (np.bincount(own, minlength=20) == sizes).all()
+    away = sv.plane_distance(x, own, centres)
+    other, dist = np.array(sorted(_brute(rows)))[:, 1].reshape(1_600, 5), np.sqrt(np.maximum(2 - 2 * x @ x.T, 0))
+    # no vector of a cell is nearer than the plane before it
+    assert all((away[:, own[o]] <= dist[:, o] + 1e-3).all() for o in range(0, 1_600, 50))
+    kth = np.take_along_axis(dist, other, 1).max(1)
+    probes = np.random.RandomState(5).permutation(1_600)[: sv.PROBES]  # at random: the groups recur at a fixed step
+    part = (np.take_along_axis(away, own[other], 1) / kth[:, None])[probes].max()
+    reached = away <= part * kth[:, None]
+    assert reached.mean() < 0.3 and np.take_along_axis(reached, own[other], 1).mean() > 0.995
